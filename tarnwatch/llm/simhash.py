@@ -1,0 +1,341 @@
+"""SimHash near-duplicates: fingerprints, and exact links of at most ``radius`` differing bits.
+
+A text is lower-cased (A-Z); its words are ``[^\\x20\\x09-\\x0D]+`` and its shingles ``width``
+words joined by one space, repeats included.  Fewer words are one shingle, none give
+fingerprint zero.  A fingerprint bit is set if it is set in over half the XXH64 hashes
+(seed 42) of the shingles.
+
+Links are found over the *distinct* fingerprints by vantage-point search:
+
+* A first level of vantage shards cuts the 64 bits into ``radius + 1`` bands.  The distance of
+  two linked fingerprints is at most ``radius``, so by the triangle bound their distance within
+  at least one band is 0: both lie in the same shard of that band.  A fingerprint is thus
+  queried against one shard for each band and no boundary between shards is missed.
+* Within a shard a vantage-point tree is walked with whole blocks of fingerprints: rings
+  around the vantage point that differ by more than ``radius`` are pruned.
+* A shard of over ``shard_rows`` fingerprints is split again into rings by distance from one
+  vantage point.  Each ring is paired with itself and with the next one only, since farther
+  rings are out of reach.  Still larger rings are salted, every pair of salts being one piece.
+
+Each piece of work returns a spanning forest of its links (its rows less one at most), never
+all pairs; components follow by alternating large and small stars over these edges.
+
+Defined cases: null and empty texts have fingerprint zero and are linked like any other;
+repeated rows share a component; null doc_ids keep their row and never name a component
+unless it has no other id; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import settled
+from .textbytes import LOWER, SOLID, blocks, column_bytes, runs
+
+WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def xxh64_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many byte runs; those of 32 bytes and more one by one."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = (np.uint64(seed) + _P5) + sizes.astype(np.uint64)
+    short = sizes < 32
+    at = starts.copy()
+    for lane in range(3):
+        sel = np.flatnonzero(short & (sizes >= 8 * lane + 8))
+        if len(sel):
+            k = _rotl(eight[at[sel]] * _P2, 31) * _P1
+            h[sel] = _rotl(h[sel] ^ k, 27) * _P1 + _P4
+            at[sel] += 8
+    sel = np.flatnonzero(short & (sizes & 4 > 0))
+    k = (eight[at[sel]] & np.uint64(0xFFFFFFFF)) * _P1
+    h[sel] = _rotl(h[sel] ^ k, 23) * _P2 + _P3
+    at[sel] += 4
+    for left in range(3):
+        sel = np.flatnonzero(short & (sizes & 3 > left))
+        h[sel] = _rotl(h[sel] ^ (padded[at[sel]].astype(np.uint64) * _P5), 11) * _P1
+        at[sel] += 1
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    raw = data.tobytes() if not short.all() else b""
+    for i in np.flatnonzero(~short).tolist():
+        a = int(starts[i])
+        h[i] = xxhash.xxh64_intdigest(raw[a : a + int(sizes[i])], seed)
+    return h
+
+
+#: byte -> its eight bits, each in a byte of its own
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
+
+
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per segment ``first[i]:first[i+1]`` of hashes the bits set in over half of them."""
+    n = len(first) - 1
+    sizes = np.diff(first)
+    out = np.zeros(n, np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    # byte-wide counters hold 255 rows: sums over pieces of that length first, then wide sums
+    pieces = -(-sizes[full] // 255)
+    begin = np.repeat(first[:-1][full], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    owner = np.cumsum(pieces) - pieces
+    big_endian = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    bits = np.empty((len(full), 64), np.int64)
+    for byte in range(8):
+        counts = np.add.reduceat(_SPREAD[big_endian[:, byte]], begin).view(np.uint8).reshape(-1, 8)
+        bits[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(counts.astype(np.int64), owner, axis=0)
+    out[full] = np.packbits(2 * bits > sizes[full][:, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def fingerprint_block(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of a block of documents."""
+    data = LOWER[data]
+    starts, ends = runs(SOLID[data], offsets)
+    if not len(starts):
+        return np.zeros(len(offsets) - 1, np.uint64)
+    first = np.searchsorted(starts, offsets)
+    # words with exactly one space after each
+    size = ends - starts
+    close = np.cumsum(size + 1)
+    begin = close - size - 1
+    keep = np.zeros(len(data) + 1, np.int8)
+    keep[starts] += 1
+    keep[ends] -= 1
+    tight = np.full(int(close[-1]), 32, np.uint8)
+    inside = np.ones(len(tight), bool)
+    inside[close - 1] = False
+    tight[inside] = data[np.cumsum(keep[:-1]).astype(bool)]
+    words = np.diff(first)
+    shingles = np.where(words >= width, words - width + 1, np.minimum(words, 1))
+    edge = np.concatenate([[0], np.cumsum(shingles)])
+    word = np.arange(edge[-1]) - np.repeat(edge[:-1], shingles) + np.repeat(first[:-1], shingles)
+    last = word + np.repeat(np.minimum(words, width), shingles) - 1
+    h = xxh64_runs(tight, begin[word], close[last] - 1 - begin[word], seed)
+    return majority(h, edge)
+
+
+def _fingerprints(batches, width: int, seed: int):
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
+        found = [fingerprint_block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, seed) for a, b in blocks(offsets)]
+        keys = batch.column(batch.schema.get_field_index("doc_id"))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))], ["doc_id", "fp"])
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _fingerprints(it, width, seed), "doc_id long, fp long")
+
+
+class _Forest:
+    """Union of rows by smallest root; joins that changed something are the edges."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return int(i)
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+
+    def roots(self) -> np.ndarray:
+        out = self.parent
+        while (out[out] != out).any():
+            out = out[out]
+        return out
+
+
+def _link(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
+    """Joins all linked pairs of rows between two blocks."""
+    step = max(1, (1 << 20) // max(1, len(right)))
+    for k in range(0, len(left), step):
+        part = left[k : k + step]
+        a, b = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[right][None, :]) <= radius)
+        pairs = np.stack([part[a], right[b]])
+        # drop what is joined already
+        while pairs.shape[1]:
+            roots = forest.roots()
+            pairs = pairs[:, roots[pairs[0]] != roots[pairs[1]]]
+            if not pairs.shape[1]:
+                break
+            low, high = np.minimum(roots[pairs[0]], roots[pairs[1]]), np.maximum(roots[pairs[0]], roots[pairs[1]])
+            best = np.full(len(fp), len(fp))
+            np.minimum.at(best, high, low)
+            moved = np.flatnonzero(best < len(fp))
+            forest.parent = roots
+            forest.parent[moved] = best[moved]
+
+
+def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = 512) -> np.ndarray:
+    """Root row of each row's component under links within ``radius``, by a vantage-point tree.
+
+    A node's rows are ordered by distance from its vantage point.  The halves on either side of
+    the median become its children; only the rows within ``radius`` of the border (by the
+    triangle bound nothing else can link across) are compared between them.
+    """
+    forest = _Forest(len(fp))
+    stack = [np.arange(len(fp))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= leaf:
+            _link(forest, fp, rows, rows, radius)
+            continue
+        far = np.bitwise_count(fp[rows] ^ fp[rows[0]]).astype(np.int64)
+        near = rows[far <= radius]
+        if len(near) > 1:
+            forest.parent = forest.roots()
+            tops = np.unique(forest.parent[near])
+            forest.parent[tops] = tops[0]
+        cut = int(np.median(far))
+        inner, outer = rows[far <= cut], rows[far > cut]
+        if not len(outer):
+            cut -= 1
+            inner, outer = rows[far <= cut], rows[far > cut]
+        if not len(inner) or not len(outer):
+            _link(forest, fp, rows, rows, radius)
+            continue
+        rim = far[far <= cut]
+        beyond = far[far > cut]
+        for d in range(max(0, cut - radius + 1), cut + 1):
+            a = inner[rim == d]
+            b = outer[beyond <= d + radius]
+            if len(a) and len(b):
+                _link(forest, fp, a, b, radius)
+        stack += [inner, outer]
+    return forest.roots()
+
+
+def _edges_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    roots = vantage_forest(fp, radius)
+    moved = np.flatnonzero(roots != np.arange(len(fp)))
+    return fp[moved], fp[roots[moved]]
+
+
+def _shard_edges(batches, radius: int, small: int = 48):
+    """Edges within each shard of a partition sorted by shard; a shard may span batches."""
+
+    def found(shard: np.ndarray, fp: np.ndarray):
+        border = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+        sizes = np.diff(border)
+        few = np.repeat(sizes <= small, sizes)
+        lefts, rights = [], []
+        for gap in range(1, min(small, int(sizes.max(initial=1)))):
+            same = few[gap:] & (shard[gap:] == shard[:-gap])
+            if not same.any():
+                break
+            i = np.flatnonzero(same)
+            i = i[np.bitwise_count(fp[i] ^ fp[i + gap]) <= radius]
+            lefts.append(fp[i])
+            rights.append(fp[i + gap])
+        for k in np.flatnonzero(sizes > small).tolist():
+            a, b = _edges_of(fp[border[k] : border[k + 1]], radius)
+            lefts.append(a)
+            rights.append(b)
+        if lefts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lefts).view(np.int64)), pa.array(np.concatenate(rights).view(np.int64))], ["a", "b"])
+
+    shard, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for batch in batches:
+        shard = np.concatenate([shard, batch.column(0).to_numpy(zero_copy_only=False)])
+        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        if len(shard):
+            cut = int(np.searchsorted(shard == shard[-1], True)) if shard[0] != shard[-1] else 0
+            if cut:
+                yield from found(shard[:cut], fp[:cut])
+                shard, fp = shard[cut:], fp[cut:]
+    if len(shard):
+        yield from found(shard, fp)
+
+
+def _band(k: int, bands: int):
+    low, high = 64 * k // bands, 64 * (k + 1) // bands
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+
+def edges(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) that connect all of the distinct fingerprints that are linked at all."""
+    bands = radius + 1
+    placed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _band(k, bands).alias("value")) for k in range(bands)])).alias("p")).select("fp", "p.band", "p.value")
+    hot = settled(placed.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard_rows))
+    shards = placed
+    if hot.count():
+        split = placed.join(hot, ["band", "value"])
+        ring = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))) / (radius + 1))
+        split = split.withColumn("ring", F.explode(F.array(ring, ring + 1)))
+        rings = settled(split.groupBy("band", "value", "ring").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / shard_rows).cast("int")))
+        split = split.join(rings, ["band", "value", "ring"])
+        salt = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+        split = split.withColumn("salt", salt).withColumn("other", F.explode(F.expr("sequence(0, salts - 1)")))
+        piece = F.xxhash64("band", "value", "ring", F.least("salt", "other"), F.greatest("salt", "other"))
+        cold = placed.join(hot.select("band", "value"), ["band", "value"], "left_anti")
+        shards = cold.select("fp", F.xxhash64("band", "value").alias("shard")).unionByName(split.select("fp", piece.alias("shard")))
+    else:
+        shards = placed.select("fp", F.xxhash64("band", "value").alias("shard"))
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda it: _shard_edges(it, radius), "a long, b long")
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node -> root (smallest connected node) for all nodes of the edges (a, b).
+
+    Rounds of large star and small star: every node hands its larger neighbours, then its
+    smaller ones, to the smallest node it knows.  Only minima per node are aggregated, before
+    the shuffle too, so a hub costs no more than any other node.
+    """
+    now = settled(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct())
+    before = None
+    for _ in range(max_rounds):
+        both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = settled(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("m")))
+        large = settled(both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct())
+        least = settled(large.groupBy("v").agg(F.min("u").alias("m")))
+        handed = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v")
+        now = settled(handed.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    prints = settled(fingerprints(docs, width, seed))
+    distinct = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(edges(distinct.select("fp"), radius, shard_rows))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = settled(named)
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = settled(named.join(ids, "root").select("fp", "component_id"))
+    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, **how) -> DataFrame:
+    """The rows whose doc_id names their component; of repeated doc_ids all rows stay together."""
+    lost = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
