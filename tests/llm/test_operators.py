@@ -1,0 +1,363 @@
+"""Each operator against a brute-force version on a small fixture with odd rows."""
+
+import hashlib
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from tarnwatch.llm import chatformat, decontaminate, exactdedup, htmltext, licences, pii, quality, sentencepieces, simhash, tokenindex
+from tarnwatch.llm.queries import ATTACK
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["the", "of", "thion", "erble", "and", "Über", "çé", "a,", "ing.\nOn", "nd"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [words(rng, rng.randint(1, 60)) for _ in range(60)]
+    long = words(rng, 9000)
+    return [*base, base[3], base[3], base[3].replace(" ", "  "), base[7] + "\t", None, "", "   ", "\n\n a  b\t\n", long, long + " x", "x" * 5000, "日本語の文です。" * 40, "😀 a\x85b　c", base[9], " " + base[9], "\x00z\x1c", base[11] + " new words", "A  the OF", "a THE  of"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "loose text", None, None, None), rows[5], rows[5]], SCHEMA).repartition(3)
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_token_index(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = tokenindex.write_tokens(docs, path)
+    tokenizer = tokenindex.WordEncoder(path).tokenizer
+    rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    start, want = 0, []
+    for doc_id, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted((tuple(r) for r in tokenindex.read_back(manifest).collect()), key=lambda r: r[1])
+    assert got == want
+    found = tokenindex.fetch(manifest, spark.createDataFrame([(5,), (7,), (10**6,)], "doc_id long")).collect()
+    assert sorted(r.doc_id for r in found) == [5, 5, 5, 7]
+    assert all(r.ids == tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids + [0] for r in found)
+    assert tokenindex.read_back(tokenindex.write_tokens(docs.limit(0), path)).count() == 0
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
+    index = tokenindex.ShardIndex.from_bytes(tokenindex.ShardIndex.build(keys, np.arange(len(keys)), 2).to_bytes())
+    assert sorted(index.hash(keys).tolist()) == list(range(len(keys)))
+    assert (index.find(keys)[0] == np.arange(len(keys))).all()
+    assert (index.find(keys + 1)[1] == np.isin(keys + 1, keys)).all()
+
+
+@pytest.mark.parametrize("cache", [0, 50, 10**5])
+def test_word_encoder_bounds(texts, cache):
+    import pyarrow as pa
+
+    from tarnwatch.llm.textbytes import blocks, column_bytes
+
+    encoder = tokenindex.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), cache)
+    data, offsets = column_bytes(pa.array(texts))
+    got = [x for a, b in blocks(offsets, 300) for x in encoder.encode_block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def turns_of(conv):
+    return [(r or "", t or "") for _, r, t in sorted(conv, key=lambda x: (x[0], x[1] or "", x[2] or ""))]
+
+
+def test_chat_format(spark):
+    odd = ["", None, ATTACK, "<\\|im_end|>\n", "<|", "<\\\\|x<|<||", "a\nb", "émoji 😀"]
+    rows = [(c, k, random.Random(c * 9 + k).choice(["user", "assistant", "system", None, "odd\nrole\\n<|"]), odd[(c + k) % len(odd)]) for c in range(12) for k in range(c % 5 + 1)]
+    rows += [(3, 0, "assistant", "tie"), (3, 0, "assistant", "tie"), (None, 1, "user", "no id")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, value string")
+    parsed = chatformat.parse(chatformat.format_turns(chatformat.canonical(df)))
+    got = {r.conv_id: r for r in chatformat.digests(parsed).collect()}
+    convs = defaultdict(list)
+    for c, k, r, t in rows:
+        convs[c].append((k, r, t))
+    assert set(got) == set(convs)
+    for c, conv in convs.items():
+        turns = turns_of(conv)
+        learned = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    for r in parsed.collect():
+        assert [(t.role, t.text) for t in r.turns] == turns_of(convs[r.conv_id])
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(r.turns)
+
+
+def test_chat_layouts(spark):
+    cases = {
+        "messages": ("id long, messages array<struct<role: string, content: string>>", (1, [("user", "q"), ("assistant", "a")])),
+        "conversations": ("id int, conversations array<struct<from: string, value: string>>, meta struct<n: int>", (1, [("human", "q"), ("gpt", "a")], (1,))),
+        "instruction-input": ("id long, instruction string, input string, output string", (1, "q", None, "a")),
+        "instruction": ("id long, instruction string, output string", (1, "q", "a")),
+        "prompt-response": ("id long, prompt string, response string, extra string", (1, "q", "a", "x")),
+        "question-answer": ("id long, question string, answer string", (1, "q", "a")),
+    }
+    for name, (schema, row) in cases.items():
+        df = spark.createDataFrame([row], schema)
+        assert chatformat.find_layout(df.schema).name == name
+        assert [(t.role, t.text) for t in chatformat.canonical(df).first().turns] == [("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError):
+        chatformat.find_layout(spark.createDataFrame([(1,)], "x int").schema)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 60])
+def test_decontaminate(spark, docs, texts, limit):
+    items = [(1, texts[1]), (2, " ".join(words(random.Random(8), 30).split())), (30, "Über the"), (4, None), (5, ""), (6, texts[70] or texts[1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = rx.findall(lower(t))
+        size = min(8, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            windows[tuple(w[k : k + size])].add(str(i))
+    want = []
+    for doc_id, t in pairs(docs):
+        w = rx.findall(lower(t))
+        hit, found = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    found |= windows[tuple(w[k : k + size])]
+                    hit |= set(range(k, k + size))
+        want.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2))
+    got = [tuple(r) for r in decontaminate.contamination(docs, bench, max_set_bytes=limit).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    cleaned = decontaminate.remove_spans(docs, bench, max_set_bytes=limit)
+    assert cleaned.columns == docs.columns
+    before, bad = {(r[0], r[1]): r for r in want}, {w[0] for w in want if w[5]}
+    left = decontaminate.contamination(cleaned, bench, max_set_bytes=limit).collect()
+    assert {r.doc_id for r in left} == {w[0] for w in want} - bad
+    assert before and decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>x</p>";</script></head><body class="has-sidebar">
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad box">Buy the best of it all and be happy with it.</div>
+<article><header><h1>Head&nbsp;line</h1></header><p>First   of&#10;the text &amp; more &lt;b&gt;</p><p><b>Open<br>tags<p>Next one, short.<aside>Side note</aside>
+<div class="newsletter-signup"><p>Sign up</p></div><ul><li>One<li>Two</ul><p>And with the end of all that was written on it in the long run by me.</p></article>
+<section id="comments"><p>I think that this is the best of all the articles on the site and I have read them all.</p></section><footer>&copy; 2020</footer></body></html>"""
+    assert htmltext.main_text(page) == "Head line\nFirst of the text & more <b>\nOpen tags\nNext one, short.\nOne\nTwo\nAnd with the end of all that was written on it in the long run by me."
+    assert htmltext.main_text(None) == htmltext.main_text("") == ""
+    assert htmltext.main_text("<article><p>Text &am") == "Text &am"
+    assert htmltext.main_text("<article><p>Text</p><p") == "Text"
+    prose = "It was the best of the times and it was the worst of the times for all of us who had to be in it. " * 3
+    assert htmltext.main_text(f"<div><a href=x>Home</a> <a href=y>News</a></div><div>{prose}</div><div>Short.</div>") == prose.strip() + "\nShort."
+    assert len(htmltext.main_text("<p>" * 3000 + "<article><b>" * 50 + "a < b and 'c" + "<a href='" * 50)) > 0
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<article><p>Hi &amp; bye</p></article>", 1), (1, "u", "<article><p>Hi &amp; bye</p></article>", 1), (None, None, None, None)]
+    got = [tuple(r) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "u", "Hi & bye", 8), (1, "u", "Hi & bye", 8), (None, None, "", 0)], key=repr)
+
+
+def test_sentencepiece(spark, docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    strange = ["".join(rng.choice("abcdefgh =/+0") for _ in range(2000)), "▁▁ a ▁", "def f(x):\n        return  x", "<s> </s> <unk>", "\x00a"]
+    every = docs.unionByName(spark.createDataFrame([(1000 + i, t, "", "", 0) for i, t in enumerate(strange)], SCHEMA))
+    got = sentencepieces.encode(every, path)
+    want = [(d, library.encode(t or "")) for d, t in pairs(every)]
+    rows = got.collect()
+    assert sorted([(r.doc_id, list(r.ids)) for r in rows], key=repr) == sorted(want, key=repr)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.n_pieces == len(r.ids) for r in rows)
+    assert {r.doc_id for r in rows if not r.round_trip} == {1001}  # U+2581 itself decodes to a space
+    decoded = {r.doc_id: r.text for r in sentencepieces.decode(got, path).collect()}
+    assert all(decoded[d] == library.decode(ids) for d, ids in want)
+    assert sentencepieces.encode(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize(("block", "bits"), [(1024, 64), (7, 64), (16, 6)])
+def test_exact_dedup(docs, block, bits):
+    got = exactdedup.groups(docs, block, bits).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    ids = defaultdict(list)
+    for d, t in pairs(docs):
+        ids[norm(t)].append(d)
+    want = []
+    for t, members in ids.items():
+        keep = min((d for d in members if d is not None), default=None)
+        for k, d in enumerate(sorted(members, key=lambda d: (d is None, d))):
+            want.append((d, keep, len(members), k == 0, hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_drop_copies(docs):
+    left = exactdedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    norm = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in pairs(docs)}
+    assert left.count() == len(norm)
+    assert exactdedup.groups(docs.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    good = [words(rng, 40) for _ in range(150)]
+    bad = [words(rng, 40).upper().replace(" ", "!! ") for _ in range(75)] + [" ".join(w for w in words(rng, 4).split() for _ in range(12)) for _ in range(75)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(900, None), (901, ""), (None, "x y")]
+    labels = [(i, int(i < 150)) for i in range(300)] + [(5000, 1), (None, 1), (3, None)]
+    docs = spark.createDataFrame([(*r, "s", 1.5) for r in rows], "doc_id long, text string, source string, score double")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.scores(docs, table).collect()}
+    assert len(got) == len(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    assert all(r.held_out == (quality.crc_mod(d) == 2) for d, r in got.items() if d is not None)
+    test = [(got[i].predicted, int(i < 150)) for i in range(300) if got[i].held_out]
+    assert len(test) > 30 and np.mean([a == b for a, b in test]) > 0.9
+    kept = quality.accepted(docs, table)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.predicted}
+    # held-out labels have no influence
+    flipped = table.withColumn("quality", quality.F.when(quality.held_out(quality.F.col("doc_id")), 1 - quality.F.col("quality")).otherwise(quality.F.col("quality")))
+    assert {r.doc_id: r.score for r in quality.scores(docs, flipped).collect()} == {d: r.score for d, r in got.items()}
+    assert {r.score for r in quality.scores(docs, table.limit(0)).collect()} == {0.5}
+    assert quality.scores(docs.limit(0), table).count() == 0
+
+
+def brute_spans(text):
+    rx = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+".replace("[\\x20-]", "[ -]"),
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for kind, r in rx.items():
+        for m in re.finditer(r, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_pii_base():
+    rng = random.Random(4)
+    parts = ["a.b@c.d", "@", "x@y", "x@y.z@w.v", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 555-5555", "+1", "++49 30 1234567.", "é", " ", ".", "-", "12", "%a@b-.c-.d", "00000000001.1.1.1", "＠٣"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert sorted(pii.base_spans(t)) == sorted(brute_spans(t)), t
+    for t in ("1" * 50000, "a" * 50000 + "@", "1." * 30000, "+1" * 20000, "@" * 30000):
+        pii.base_spans(t)
+    assert pii.added_spans("IBAN DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 33") and not pii.added_spans("DE88370400440532013000")
+
+
+def test_pii_rows(spark):
+    rows = [(1, "mail a@b.co or +49 30 1234567, IBAN DE89370400440532013000"), (1, None), (2, "")]
+    got = sorted(pii.find(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, spans int")).collect(), key=repr)
+    full = next(r for r in got if r.n_email)
+    assert full.spans == "email:5:11,phone:15:29,iban:36:58" and full.n_phone == 1
+    assert full.base_sha256 == hashlib.sha256(b"email:5:11,phone:15:29").hexdigest()
+    assert sum(r.spans == "" for r in got) == 2
+
+
+def test_licences(spark):
+    mit = licences.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 Some One\n" + mit.upper().replace(",", " ")), (2, mit.replace("sublicense", "sub-license")), (3, mit + " more"), (4, "x\nReleased under the MIT license\nRELEASED UNDER THE MIT LICENCE."), (5, None), (6, ""), (6, "")]
+    got = {(r.doc_id, r.license_id, r.n_notices, r.notices) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT", 0, ""), (2, "MIT", 0, ""), (3, None, 0, ""), (4, None, 2, "MIT"), (5, None, 0, ""), (6, None, 0, "")}
+
+
+def brute_print(t):
+    w = re.findall(r"[^\x20\x09-\x0d]+", lower(t))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)])]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    label = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 3 and label[j] < label[i]:
+                    label[i] = label[j]
+                    changed = True
+    return label
+
+
+def test_simhash(docs):
+    rows = pairs(docs)
+    prints = [brute_print(t) for _, t in rows]
+    label = brute_components(prints)
+    ids = defaultdict(list)
+    for (d, _), c in zip(rows, label, strict=True):
+        ids[c].append(d)
+    want = [(d, f"{p:016x}", min((x for x in ids[c] if x is not None), default=None)) for (d, _), p, c in zip(rows, prints, label, strict=True)]
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want}
+
+
+@pytest.mark.parametrize("shard_rows", [10**6, 40, 7])
+def test_links(spark, shard_rows):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
+    dense = np.repeat(base[:1], 150)
+    for _ in range(4):
+        dense = flip(dense)
+    fp = np.unique(np.concatenate([base, flip(flip(base)), flip(flip(flip(base))), flip(flip(flip(flip(base)))), dense]))
+    table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.edges(table, shard_rows=shard_rows)).collect()}
+    label = brute_components(fp.tolist())
+    mine = [got.get(int(x), int(x)) for x in fp.view(np.int64)]
+    assert len(set(mine)) == len(set(label)) == len(set(zip(mine, label, strict=True)))
+
+
+def test_pipeline_stages(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, words(rng, 50), "en", "s", 1) for i in range(120)]
+    rows += [(200 + i, words(rng, 40).upper().replace(" ", "!! "), "en", "s", 1) for i in range(120)]
+    leak = " ".join(f"leak{k}" for k in range(12))
+    rows += [(400, rows[5][1], "en", "s", 1), (401, rows[6][1] + " " + leak, "en", "s", 1), (402, leak + " " + rows[7][1] + " " + leak.replace("leak", "other"), "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] < 200)) for r in rows[:240]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, leak.replace("leak", "other"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")], name
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 400 not in out and 402 not in out and not any(200 <= d < 320 for d in out)
+    assert len(out) > 90 and all(r.round_trip for r in out.values())
