@@ -170,28 +170,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
 
 
 def _clean(batches, windows: WindowSet):
+    """One output batch per block of documents."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
         data, offsets = column_bytes(batch.column(at))
-        texts, n_items = batch.column(at).to_pylist(), []
         for a, b in blocks(offsets):
             starts, ends, first, hit, pairs = scan_block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], windows)
-            owners = np.zeros(b - a, np.int64)
+            part, owners = batch.slice(a, b - a), np.zeros(b - a, np.int64)
+            columns = list(part.columns)
             for doc, _ in pairs:
                 owners[doc] += 1
-            n_items += owners.tolist()
-            for d in np.unique([doc for doc, _ in pairs]).astype(int).tolist():
-                base = offsets[a + d] - offsets[a]
-                raw, out, begin = data[offsets[a + d] : offsets[a + d + 1]].tobytes(), [], 0
-                flags = hit[first[d] : first[d + 1]]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    out.append(raw[begin : starts[first[d] + x] - base])
-                    begin = int(ends[first[d] + y - 1] - base)
-                texts[a + d] = b"".join([*out, raw[begin:]]).decode()
-        columns = list(batch.columns)
-        columns[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_items, pa.int64())], [*batch.schema.names, "_n_items"])
+            if pairs:
+                texts = columns[at].to_pylist()
+                for d in np.flatnonzero(owners).tolist():
+                    base = offsets[a + d] - offsets[a]
+                    raw, out, begin = data[offsets[a + d] : offsets[a + d + 1]].tobytes(), [], 0
+                    flags = hit[first[d] : first[d + 1]]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+                    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                        out.append(raw[begin : starts[first[d] + x] - base])
+                        begin = int(ends[first[d] + y - 1] - base)
+                    texts[d] = b"".join([*out, raw[begin:]]).decode()
+                columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(owners)], [*batch.schema.names, "_n_items"])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:

@@ -215,9 +215,9 @@ def _accept(batches, vectors: np.ndarray, net: Network, at: int):
     dense, hasher = index_vectors()[2], RunHasher(3)
     for batch in batches:
         data, offsets = column_bytes(batch.column(at))
-        parts = [pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vectors, dense, hasher) for a, b in blocks(offsets)]
-        keep = np.concatenate([net.scores(x) >= THRESHOLD for x in parts]) if parts else np.zeros(0, bool)
-        yield batch.filter(pa.array(keep))
+        for a, b in blocks(offsets):
+            x = pooled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vectors, dense, hasher)
+            yield batch.slice(a, b - a).filter(pa.array(net.scores(x) >= THRESHOLD))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -33,10 +33,10 @@ from .textbytes import blocks, column_bytes
 from .wordcache import WordCache
 
 SPACE = "▁"
-CACHE_WORDS = 900_000
-SUFFIX_CHARS = 1 << 19
+CACHE_WORDS = 500_000
+SUFFIX_CHARS = 1 << 18
 HEAP_CHARS = 96
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 _FAR = np.iinfo(np.int64).max
 
 
@@ -267,22 +267,22 @@ class PieceEncoder(WordCache):
 
 
 def _encode(batches, model_file: str):
+    """One output batch per block, so what a task holds follows the block and not Spark's batch."""
     encoder = PieceEncoder(model_file)
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
-        ids, crc, same = [], [], []
         for a, b in blocks(offsets, BLOCK_BYTES):
-            for d, body in enumerate(encoder.encode_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a):
+            bodies = encoder.encode_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            crc, same = [], []
+            for d, body in enumerate(bodies, a):
                 one = np.frombuffer(body, encoder.dtype)
-                wide = one.astype("<u4")
-                crc.append(zlib.crc32(wide.tobytes()))
+                crc.append(zlib.crc32(one.astype("<u4").tobytes()))
                 raw = b"".join(map(encoder.text_of.__getitem__, one.tolist()))
                 same.append(raw[1:] == data[offsets[d] : offsets[d + 1]].tobytes())
-                ids.append(wide)
-        sizes = [len(x) for x in ids]
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists], ["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"])
+            sizes = [len(x) // encoder.dtype.itemsize for x in bodies]
+            flat = np.frombuffer(b"".join(bodies), encoder.dtype).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists], ["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"])
 
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
