@@ -19,6 +19,7 @@ table gives an empty manifest.
 
 from __future__ import annotations
 
+import functools
 import io
 import os
 import uuid
@@ -37,7 +38,7 @@ from .wordcache import WordCache
 
 END_ID = 0
 NULL_KEY = -(2**63)
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 
 
 def open_folder(uri: str):
@@ -93,6 +94,12 @@ class WordEncoder(WordCache):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
+@functools.lru_cache(maxsize=1)
+def kept_encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder per Python worker, so the words it knows serve the worker's later tasks too."""
+    return WordEncoder(tokenizer_file)
+
+
 def _mix(keys: np.ndarray, salt: int) -> np.ndarray:
     h = keys.astype(np.int64).view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -185,7 +192,7 @@ class ShardIndex:
 
 
 def _write_shard(batches, folder: str, tokenizer_file: str):
-    encoder, shard = WordEncoder(tokenizer_file), TaskContext.get().partitionId()
+    encoder, shard = kept_encoder(tokenizer_file), TaskContext.get().partitionId()
     end = np.array([END_ID], encoder.dtype).tobytes()
     files, path = open_folder(folder)
     files.create_dir(path, recursive=True)
