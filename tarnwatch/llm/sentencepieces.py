@@ -21,6 +21,7 @@ encoded each for itself; extra columns are left out of :func:`encode` and kept b
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 
@@ -266,9 +267,15 @@ class PieceEncoder(WordCache):
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def kept_encoder(model_file: str) -> PieceEncoder:
+    """One encoder per Python worker: its tables are built once, and the words it knows serve later tasks."""
+    return PieceEncoder(model_file)
+
+
 def _encode(batches, model_file: str):
     """One output batch per block, so what a task holds follows the block and not Spark's batch."""
-    encoder = PieceEncoder(model_file)
+    encoder = kept_encoder(model_file)
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         for a, b in blocks(offsets, BLOCK_BYTES):
@@ -291,7 +298,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def _decode(batches, model_file: str):
-    encoder = PieceEncoder(model_file, 1)
+    encoder = kept_encoder(model_file)
     for batch in batches:
         out = [encoder.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
