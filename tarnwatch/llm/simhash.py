@@ -103,12 +103,12 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_block(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
-    """Fingerprints of a block of documents."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of a block of documents, and where each document's begin and end."""
     data = LOWER[data]
     starts, ends = runs(SOLID[data], offsets)
     if not len(starts):
-        return np.zeros(len(offsets) - 1, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     first = np.searchsorted(starts, offsets)
     # words with exactly one space after each
     size = ends - starts
@@ -126,8 +126,12 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH,
     edge = np.concatenate([[0], np.cumsum(shingles)])
     word = np.arange(edge[-1]) - np.repeat(edge[:-1], shingles) + np.repeat(first[:-1], shingles)
     last = word + np.repeat(np.minimum(words, width), shingles) - 1
-    h = xxh64_runs(tight, begin[word], close[last] - 1 - begin[word], seed)
-    return majority(h, edge)
+    return xxh64_runs(tight, begin[word], close[last] - 1 - begin[word], seed), edge
+
+
+def fingerprint_block(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of a block of documents."""
+    return majority(*shingle_hashes(data, offsets, width, seed))
 
 
 def _fingerprints(batches, width: int, seed: int):
@@ -333,9 +337,3 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED, radiu
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = settled(named.join(ids, "root").select("fp", "component_id"))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows whose doc_id names their component; of repeated doc_ids all rows stay together."""
-    lost = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
