@@ -30,6 +30,7 @@ from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs
 WIDTH = 8
 CONTAMINATED_ITEMS = 2
 MAX_SET_BYTES = 64 << 20
+HIT, ITEMS = "_tarnwatch_hit", "_tarnwatch_items"
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -169,45 +170,66 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     return out
 
 
-def _clean(batches, windows: WindowSet):
-    """One output batch per block of documents."""
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, flags: np.ndarray) -> str:
+    """A document's text without the spans of its flagged words."""
+    raw, out, begin = data.tobytes(), [], 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out.append(raw[begin : starts[x]])
+        begin = int(ends[y - 1])
+    return b"".join([*out, raw[begin:]]).decode()
+
+
+def _clean(batches, windows: WindowSet, text: str, first_pass: bool, last: bool):
+    """One output batch per block of documents; between passes hit bits and items travel as the last two columns."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
+        at = batch.schema.get_field_index(text)
+        width = len(batch.columns) - (0 if first_pass else 2)
         data, offsets = column_bytes(batch.column(at))
         for a, b in blocks(offsets):
-            starts, ends, first, hit, pairs = scan_block(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], windows)
-            part, owners = batch.slice(a, b - a), np.zeros(b - a, np.int64)
-            columns = list(part.columns)
-            for doc, _ in pairs:
-                owners[doc] += 1
-            if pairs:
+            start = offsets[a]
+            starts, ends, first, hit, pairs = scan_block(data[start : offsets[b]], offsets[a : b + 1] - start, windows)
+            part = batch.slice(a, b - a)
+            columns, found = list(part.columns[:width]), [set() for _ in range(b - a)]
+            for doc, n in pairs:
+                found[doc].add(windows.items[n])
+            if not first_pass:
+                for d, (bits, items) in enumerate(zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist(), strict=True)):
+                    words = first[d + 1] - first[d]
+                    hit[first[d] : first[d + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=words).astype(bool)
+                    found[d].update(items)
+            if not last:
+                bits = [np.packbits(hit[first[d] : first[d + 1]]).tobytes() for d in range(b - a)]
+                columns += [pa.array(bits, pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:width], HIT, ITEMS])
+                continue
+            marked = [d for d, x in enumerate(found) if x]
+            if marked:
                 texts = columns[at].to_pylist()
-                for d in np.flatnonzero(owners).tolist():
-                    base = offsets[a + d] - offsets[a]
-                    raw, out, begin = data[offsets[a + d] : offsets[a + d + 1]].tobytes(), [], 0
-                    flags = hit[first[d] : first[d + 1]]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                    for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        out.append(raw[begin : starts[first[d] + x] - base])
-                        begin = int(ends[first[d] + y - 1] - base)
-                    texts[d] = b"".join([*out, raw[begin:]]).decode()
-                columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(owners)], [*batch.schema.names, "_n_items"])
+                for d in marked:
+                    base, word = offsets[a + d] - start, slice(first[d], first[d + 1])
+                    texts[d] = _cut(data[offsets[a + d] : offsets[a + d + 1]], starts[word] - base, ends[word] - base, hit[word])
+                columns[at] = pa.array(texts, columns[at].type)
+            stay = pa.array([len(x) < CONTAMINATED_ITEMS for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:width]).filter(stay)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
     """Documents with windows of two or more items go; from the others, hit spans are cut out.
 
     All columns stay; ``n_chars``, where there is one, follows the new text.  A benchmark beyond
-    ``max_set_bytes`` is handled block by block: a document goes once the items found sum to two.
+    ``max_set_bytes`` is handled block by block: hit words and items travel with the row, and
+    only the last pass cuts, so the result does not depend on the number of blocks.
     """
     from pyspark.sql import types as T
 
-    out = docs.withColumn("_seen", F.lit(0).cast("long"))
-    for windows in benchmark_blocks(benchmark, width, max_set_bytes):
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    plain = out.schema
+    extra = [T.StructField(HIT, T.BinaryType()), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
+    sets = list(benchmark_blocks(benchmark, width, max_set_bytes))
+    for n, windows in enumerate(sets):
         held = docs.sparkSession.sparkContext.broadcast(windows)
-        schema = T.StructType([*out.schema.fields, T.StructField("_n_items", T.LongType())])
-        out = out.mapInArrow(lambda it, held=held: _clean(it, held.value), schema)
-        out = out.withColumn("_seen", F.col("_seen") + F.col("_n_items")).drop("_n_items")
-    out = out.where(F.col("_seen") < CONTAMINATED_ITEMS).drop("_seen")
+        how = {"text": "text", "first_pass": n == 0, "last": n == len(sets) - 1}
+        schema = plain if how["last"] else T.StructType([*plain.fields, *extra])
+        out = out.mapInArrow(lambda it, held=held, how=how: _clean(it, held.value, **how), schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

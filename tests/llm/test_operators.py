@@ -136,7 +136,7 @@ def test_decontaminate(spark, docs, texts, limit):
         size = min(8, len(w))
         for k in range(len(w) - size + 1 if size else 0):
             windows[tuple(w[k : k + size])].add(str(i))
-    want = []
+    want, cut = [], []
     for doc_id, t in pairs(docs):
         w = rx.findall(lower(t))
         hit, found = set(), set()
@@ -146,10 +146,20 @@ def test_decontaminate(spark, docs, texts, limit):
                     found |= windows[tuple(w[k : k + size])]
                     hit |= set(range(k, k + size))
         want.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2))
+        if len(found) < 2:
+            spans, rest, begin = [m.span() for m in rx.finditer(lower(t))], "", 0
+            for k in sorted(hit):
+                rest += "" if k - 1 in hit else t[begin : spans[k][0]]
+                begin = spans[k][1]
+            cut.append((doc_id, None if t is None else rest + t[begin:]))
     got = [tuple(r) for r in decontaminate.contamination(docs, bench, max_set_bytes=limit).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     cleaned = decontaminate.remove_spans(docs, bench, max_set_bytes=limit)
-    assert cleaned.columns == docs.columns
+    assert cleaned.columns == docs.columns and sorted(pairs(cleaned), key=repr) == sorted(cut, key=repr)
+    clash = docs.withColumns({"_hit": docs.doc_id, "_seen": docs.text, "item_id": docs.lang})
+    assert sorted(map(tuple, decontaminate.remove_spans(clash, bench.unionByName(bench), max_set_bytes=limit).select(*docs.columns).collect()), key=repr) == sorted(map(tuple, cleaned.collect()), key=repr)
+    twice = bench.unionByName(spark.createDataFrame([(1, texts[1] + " once more")], bench.schema))
+    assert {r.doc_id for r in decontaminate.remove_spans(docs, twice, max_set_bytes=limit).collect()} == {c[0] for c in cut}
     before, bad = {(r[0], r[1]): r for r in want}, {w[0] for w in want if w[5]}
     left = decontaminate.contamination(cleaned, bench, max_set_bytes=limit).collect()
     assert {r.doc_id for r in left} == {w[0] for w in want} - bad
