@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import aggregates as ag
-from ..operators import forest, grouped, steps, tenants, triage
+from ..operators import forest, grouped, steps, tenant_forests, tenants, triage
 from ..operators import sequences as sq
 from .. import sources
 from .fold import fold
@@ -473,6 +473,7 @@ def _points(spark, sf_dir):
 
 
 PARAMS = forest.ForestParams(4, num_trees=100, sample_size=256, seed=11, time_decay=0.0, feature_scales=(0.02, 1e-5, 10.0, 10.0))
+TENANT_PARAMS = forest.ForestParams(2, num_trees=50, sample_size=64, seed=12, time_decay=0.0)
 
 
 @query()
@@ -583,6 +584,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("point_id", "score", fn.SeverityBands(0.8, 1.0, 1.2, 1.5).label(F.col("score")).alias("severity"), F.element_at(F.array(*map(F.lit, DIMS)), top + 1).alias("top_dim")).orderBy(F.desc("score"), "point_id")
 
 
+@query()
+def q_tenant_forests(spark, sf_dir):
+    hour = F.hour("ts") / 24.0
+    points = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("point_id"), F.col("event_id").alias("seq"), F.array(F.col("value"), hour).alias("features"))
+    return tenant_forests.fit(points, TENANT_PARAMS).score(points)
+
+
 def queries() -> dict:
     return dict(_REGISTRY)
 
