@@ -400,6 +400,23 @@ def test_near_copies_of_edited_texts(spark, shard_rows):
     assert {tuple(r) for r in found.collect()} == {(d, g) for d, g in label.items() if d != g}
 
 
+@pytest.mark.parametrize("piece_shingles", [1 << 20, 60_000])
+def test_near_copies_of_one_original(spark, piece_shingles):
+    """1000 copies link to their original only: each other they resemble less than 0.8."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(3000)}" for _ in range(254)]
+    rows = [(0, " ".join(w))]
+    while len(rows) <= 1000:
+        v = list(w)
+        for i in rng.sample(range(len(v)), 5):
+            v[i] = f"z{rng.randrange(10**6)}"
+        x, y = shingle_set(rows[0][1]), shingle_set(" ".join(v))
+        if len(x & y) >= 0.8 * len(x | y):
+            rows.append((len(rows), " ".join(v)))
+    found = nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), piece_shingles=piece_shingles)
+    assert {tuple(r) for r in found.collect()} == {(d, 0) for d in range(1, 1001)}
+
+
 def test_bands():
     for n in (0, 10**4, 10**7, 10**10):
         bits, bands = nearcopies.bands_for(n)
