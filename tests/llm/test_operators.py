@@ -417,6 +417,16 @@ def test_near_copies_of_one_original(spark, piece_shingles):
     assert {tuple(r) for r in found.collect()} == {(d, 0) for d in range(1, 1001)}
 
 
+def test_near_copies_of_short_texts(spark):
+    """Eight words and the same with one more: similarity of exactly 0.8, by chance far apart in bits."""
+    rows = []
+    for k in range(4000):
+        w = [f"q{k}x{i}" for i in range(9)]
+        rows += [(2 * k, " ".join(w[:8])), (2 * k + 1, " ".join(w))]
+    found = nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {tuple(r) for r in found.collect()} == {(2 * k + 1, 2 * k) for k in range(4000)}
+
+
 def test_bands():
     for n in (0, 10**4, 10**7, 10**10):
         bits, bands = nearcopies.bands_for(n)
