@@ -97,6 +97,16 @@ def test_matrix_profile(spark):
         grouped.profile(x, 3)
 
 
+def test_matrix_profile_join_of_long_keys(spark):
+    rng = np.random.default_rng(8)
+    want = {(k, n): grouped.profile(x, 8)[0] for k, n in ((0, 60), (1, 150)) for x in [rng.normal(0, 1, n)]}
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(v)) for k, n in ((0, 60), (1, 150)) for i, v in enumerate(rng.normal(0, 1, n))]
+    got = by_key(sq.matrix_profile_join(spark.createDataFrame(rows, "key long, i long, value double").withColumnRenamed("i", "at"), ["key"], ["at"], "value", 8, max_length=100), "distance")
+    for (k, _), d in want.items():
+        assert len(got[k]) == len(d) and np.allclose(got[k], d, atol=1e-5)
+
+
 def test_functions(spark):
     row = spark.range(1).select(
         fn.fisher(F.array(F.lit(0.01), F.lit(0.02), F.lit(float("nan")))).alias("f"), fn.fisher(F.expr("array(cast(null as double))")).alias("none"), fn.platt(F.lit(float("inf")), 1.0, 0.0).alias("p"), fn.cosine(F.expr("array(0d, 0d)"), F.expr("array(1d, 0d)")).alias("c"),
