@@ -324,6 +324,28 @@ def q_discord_motif(spark, sf_dir):
     return rounded(top.join(grouped.motif(p, ["user_id"]).select("user_id", F.col("distance").alias("motif")), "user_id"), "discord", "motif", digits=4)
 
 
+# Over all users; the SQL above has a tenth of them, and its self-join is too slow for the whole table.
+
+
+@query()
+def q_matrix_profile_all(spark, sf_dir):
+    out = grouped.matrix_profile(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')")
+    return rounded(out.select("user_id", "i", "distance"), "distance", digits=4)
+
+
+@query()
+def q_matrix_profile_join_all(spark, sf_dir):
+    out = sq.matrix_profile_join(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')")
+    return rounded(out.select("user_id", F.col("i").cast("long").alias("i"), "distance"), "distance", digits=4)
+
+
+@query()
+def q_discord_motif_all(spark, sf_dir):
+    p = grouped.matrix_profile(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).persist()
+    top = grouped.discords(p, ["user_id"], 1, 2).select("user_id", F.col("distance").alias("discord"))
+    return rounded(top.join(grouped.motif(p, ["user_id"]).select("user_id", F.col("distance").alias("motif")), "user_id"), "discord", "motif", digits=4)
+
+
 # ---- ordered folds ----------------------------------------------------------
 
 _ROWS = f"e AS (SELECT user_id, event_id, ts, value, row_number() OVER ({_ORDER}) AS n FROM events)"

@@ -285,3 +285,26 @@ def test_queries_equal_sql(spark, name):
     for t in ("customer", "orders", "lineitem", "events", "documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert same(registered.queries()[name](spark, SF).toPandas(), con.sql(registered.oracle_sql()[name]).df())
+
+
+def test_profiles_of_all_users(spark):
+    events = pd.read_parquet(f"{SF}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    want = {}
+    for user, part in events.groupby("user_id"):
+        x = part["value"].to_numpy(float)
+        if len(x) < 8:
+            continue
+        z = np.lib.stride_tricks.sliding_window_view(x, 8)
+        z = (z - z.mean(axis=1, keepdims=True)) / z.std(axis=1, keepdims=True)
+        full = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+        i = np.arange(len(z))
+        full[np.abs(i[:, None] - i[None]) < 2] = np.inf
+        want |= {(user, k): d for k, d in enumerate(full.min(axis=1)) if np.isfinite(d)}
+    for name in ("matrix_profile_all", "matrix_profile_join_all"):
+        got = {(r.user_id, r.i): r.distance for r in registered.queries()[name](spark, SF).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want), name
+    got = {r.user_id: (r.discord, r.motif) for r in registered.queries()["discord_motif_all"](spark, SF).collect()}
+    for user in {u for u, _ in want}:
+        own = [d for (u, _), d in want.items() if u == user]
+        assert abs(got[user][0] - max(own)) < 1e-3 and abs(got[user][1] - min(own)) < 1e-3
+    assert got.keys() == {u for u, _ in want} and {u % 10 for u in got} != {1}
