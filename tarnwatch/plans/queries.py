@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -128,6 +128,14 @@ def q_fisher(spark, sf_dir):
     return rounded(rows.select("user_id", fn.fisher(F.col("ps")).alias("p_value")), "p_value")
 
 
+@query()
+def q_fisher_all(spark, sf_dir):
+    """Over all events; the SQL above has a tenth of them."""
+    p = ((F.col("event_id") % 97 + 1) / 98.0).alias("p")
+    rows = table(spark, sf_dir, "events").select("user_id", p).groupBy("user_id").agg(F.collect_list("p").alias("ps"))
+    return rounded(rows.select("user_id", fn.fisher(F.col("ps")).alias("p_value")), "p_value")
+
+
 @query(f"SELECT l_orderkey, l_linenumber, {r('l_quantity + l_discount')} AS amount, {r('l_tax + l_extendedprice')} AS price, {r('l_quantity + l_discount + l_tax + l_extendedprice')} AS total, CASE WHEN l_quantity + l_discount > l_tax + l_extendedprice THEN 'amount' ELSE 'price' END AS top_group FROM lineitem")
 def q_group_scores(spark, sf_dir):
     a = F.struct(F.array("l_quantity", F.lit(0.0), F.lit(0.0), "l_extendedprice").alias("high"), F.array(F.lit(0.0), "l_discount", "l_tax", F.lit(0.0)).alias("low"))
@@ -529,6 +537,12 @@ def q_reservoir_sample(spark, sf_dir):
     return forest.sample(_points(spark, sf_dir), PARAMS).where("tree_id < 3").select("tree_id", "point_id")
 
 
+@query()
+def q_reservoir_sample_all(spark, sf_dir):
+    """Of all trees; the SQL above has three."""
+    return forest.sample(_points(spark, sf_dir), PARAMS).select("tree_id", "point_id")
+
+
 @query("""WITH p AS (SELECT l_orderkey * 16 + l_linenumber AS point_id, least(l_quantity, 100) / 10 AS x FROM lineitem),
 t AS (SELECT point_id, x, CASE WHEN x < 1 THEN 1 - x WHEN x > 4 THEN x - 4 ELSE 0 END AS e FROM p),
 s AS (SELECT point_id, x, e / (3 + e) AS p0 FROM t),
@@ -552,6 +566,19 @@ def q_forensic(spark, sf_dir):
     return rounded(ag.forensic(rows, _PROBE), "expected", "stddev", "delta", "zscore")
 
 
+def _copies(rows: DataFrame, *by) -> DataFrame:
+    """With rows that repeat a point_id told apart by their place among them."""
+    place = F.row_number().over(Window.partitionBy("point_id").orderBy(*by)) - 1
+    return rows.withColumn("copy", place).withColumn("point_id", F.struct("point_id", "copy"))
+
+
+@query()
+def q_forensic_all(spark, sf_dir):
+    """Over all orders and repeated ids; the SQL above has a fifth of the orders."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("point_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    return rounded(ag.forensic(_copies(rows, *DIMS), _PROBE), "expected", "stddev", "delta", "zscore")
+
+
 # ---- triage and sources -----------------------------------------------------
 
 
@@ -585,6 +612,14 @@ def q_shapley_linear(spark, sf_dir):
     return rounded(triage.shapley(rows, score, 4, [25.0, 40000.0, 0.05, 0.04], permutations=8), "contribution")
 
 
+@query()
+def q_shapley_linear_all(spark, sf_dir):
+    """Over all orders and repeated ids; the SQL above has a fiftieth of the orders, without repeated ids."""
+    score = lambda df: df.withColumn("score", F.col("features")[0] + 2 * F.col("features")[1] + 3 * F.col("features")[2] + 4 * F.col("features")[3])
+    out = triage.shapley(_copies(_points(spark, sf_dir), "features"), score, 4, [25.0, 40000.0, 0.05, 0.04], permutations=8)
+    return rounded(out.select("point_id.point_id", "point_id.copy", "dim", "contribution"), "contribution")
+
+
 @query("SELECT event_id, ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-11 12:00:00' OR ts BETWEEN TIMESTAMP '2024-01-20 06:00:00' AND TIMESTAMP '2024-01-20 18:00:00' AS label FROM events")
 def q_label_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.lit("all").alias("series"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))

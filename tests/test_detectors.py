@@ -308,3 +308,25 @@ def test_profiles_of_all_users(spark):
         own = [d for (u, _), d in want.items() if u == user]
         assert abs(got[user][0] - max(own)) < 1e-3 and abs(got[user][1] - min(own)) < 1e-3
     assert got.keys() == {u for u, _ in want} and {u % 10 for u in got} != {1}
+
+
+def test_whole_table_queries(spark):
+    q = lambda name: registered.queries()[name](spark, SF).toPandas()
+    events, items = pd.read_parquet(f"{SF}/events.parquet"), pd.read_parquet(f"{SF}/lineitem.parquet")
+    got = q("fisher_all").set_index("user_id")["p_value"]
+    assert set(got.index) == set(events["user_id"])
+    for user, ids in events.groupby("user_id")["event_id"]:
+        x = -sum(math.log((i % 97 + 1) / 98) for i in ids)
+        want = sum(math.exp(-x + i * math.log(x) - math.lgamma(i + 1)) for i in range(len(ids)))
+        assert abs(got[user] - min(1, want)) < 1e-5
+    got = q("forensic_all").set_index("dim")
+    for dim in registered.DIMS:
+        v = items[dim].astype(float)
+        assert got.loc[dim, "live_points"] == len(items) and abs(got.loc[dim, "expected"] - v.mean()) < 1e-4 and abs(got.loc[dim, "stddev"] - v.std()) < 1e-4
+    got = q("shapley_linear_all")
+    assert len(got) == 4 * len(items) and not got.duplicated(["point_id", "copy", "dim"]).any()
+    for dim, (name, factor, base) in enumerate(zip(registered.DIMS, (1, 2, 3, 4), (25.0, 40000.0, 0.05, 0.04), strict=True)):
+        want = factor * (items[name].astype(float) - base)
+        assert np.allclose(np.sort(got[got["dim"] == dim]["contribution"].astype(float)), np.sort(want), atol=1e-4)
+    got = q("reservoir_sample_all")
+    assert (got.groupby("tree_id").size() == 256).all() and got["tree_id"].nunique() == 100
