@@ -69,6 +69,23 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def same_runs(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether run ``i`` of ``sizes[i]`` bytes is the same in ``a`` and in ``b``; a few MB of temporaries at a time."""
+    out = np.ones(len(sizes), bool)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + BLOCK, side="right")) - 1)
+        n = sizes[first:last]
+        step = np.arange(edge[last] - edge[first]) - np.repeat(edge[first:last] - edge[first], n)
+        differ = a[np.repeat(a_starts[first:last], n) + step] != b[np.repeat(b_starts[first:last], n) + step]
+        if differ.any():
+            bad = np.concatenate([[0], np.cumsum(differ)])
+            out[first:last] = bad[edge[first + 1 : last + 1] - edge[first]] == bad[edge[first:last] - edge[first]]
+        first = last
+    return out
+
+
 def _odd_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[0] = 1
@@ -79,7 +96,8 @@ class RunHasher:
     """64-bit hashes of many byte runs at once, from one running sum over the block.
 
     ``sum(T[byte] * r**position)`` modulo 2**64 over a run, divided by ``r**start``.  T is a
-    fixed random table.  Equal runs have equal hashes; users confirm hits on the bytes.
+    fixed random table.  Equal runs have equal hashes, but different runs may too (Thue-Morse words
+    do by construction): users confirm hits on the bytes with :func:`same_runs`.
     """
 
     def __init__(self, seed: int = 1):
