@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct new words of a batch are concatenated, their suffixes sorted, and every piece
-of the vocabulary binary-searched for its range of occurrences.  The ranges give all edges
-(position, length, piece) of the batch, which are put in order of position.  Words are then
-relaxed over these edges.
+A batch's text is indexed as its distinct words (nothing is kept between batches): they are
+concatenated, their suffixes sorted, and every piece of the vocabulary binary-searched for its
+range of occurrences.  The ranges give all edges (position, length, piece) of the batch, which
+are put in order of position.  Words are then relaxed over these edges.
 
 For a unigram model the relaxation would be the best path by summed scores.  The vocabulary
 file here is of the BPE kind, where that path differs from the library's ids, so the edges
@@ -14,9 +14,14 @@ That gives the library's ids exactly; characters outside the vocabulary become b
 The model is read with the sentencepiece library: identity normalisation, one space before the
 text, spaces as U+2581.  Other normalisers are refused.
 
+What is held follows ``SUFFIX_CHARS``: a longer word (a text without spaces, say) is indexed window
+by window and parted where no edge of two or more characters crosses; only a stretch that pieces
+chain together without such a place is held whole, about 200 bytes a character.
+
 Defined cases: null and empty texts have no ids and decode to the empty text; very long words
 are relaxed with a heap; a text of white space only keeps each space; repeated rows are
-encoded each for itself; extra columns are left out of :func:`encode` and kept by nothing.
+encoded each for itself; :func:`encode` passes the columns named in ``keep`` on, but for those whose
+names are its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import blocks, column_bytes
 from .wordcache import WordCache
 
 SPACE = "▁"
-CACHE_WORDS = 500_000
 SUFFIX_CHARS = 1 << 18
 HEAP_CHARS = 96
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
 _FAR = np.iinfo(np.int64).max
 
 
@@ -111,7 +116,7 @@ class SuffixMatcher:
 
 
 class PieceEncoder(WordCache):
-    def __init__(self, model_file: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, model_file: str, suffix_chars: int = SUFFIX_CHARS):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -120,7 +125,8 @@ class PieceEncoder(WordCache):
         how = model.normalizer_spec
         if how.precompiled_charsmap or how.remove_extra_whitespaces or not how.add_dummy_prefix or model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback and identity normalisation are supported")
-        super().__init__("<u2" if len(model.pieces) <= 65536 else "<u4", cache_words)
+        super().__init__("<u2" if len(model.pieces) <= 65536 else "<u4", 0)
+        self.suffix_chars = suffix_chars
         normal = [(p.piece, i) for i, p in enumerate(model.pieces) if p.type == 1]
         inner = [p for p, _ in normal if SPACE in p.lstrip(SPACE)]
         if inner or any("\n" in p for p, _ in normal):
@@ -152,8 +158,14 @@ class PieceEncoder(WordCache):
         begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
         first = 0
         while first < len(texts):
+            if len(texts[first]) > self.suffix_chars:
+                parts = [self._relax(t + "\0", [len(t)])[0] for t in self._parted(texts[first])]
+                ids = np.concatenate(parts)
+                begin[first], size[first] = self.add(ids), len(ids)
+                first += 1
+                continue
             last, total = first, 0
-            while last < len(texts) and (last == first or total + len(texts[last]) + 1 <= SUFFIX_CHARS):
+            while last < len(texts) and (last == first or total + len(texts[last]) + 1 <= self.suffix_chars):
                 total += len(texts[last]) + 1
                 last += 1
             ids, count = self._relax("\0".join(texts[first:last]) + "\0", [len(t) for t in texts[first:last]])
@@ -162,6 +174,32 @@ class PieceEncoder(WordCache):
             first = last
         return begin, size
 
+    def _parted(self, text: str):
+        """Parts of a long word that no edge of two or more characters crosses."""
+        begin, width = 0, self.suffix_chars
+        while begin < len(text):
+            chars = np.frombuffer(text[begin : begin + width].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            if begin + width >= len(text):
+                yield text[begin:]
+                return
+            crossed = self._crossed(self.matcher.edges(chars))
+            free = np.flatnonzero(crossed[1 : len(chars) - self.matcher.longest] == 0)
+            if len(free):
+                yield text[begin : begin + 1 + int(free[-1])]
+                begin, width = begin + 1 + int(free[-1]), self.suffix_chars
+            else:
+                width *= 2
+
+    @staticmethod
+    def _crossed(edges: np.ndarray) -> np.ndarray:
+        """Per place, how many positions' longest edges begin before it and end behind it."""
+        longest = (edges.shape[1] - 1 - np.argmax(edges[:, ::-1] >= 0, axis=1)) * (edges >= 0).any(axis=1)
+        wide = np.flatnonzero(longest > 1)
+        reach = np.zeros(len(edges) + 1, np.int64)
+        np.add.at(reach, wide + 1, 1)
+        np.subtract.at(reach, wide + longest[wide], 1)
+        return np.cumsum(reach)
+
     def _relax(self, text: str, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         edges = self.matcher.edges(chars)
@@ -170,12 +208,7 @@ class PieceEncoder(WordCache):
         at = np.delete(np.arange(len(chars)), ends - 1)
         word = word[at]
         # a place that no edge of two or more characters covers parts a word
-        reach = np.zeros(len(chars) + 1, np.int64)
-        longest = (edges.shape[1] - 1 - np.argmax(edges[:, ::-1] >= 0, axis=1)) * (edges >= 0).any(axis=1)
-        wide = np.flatnonzero(longest > 1)
-        np.add.at(reach, wide + 1, 1)
-        np.subtract.at(reach, wide + longest[wide], 1)
-        joined = np.cumsum(reach)[at] > 0
+        joined = self._crossed(edges)[at] > 0
         joined[0] = False
         group = np.cumsum(~joined | (np.concatenate([[-1], word[:-1]]) != word)) - 1
         start, length = at.copy(), np.ones(len(at), np.int64)
@@ -273,6 +306,9 @@ def kept_encoder(model_file: str) -> PieceEncoder:
     return PieceEncoder(model_file)
 
 
+OUT = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_(), "ids": pa.list_(pa.int32())}
+
+
 def _encode(batches, model_file: str):
     """One output batch per block, so what a task holds follows the block and not Spark's batch."""
     encoder = kept_encoder(model_file)
@@ -289,12 +325,18 @@ def _encode(batches, model_file: str):
             sizes = [len(x) // encoder.dtype.itemsize for x in bodies]
             flat = np.frombuffer(b"".join(bodies), encoder.dtype).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists], ["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids"])
-
-
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (as unsigned 32-bit little-endian), round_trip (decoding gives the text), ids."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _encode(it, model_file), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>")
+            made = [pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists]
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[2:]], ["doc_id", *OUT, *batch.schema.names[2:]])
+
+
+def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (as unsigned 32-bit little-endian), round_trip (decoding gives the text), ids, and the columns of ``keep``."""
+    own = {"doc_id", "text", *OUT}
+    keep = [c for c in keep or [] if c.lower() not in own]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>").fields, *rows.schema.fields[2:]])
+    return rows.mapInArrow(lambda it: _encode(it, model_file), schema)
 
 
 def _decode(batches, model_file: str):
