@@ -2,25 +2,29 @@
 
 Layout of a shard: ``<name>.ids`` holds the ids of its documents, one after another, as
 little-endian unsigned integers of 2 bytes (4 for vocabularies over 65,536), and ``<name>.idx``
-holds the index.  The index has no key table to search: a multi-level minimal perfect hash
-maps each of the shard's n distinct keys to a number below n; that slot stores a 32-bit
-fingerprint of the key, and where in the shard its first document begins and how many
-documents it has.  A lookup is a few array reads whatever the size.  A key that was never
-written is refused by its fingerprint (but for one in about 4 billion).
-
-Documents are dealt to shards by ranges of doc_id, sorted by (doc_id, text).  Each task
-streams its ids to a file of its own name and reports it; only files that the finished job
-reports are in the manifest, so retried or lost tasks leave nothing that is read.
-
-Defined cases: null texts are empty and have the end id only; null doc_ids come first, as one
-key; repeated doc_ids are one key with several documents, in order of their texts; an empty
-table gives an empty manifest.
+holds the index.  The index has no keys: a multi-level minimal perfect hash (bitmaps of 64-bit
+words, one running count a word: about 4 bits a key) maps each of the shard's n distinct keys to a
+number below n; that slot stores a 32-bit fingerprint of the key, and which documents of the shard
+are the key's; document numbers give byte offsets.  The sections are flat arrays behind a header of
+fixed size, so a lookup is a few array reads whatever the size, and :class:`ShardIndex` works on the
+file as it is, without rebuilding anything.  A key that was never written is refused by its
+fingerprint (but for one in about 4 billion).
+
+Documents are dealt to shards by ranges of doc_id, about ``SHARD_BYTES`` of text each but
+``MAX_SHARDS`` shards at most, so the manifest that the driver holds is bounded (some 10 MB).  Rows of
+one doc_id are in order of their texts' first 64 characters, then of their place in the input, and
+may span shards: a hot key is split like any other.  Each task streams its ids to a file of its own
+name and reports it; only files that the finished job reports are in the manifest, so retried or lost
+tasks leave nothing that is read.
+
+Defined cases: null texts are empty and have the end id only; null doc_ids come first, as one key (as
+does -2**63, which stands for them in the files); repeated doc_ids are one key with several documents;
+extra columns are ignored; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
 
 import functools
-import io
 import os
 import uuid
 import zlib
@@ -38,7 +42,10 @@ from .wordcache import WordCache
 
 END_ID = 0
 NULL_KEY = -(2**63)
+MAGIC = 0x3130584449505054  # fixed value: the format's first eight bytes
 CACHE_WORDS = 1_000_000
+SHARD_BYTES = 32 << 20
+MAX_SHARDS = 1 << 16
 
 
 def open_folder(uri: str):
@@ -111,40 +118,43 @@ class PerfectHash:
     """n distinct 64-bit keys -> 0..n-1, by levels of bitmaps: a key's number is the rank of its bit.
 
     A level's bitmap marks the places hit by exactly one of the keys that are left; keys that
-    collide go on to the next level.  About 3 bits a key with ``gamma`` 1.
+    collide go on to the next level.  ``words`` are the levels' bitmaps one after another,
+    ``ranks`` the number of bits set before each word, ``sizes`` the levels' numbers of places.
     """
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.ranks, before = [], 0
-        for bits in levels:
-            self.ranks.append(before + np.concatenate([[0], np.cumsum(bits, dtype=np.int64)[:-1]]))
-            before += int(bits.sum())
-        self.n = before
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, ranks: np.ndarray):
+        self.sizes, self.words, self.ranks = sizes, words, ranks
+        self.first = np.concatenate([[0], np.cumsum(-(-sizes // 64))])
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 1.25) -> PerfectHash:
-        levels, left = [], keys
+        sizes, parts, left = [], [], keys
         while len(left):
             size = max(1, int(len(left) * gamma))
-            at = (_mix(left, len(levels) + 1) % np.uint64(size)).astype(np.int64)
-            single = np.bincount(at, minlength=size) == 1
-            levels.append(single)
+            at = (_mix(left, len(sizes) + 1) % np.uint64(size)).astype(np.int64)
+            single = np.zeros(-(-size // 64) * 64, bool)
+            single[:size] = np.bincount(at, minlength=size) == 1
+            sizes.append(size)
+            parts.append(np.packbits(single, bitorder="little").view("<u8"))
             left = left[~single[at]]
-            if len(levels) > 200:
+            if len(sizes) > 200:
                 raise ValueError("keys are not distinct")
-        return cls(levels)
+        words = np.concatenate([np.zeros(0, "<u8"), *parts])
+        return cls(np.array(sizes, np.int64), words, np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the keys; -1 where no level has a bit for it (surely a stranger)."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for level, (bits, ranks) in enumerate(zip(self.levels, self.ranks, strict=True)):
+        for level, size in enumerate(self.sizes.tolist()):
             if not len(left):
                 break
-            at = (_mix(keys[left], level + 1) % np.uint64(len(bits))).astype(np.int64)
-            here = bits[at]
-            out[left[here]] = ranks[at[here]]
+            at = (_mix(keys[left], level + 1) % np.uint64(size)).astype(np.int64)
+            place, bit = self.first[level] + (at >> 6), (at & 63).astype(np.uint64)
+            word = self.words[place]
+            here = (word >> bit) & np.uint64(1) > 0
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[left[here]] = self.ranks[place[here]] + below[here]
             left = left[~here]
         return out
 
@@ -158,7 +168,6 @@ class ShardIndex:
     first: np.ndarray  # by slot: number of its first document
     count: np.ndarray  # by slot: how many documents it has
     offsets: np.ndarray  # by document: its first id; one more at the end
-    keys: np.ndarray  # by document, for listing only
     id_bytes: int
 
     @classmethod
@@ -166,29 +175,33 @@ class ShardIndex:
         distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
         hashed = PerfectHash.build(distinct)
         slot = hashed(distinct)
-        prints, begin, several = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        prints, begin, several = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<i8"), np.zeros(len(distinct), "<i8")
         prints[slot] = (_mix(distinct, 0) >> np.uint64(32)).astype(np.uint32)
         begin[slot], several[slot] = first, count
-        return cls(hashed, prints, begin, several, np.concatenate([[0], np.cumsum(sizes)]), keys, id_bytes)
+        return cls(hashed, prints, begin, several, np.concatenate([[0], np.cumsum(sizes)]), id_bytes)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First document and number of documents of each key; -1 and 0 for strangers."""
         slot = self.hash(keys)
         good = slot >= 0
         good[good] = self.prints[slot[good]] == (_mix(keys[good], 0) >> np.uint64(32)).astype(np.uint32)
-        return np.where(good, self.first[slot], -1), np.where(good, self.count[slot], 0)
+        return np.where(good, self.first[slot] if len(self.first) else -1, -1), np.where(good, self.count[slot] if len(self.count) else 0, 0)
 
     def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        levels = {f"level{k}": np.packbits(b) for k, b in enumerate(self.hash.levels)}
-        np.savez(out, sizes=np.array([len(b) for b in self.hash.levels], np.int64), prints=self.prints, first=self.first, count=self.count, offsets=self.offsets, keys=self.keys, id_bytes=np.array(self.id_bytes), **levels)
-        return out.getvalue()
+        parts = [self.hash.sizes, self.hash.words, self.hash.ranks, self.first, self.count, self.offsets, self.prints]
+        head = np.array([MAGIC, self.id_bytes, *map(len, parts)], "<i8")
+        return head.tobytes() + b"".join(np.ascontiguousarray(x).astype(x.dtype.newbyteorder("<")).tobytes() for x in parts)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> ShardIndex:
-        z = np.load(io.BytesIO(raw))
-        levels = [np.unpackbits(z[f"level{k}"], count=int(n)).astype(bool) for k, n in enumerate(z["sizes"])]
-        return cls(PerfectHash(levels), z["prints"], z["first"], z["count"], z["offsets"], z["keys"], int(z["id_bytes"]))
+        """Views of the file's bytes."""
+        head, at, parts = np.frombuffer(raw, "<i8", 9), 72, []
+        if head[0] != MAGIC:
+            raise ValueError("not an index of this format")
+        for n, kind in zip(head[2:].tolist(), ("<i8", "<u8", "<i8", "<i8", "<i8", "<i8", "<u4"), strict=True):
+            parts.append(np.frombuffer(raw, kind, n, at))
+            at += parts[-1].nbytes
+        return cls(PerfectHash(*parts[:3]), parts[6], parts[3], parts[4], parts[5], int(head[1]))
 
 
 def _write_shard(batches, folder: str, tokenizer_file: str):
@@ -216,22 +229,24 @@ def _write_shard(batches, folder: str, tokenizer_file: str):
     index = ShardIndex.build(np.concatenate(keys), np.array(sizes, np.int64), encoder.dtype.itemsize)
     with files.open_output_stream(f"{path}/{name}.idx") as f:
         f.write(index.to_bytes())
-    first = index.keys[0]
-    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [len(index.keys)], "n_tokens": [int(index.offsets[-1])], "first_key": [int(first)], "last_key": [int(index.keys[-1])]})
+    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [len(sizes)], "n_tokens": [int(index.offsets[-1])], "first_key": [int(keys[0][0])], "last_key": [int(keys[-1][-1])]})
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes and writes all documents; returns the manifest, a row per shard, in key order.
 
-    The manifest (about 100 bytes a shard, whatever the shard's size) is what the driver
+    The manifest (about 150 bytes for each of at most ``MAX_SHARDS`` shards) is what the driver
     holds; ``start`` is the number of ids before the shard.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first(), F.col("_place")]
+    dealt = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = "shard int, name string, n_docs long, n_tokens long, first_key long, last_key long"
-    found = sorted(rows.mapInArrow(lambda it: _write_shard(it, folder, tokenizer_file), schema).collect())
+    found = sorted(dealt.mapInArrow(lambda it: _write_shard(it, folder, tokenizer_file), schema).collect())
     start, out = 0, []
     for r in found:
         out.append((folder, *r, start))
@@ -239,63 +254,78 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str | None = None
     return spark.createDataFrame(out, f"folder string, {schema}, start long")
 
 
-def _load(folder: str, name: str):
+@functools.lru_cache(maxsize=4)
+def _opened(folder: str, name: str):
+    """A shard's index as its file holds it, and its ids' file, for the tasks of a worker."""
     files, path = open_folder(folder)
     with files.open_input_stream(f"{path}/{name}.idx") as f:
-        return ShardIndex.from_bytes(f.read()), files, f"{path}/{name}.ids"
+        return ShardIndex.from_bytes(f.read()), files.open_input_file(f"{path}/{name}.ids")
 
 
-def _read_shards(batches):
+def _manifest(manifest: DataFrame) -> list[tuple]:
+    return sorted((r.shard, r.folder, r.name, r.first_key, r.last_key, r.start) for r in manifest.collect())
+
+
+def _documents(batches, shards: list[tuple]):
+    """(key, place of the first id, ids) of every document of the keys, each fetched by key: range, hash, seek."""
+    firsts, lasts = np.array([s[3] for s in shards], np.int64), np.array([s[4] for s in shards], np.int64)
     for batch in batches:
-        for r in batch.to_pylist():
-            index, files, path = _load(r["folder"], r["name"])
-            # every document is fetched through its key
-            place, count = index.find(index.keys)
-            number = place + np.arange(len(place)) - np.searchsorted(index.keys, index.keys)
-            if (count == 0).any() or (number != np.arange(len(place))).any():
-                raise ValueError(f"index and shard {r['name']} differ")
-            dtype, out = np.dtype(f"<u{index.id_bytes}"), []
-            with files.open_input_stream(path) as f:
-                for n in np.diff(index.offsets)[number].tolist():
-                    ids = np.frombuffer(f.read(n * index.id_bytes), dtype)
-                    out.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            keys = pa.array(index.keys, mask=index.keys == NULL_KEY)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(r["start"] + index.offsets[:-1][number]), pa.array(np.diff(index.offsets)[number]), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def read_back(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    shards = max(1, manifest.count())
-    return manifest.repartitionByRange(shards, "shard").mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _fetch(pdf_iter, shards: list[dict]):
-    edges = np.array([s["first_key"] for s in shards], np.int64)
-    for pdf in pdf_iter:
-        keys = pdf["doc_id"].to_numpy(np.int64)
-        where = np.searchsorted(edges, keys, side="right") - 1
+        keys = np.unique(batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+        # shards whose ranges hold a key: one, or several neighbours where a key spans them
+        low, high = np.searchsorted(lasts, keys, side="left"), np.searchsorted(firsts, keys, side="right")
         out = []
-        for s in np.unique(where[where >= 0]).tolist():
-            index, files, path = _load(shards[s]["folder"], shards[s]["name"])
-            mine = keys[where == s]
+        for k in range(int(low.min(initial=len(shards))), int(high.max(initial=0))):
+            mine = keys[(low <= k) & (k < high)]
+            if not len(mine):
+                continue
+            _, folder, name, _, _, start = shards[k]
+            index, f = _opened(folder, name)
             place, count = index.find(mine)
-            with files.open_input_file(path) as f:
-                for key, first, n in zip(mine.tolist(), place.tolist(), count.tolist(), strict=True):
-                    for d in range(first, first + n):
-                        a, b = int(index.offsets[d]), int(index.offsets[d + 1])
-                        f.seek(a * index.id_bytes)
-                        out.append((key, np.frombuffer(f.read((b - a) * index.id_bytes), f"<u{index.id_bytes}").astype(np.int32)))
-        import pandas as pd
+            for key, first, n in zip(mine.tolist(), place.tolist(), count.tolist(), strict=True):
+                for d in range(first, first + n):
+                    a, b = int(index.offsets[d]), int(index.offsets[d + 1])
+                    f.seek(a * index.id_bytes)
+                    out.append((key, start + a, np.frombuffer(f.read((b - a) * index.id_bytes), f"<u{index.id_bytes}")))
+                    if len(out) == 1024:
+                        yield out
+                        out = []
+        yield out
+
+
+def _keys(keys: DataFrame, shards: int) -> DataFrame:
+    """Distinct keys in ranges, so that a task needs few shards and each of them once."""
+    distinct = keys.select(F.col("doc_id").cast("long")).distinct()
+    return distinct.repartitionByRange(max(1, shards), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([None if r[0] == NULL_KEY else r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
 
-        yield pd.DataFrame(out, columns=["doc_id", "ids"])
+
+def read_back(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of the keys (doc_id), fetched by key from the files."""
+    shards = _manifest(manifest)
+
+    def run(batches):
+        for rows in _documents(batches, shards):
+            crc = [zlib.crc32(r[2].astype("<u4").tobytes()) for r in rows]
+            yield pa.RecordBatch.from_arrays([*_columns(rows), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _keys(keys, len(shards)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of the documents of given keys: the shard by its key range, the place by its index."""
-    shards = [r.asDict() for r in sorted(manifest.collect(), key=lambda r: r.shard)]
-    return keys.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().mapInPandas(lambda it: _fetch(it, shards), "doc_id long, ids array<int>")
+    """doc_id, start and ids of the documents of given keys; keys that were never written have no row."""
+    shards = _manifest(manifest)
+
+    def run(batches):
+        for rows in _documents(batches, shards):
+            ids = pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*_columns(rows), ids], ["doc_id", "start", "ids"])
+
+    return _keys(keys, len(shards)).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def token_index(spark: SparkSession, docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Writes all documents and reads them back."""
-    return read_back(write_tokens(docs, tokenizer_file))
+    """Writes all documents and reads each back through its key."""
+    return read_back(write_tokens(docs, tokenizer_file), docs)
