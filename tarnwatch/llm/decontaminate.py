@@ -9,27 +9,31 @@ Defined cases: a null or wordless text has no words and no hits; a null item id
 together with its text; repeated rows are scanned each for itself; an empty benchmark hits
 nothing; other columns of the documents pass through :func:`remove_spans` unchanged.
 
-The set is broadcast in blocks of at most ``max_set_bytes`` of benchmark text.  A benchmark
-of one block is one pass.  A larger one takes one pass of the documents per block, each of
-which adds to a bitmap of hit words that travels with the row, so no broadcast grows with
-the benchmark.
+The set holds the lower-cased text once and 24 bytes a window (hash, place, list of owners), and
+each distinct list of owning items once.  It is broadcast in blocks of at most ``max_set_bytes`` of
+benchmark text, built, used and dropped one at a time.  A benchmark of one block is one pass; a larger
+one takes one pass of the documents per block, each of which adds to a bitmap of hit words that
+travels with the row and is settled in the shared folder before the next, so neither broadcasts nor
+the driver grow with the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs
+from .shared import settled
+from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs, same_runs
 
 WIDTH = 8
 CONTAMINATED_ITEMS = 2
-MAX_SET_BYTES = 64 << 20
+MAX_SET_BYTES = 32 << 20
 HIT, ITEMS = "_tarnwatch_hit", "_tarnwatch_items"
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
@@ -46,49 +50,94 @@ def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+@dataclass
+class Windows:
+    """Distinct windows of one size, sorted by hash."""
+
+    hashes: np.ndarray  # uint64
+    places: np.ndarray  # by window: number of its first word
+    lists: np.ndarray  # by window: number of its list of owners
+
+    def __post_init__(self):
+        bits = max(16, min(24, len(self.hashes).bit_length() + 5))
+        self.shift = np.uint64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[self.hashes >> self.shift] = True
+
+
 class WindowSet:
-    """Windows of a block of benchmark items, found by hash and confirmed by their words."""
+    """Windows of a block of benchmark items, found by hash and confirmed by their words' bytes."""
 
     def __init__(self, items: list[tuple[str, str]], width: int = WIDTH):
         self.items = [i for i, _ in items]
-        found: dict[int, dict[bytes, list[int]]] = {}
-        for number, (_, text) in enumerate(items):
-            words = item_words(text)
-            size = min(width, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                owners = found.setdefault(size, {}).setdefault(b" ".join(words[k : k + size]), [])
-                if not owners or owners[-1] != number:
-                    owners.append(number)
-        self.by_size = found
-        self._ready = None
-
-    def __getstate__(self):
-        return {"items": self.items, "by_size": self.by_size, "_ready": None}
-
-    def ready(self):
-        """Per window size: a bitmap of hash prefixes, the sorted hashes, and hash -> windows."""
-        if self._ready is None:
-            hasher, out = RunHasher(), {}
-            for size, windows in self.by_size.items():
-                joined = np.frombuffer(b" ".join(windows), np.uint8)
-                starts, ends = runs(ALNUM[joined], np.array([0, len(joined)]))
-                h = _window_hashes(hasher(joined, starts, ends), size)[::size]
-                table: dict[int, list[bytes]] = {}
-                for key, window in zip(h.tolist(), windows, strict=True):
-                    table.setdefault(key, []).append(window)
-                bits = max(16, min(24, int(len(windows)).bit_length() + 5))
-                some = np.zeros(1 << bits, bool)
-                some[h >> np.uint64(64 - bits)] = True
-                out[size] = (np.uint64(64 - bits), some, np.unique(h), table)
-            self._ready = (hasher, out)
-        return self._ready
-
-
-def item_words(text: str | None) -> list[bytes]:
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends = runs(ALNUM[data], np.array([0, len(data)]))
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self.hasher = RunHasher()
+        raw, offsets = column_bytes(pa.array([t or "" for _, t in items], pa.large_string()))
+        self.data, hashes = LOWER[raw], []
+        begins, sizes, owners = [], [], []
+        for a, b in blocks(offsets):
+            part, where = self.data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts, ends = runs(ALNUM[part], where)
+            hashes.append(self.hasher(part, starts, ends))
+            begins.append(starts + offsets[a])
+            sizes.append((ends - starts).astype(np.int32))
+            owners.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(np.searchsorted(starts, where))))
+        whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        self.begins, self.sizes = whole(begins, np.int64), whole(sizes, np.int32)
+        words, owner = whole(hashes, np.uint64), whole(owners, np.int32)
+        count = np.bincount(owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        self.by_size: dict[int, Windows] = {}
+        lists: dict[bytes, int] = {}
+        own = np.minimum(width, count)  # the window size of each item
+        for size in np.unique(own[own > 0]).tolist():
+            h = _window_hashes(words, size)
+            place = np.flatnonzero(owner[: len(h)] == owner[size - 1 :][: len(h)])
+            place = place[own[owner[place]] == size]
+            self.by_size[size] = self._distinct(h[place], place, size, owner, len(items), lists)
+        # owners of window list ``len(items) + k``; a number below that is the one item itself
+        self.owners = [np.frombuffer(x, np.int32) for x in lists]
+        self.hasher = RunHasher()  # without the tables that the build has grown
+
+    def _distinct(self, h: np.ndarray, place: np.ndarray, size: int, owner: np.ndarray, items: int, lists: dict[bytes, int]) -> Windows:
+        """One window for each distinct content; different contents of the same hash stay apart."""
+        order = np.argsort(h, kind="stable")
+        h, place = h[order], place[order]
+        name, left, kept = np.zeros(len(h), np.int64), np.arange(len(h)), []
+        while len(left):
+            head = np.ones(len(left), bool)
+            head[1:] = h[left[1:]] != h[left[:-1]]
+            first = left[head][np.cumsum(head) - 1]
+            same = self.same_words(self, place[left], place[first], size)
+            name[left[same]] = first[same]
+            kept.append(left[head])
+            left = left[~same]
+        kept = np.sort(np.concatenate([np.zeros(0, np.int64), *kept]))
+        pairs = np.unique(np.searchsorted(kept, name) << 32 | owner[place].astype(np.int64))
+        edge = np.searchsorted(pairs >> 32, np.arange(len(kept) + 1))
+        members = (pairs & 0xFFFFFFFF).astype(np.int32)
+        numbers = members[edge[:-1]]
+        for k in np.flatnonzero(np.diff(edge) > 1).tolist():
+            numbers[k] = items + lists.setdefault(members[edge[k] : edge[k + 1]].tobytes(), len(lists))
+        return Windows(h[kept], place[kept], numbers)
+
+    def same_words(self, other, mine: np.ndarray, theirs: np.ndarray, size: int) -> np.ndarray:
+        """Whether ``size`` words from word ``mine`` of ``other`` (with data, begins, sizes) are those from ``theirs`` on here."""
+        out = np.zeros(len(mine), bool)
+        for first in range(0, len(mine), 1 << 17):
+            live = np.arange(first, min(len(mine), first + (1 << 17)))
+            for k in range(size):
+                a, b = mine[live] + k, theirs[live] + k
+                equal = other.sizes[a] == self.sizes[b]
+                live, a, b = live[equal], a[equal], b[equal]
+                live = live[same_runs(other.data, other.begins[a], self.data, self.begins[b], self.sizes[b].astype(np.int64))]
+            out[live] = True
+        return out
+
+
+@dataclass
+class _Words:
+    data: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
 
 
 def scan_block(data: np.ndarray, offsets: np.ndarray, windows: WindowSet):
@@ -96,36 +145,39 @@ def scan_block(data: np.ndarray, offsets: np.ndarray, windows: WindowSet):
     data = LOWER[data]
     starts, ends = runs(ALNUM[data], offsets)
     first = np.searchsorted(starts, offsets)
-    hasher, sizes = windows.ready()
-    words = hasher(data, starts, ends)
+    words = windows.hasher(data, starts, ends)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     hit = np.zeros(len(words) + 1, np.int64)
-    pairs: set[tuple[int, int]] = set()
-    raw = data.tobytes() if len(words) else b""
-    for size, (shift, some, known, table) in sizes.items():
+    mine = _Words(data, starts, ends - starts)
+    found: set[tuple[int, int]] = set()
+    for size, known in windows.by_size.items():
         h = _window_hashes(words, size)
-        maybe = np.flatnonzero(some[h >> shift])
+        maybe = np.flatnonzero(known.some[h >> known.shift])
         maybe = maybe[owner[maybe] == owner[maybe + size - 1]]
-        at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        maybe = maybe[known[at] == h[maybe]]
-        by_window = windows.by_size[size]
-        for i, key, doc in zip(maybe.tolist(), h[maybe].tolist(), owner[maybe].tolist(), strict=True):
-            text = b" ".join([raw[a:b] for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist(), strict=True)])
-            if text in table[key]:
-                hit[i] += 1
-                hit[i + size] -= 1
-                pairs.update((doc, n) for n in by_window[text])
+        at = np.searchsorted(known.hashes, h[maybe])
+        while len(maybe):  # more than once only where contents share a hash
+            live = at < len(known.hashes)
+            live[live] = known.hashes[at[live]] == h[maybe[live]]
+            maybe, at = maybe[live], at[live]
+            same = windows.same_words(mine, maybe, known.places[at], size)
+            np.add.at(hit, maybe[same], 1)
+            np.subtract.at(hit, maybe[same] + size, 1)
+            found.update(zip(owner[maybe[same]].tolist(), known.lists[at[same]].tolist(), strict=True))
+            maybe, at = maybe[~same], at[~same] + 1
+    # a list of owners counts once a document, however many of its windows occur there
+    alone = len(windows.items)
+    pairs = {(doc, n) for doc, k in found for n in ([k] if k < alone else windows.owners[k - alone].tolist())}
     return starts, ends, first, np.cumsum(hit[:-1]) > 0, pairs
 
 
-def benchmark_blocks(benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> Iterator[WindowSet]:
-    """The benchmark as window sets, each of a block of items of at most ``max_set_bytes`` of text."""
+def benchmark_blocks(benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> Iterator[tuple[WindowSet, bool]]:
+    """The benchmark as window sets, each of a block of items of about ``max_set_bytes`` of text, and whether it is the last."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // max_set_bytes) or 1
     for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows
-        yield WindowSet(sorted(tuple(r) for r in part.collect()), width)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
+        yield WindowSet(sorted(tuple(r) for r in part.collect()), width), k == parts - 1
 
 
 def _scan(batches, windows: WindowSet, key: str, text: str, last: bool):
@@ -161,12 +213,14 @@ def _scan(batches, windows: WindowSet, key: str, text: str, last: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = list(benchmark_blocks(benchmark, width, max_set_bytes))
-    for n, windows in enumerate(sets, 1):
+    for windows, last in benchmark_blocks(benchmark, width, max_set_bytes):
         held = docs.sparkSession.sparkContext.broadcast(windows)
-        last = n == len(sets)
+        del windows
         schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "doc_id long, text string, _hit binary, _items array<string>"
         out = out.mapInArrow(lambda it, held=held, last=last: _scan(it, held.value, "doc_id", "text", last), schema)
+        if not last:
+            out = settled(out)
+            held.destroy()
     return out
 
 
@@ -226,10 +280,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_
     out = docs.withColumn("text", F.col("text").cast("string"))
     plain = out.schema
     extra = [T.StructField(HIT, T.BinaryType()), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
-    sets = list(benchmark_blocks(benchmark, width, max_set_bytes))
-    for n, windows in enumerate(sets):
+    first_pass = True
+    for windows, last in benchmark_blocks(benchmark, width, max_set_bytes):
         held = docs.sparkSession.sparkContext.broadcast(windows)
-        how = {"text": "text", "first_pass": n == 0, "last": n == len(sets) - 1}
+        del windows
+        how = {"text": "text", "first_pass": first_pass, "last": last}
         schema = plain if how["last"] else T.StructType([*plain.fields, *extra])
         out = out.mapInArrow(lambda it, held=held, how=how: _clean(it, held.value, **how), schema)
+        first_pass = False
+        if not last:
+            out = settled(out)
+            held.destroy()
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
