@@ -54,17 +54,79 @@ def test_token_index(spark, docs):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    got = sorted((tuple(r) for r in tokenindex.read_back(manifest).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in tokenindex.read_back(manifest, docs).collect()), key=lambda r: r[1])
     assert got == want
+    small = tokenindex.write_tokens(docs, path, shard_bytes=2000)  # repeated keys span shards
+    assert small.count() > 10 and sorted((tuple(r) for r in tokenindex.read_back(small, docs).collect()), key=lambda r: r[1]) == want
     found = tokenindex.fetch(manifest, spark.createDataFrame([(5,), (7,), (10**6,)], "doc_id long")).collect()
     assert sorted(r.doc_id for r in found) == [5, 5, 5, 7]
     assert all(r.ids == tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids + [0] for r in found)
-    assert tokenindex.read_back(tokenindex.write_tokens(docs.limit(0), path)).count() == 0
+    assert tokenindex.read_back(tokenindex.write_tokens(docs.limit(0), path), docs).count() == 0
+
+
+def test_token_index_of_a_hot_key(spark):
+    """Rows of one key are split over shards and still found whole; clashing columns are ignored."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7 if k % 3 else None, f"text number {k} of one key", k, 1) for k in range(300)] + [(8, "x", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, _place int").repartition(5)
+    manifest = tokenindex.write_tokens(docs, path, shard_bytes=500)
+    assert manifest.where("first_key = 7 and last_key = 7").count() > 2
+    got = tokenindex.read_back(manifest, docs).collect()
+    tokenizer = tokenindex.WordEncoder(path).tokenizer
+    want = sorted((repr(r[0]), zlib.crc32(np.array(tokenizer.encode(r[1]).ids + [0], "<u4").tobytes())) for r in rows)
+    assert sorted((repr(r.doc_id), r.ids_crc32) for r in got) == want
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def colliding(n):
+    """A Thue-Morse word of 2**n characters and its complement: equal under polynomial hashes modulo 2**64."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [9, 10, 11])
+def test_colliding_words(n):
+    import pyarrow as pa
+    import sentencepiece
+
+    from tarnwatch.llm.textbytes import RunHasher, column_bytes
+
+    a, b = colliding(n)
+    if n >= 10:
+        assert len(set(RunHasher(7)(np.frombuffer((a + b).encode(), np.uint8), np.array([0, 2**n]), np.array([2**n, 2 ** (n + 1)])).tolist())) == 1
+    texts = [a, b, f"x {a} {b} {a}", f"{b} {a}", b]
+    encoder = tokenindex.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_block(*column_bytes(pa.array(texts)))]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for chars in (1 << 18, 300):
+        pieces = sentencepieces.PieceEncoder(path, chars)
+        assert [np.frombuffer(x, "<u2").tolist() for x in pieces.encode_texts(*column_bytes(pa.array(texts)))] == [library.encode(t) for t in texts]
+
+
+def test_cached_words_confirm_bytes(monkeypatch):
+    """With every hash the same, ids are still right."""
+    import pyarrow as pa
+
+    from tarnwatch.llm.textbytes import column_bytes
+
+    encoder = tokenindex.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.hasher = lambda data, starts, ends: np.full(len(starts), 9, np.uint64)
+    for texts in (["one two three two", "two one"], ["four one five", "", "one"]):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_block(*column_bytes(pa.array(texts)))]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
-    index = tokenindex.ShardIndex.from_bytes(tokenindex.ShardIndex.build(keys, np.arange(len(keys)), 2).to_bytes())
+    raw = tokenindex.ShardIndex.build(keys, np.arange(len(keys)), 2).to_bytes()
+    index = tokenindex.ShardIndex.from_bytes(raw)
+    assert (index.hash.words.nbytes + index.hash.ranks.nbytes) * 8 < 8 * len(keys)
     assert sorted(index.hash(keys).tolist()) == list(range(len(keys)))
     assert (index.find(keys)[0] == np.arange(len(keys))).all()
     assert (index.find(keys + 1)[1] == np.isin(keys + 1, keys)).all()
@@ -205,6 +267,23 @@ def test_sentencepiece(spark, docs):
     decoded = {r.doc_id: r.text for r in sentencepieces.decode(got, path).collect()}
     assert all(decoded[d] == library.decode(ids) for d, ids in want)
     assert sentencepieces.encode(docs.limit(0), path).count() == 0
+    clash = docs.withColumns({"IDS": docs.lang, "n_pieces": docs.lang})
+    assert sentencepieces.encode(clash, path, ["IDS", "source", "n_pieces"]).columns == ["doc_id", "n_pieces", "ids_crc32", "round_trip", "ids", "source"]
+
+
+def test_sentencepiece_of_one_long_word():
+    """A text without spaces is parted where no piece crosses; the ids are the library's."""
+    import pyarrow as pa
+    import sentencepiece
+
+    from tarnwatch.llm.textbytes import column_bytes
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(8)
+    texts = ["日本語の文です。漢字" * 300, "x" * 3000, "".join(rng.choice("abcdefghiklmnoprstuéß文0=/") for _ in range(4000))]
+    for chars in (256, 1000, 1 << 18):
+        encoder = sentencepieces.PieceEncoder(path, chars)
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_texts(*column_bytes(pa.array(texts)))] == [library.encode(t) for t in texts]
 
 
 @pytest.mark.parametrize(("block", "bits"), [(1024, 64), (7, 64), (16, 6)])
@@ -452,3 +531,33 @@ def test_pipeline_stages(spark, texts, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 400 not in out and 402 not in out and not any(200 <= d < 320 for d in out)
     assert len(out) > 90 and all(r.round_trip for r in out.values())
+
+
+def test_windows_confirm_bytes(monkeypatch):
+    """With every hash the same, only equal windows hit; a window of many items names each once."""
+    import pyarrow as pa
+
+    from tarnwatch.llm.textbytes import RunHasher, column_bytes
+
+    monkeypatch.setattr(RunHasher, "__call__", lambda self, data, starts, ends: np.ones(len(starts), np.uint64))
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(str(k), f"{shared} own{k}") for k in range(5)] + [("9", "One two"), ("8", "ab ba")]
+    windows = decontaminate.WindowSet(items)
+    texts = [f"x {shared} y", "one TWO three", "ba ab ba", "nothing at all of this is in any of the items", f"{shared} own3", ""]
+    _, _, first, hit, pairs = decontaminate.scan_block(*column_bytes(pa.array(texts)), windows)
+    found = defaultdict(set)
+    for d, n in pairs:
+        found[d].add(items[n][0])
+    assert dict(found) == {0: set("01234"), 1: {"9"}, 2: {"8"}, 4: set("01234")}
+    assert [int(hit[a:b].sum()) for a, b in zip(first, first[1:], strict=False)] == [12, 2, 2, 0, 13, 0]
+
+
+def test_window_set_memory():
+    """A benchmark of 8 MB: the broadcast is a few times the text."""
+    import pickle
+
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(50_000)]
+    items = [(str(k), " ".join(vocabulary[i] for i in rng.integers(0, 50_000, 400))) for k in range(3500)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.WindowSet(items))) < 9 * size
