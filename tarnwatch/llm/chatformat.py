@@ -1,25 +1,32 @@
 """Chat formatting: layouts found by schema fingerprint, turned into canonical turns, then text.
 
-The nested field paths and types of a table's schema are hashed.  A registry holds for each
-known layout its paths and a declarative mapping (expressions) to canonical turns; the
-mapping whose paths' fingerprint the schema contains is applied.  Only metadata is read for
-the choice, and everything that follows is DataFrame expressions.
+A table's nested field paths and types, cut to the vocabulary of field names that layouts use, are
+hashed; the fingerprint is looked up in a registry that holds one for every accepted set of paths (a
+layout's required fields with any choice of its optional ones) and gives a declarative mapping
+(expressions) to canonical turns.  A table with fields of several layouts has a fingerprint of its own;
+then the first layout whose fields are all there is taken.  Only metadata is read for the choice, and
+everything that follows is DataFrame expressions.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  Inside roles and texts,
 a ``|`` that follows ``<`` and any number of backslashes gets one backslash more, so no
 control string occurs in them, and reading back takes exactly one away.  In roles, line feeds
-and backslashes are escaped too.  ``loss`` lists the spans (first code point, length) of the
-assistants' texts in the formatted string.
+and backslashes are escaped too.  ``loss`` lists the spans (turn, first code point, length) of the
+assistants' texts in the formatted string.  Where a turn begins comes from sums over blocks of 2, 4,
+8, ... turns, so n turns take about n log n steps; a conversation is one row and one string by
+nature, so a task holds it whole.
 
 Defined cases: null texts and roles are empty; turns are in order of (turn, role, text), so
 ties and repeated rows have one order; rows of a null conversation id are one conversation;
-extra columns, whatever their names, are ignored unless they complete a layout listed before;
-an empty table gives an empty result; an unknown layout is refused with its paths.
+ids may be whole numbers or strings; a conversation without turns is the empty text; extra columns,
+whatever their names, are ignored unless they complete a layout listed before; of a preference pair
+the chosen answer is formatted and the rejected one left out; an empty table gives an empty result;
+an unknown layout is refused with its paths.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,74 +36,111 @@ from pyspark.sql import types as T
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def field_paths(kind: T.DataType, at: str = "") -> set[str]:
-    """``path:type`` of every leaf; array items are ``[]``.  Whole numbers are one type."""
+def _kind(name: str, kind: T.DataType, top: bool) -> str:
+    if top and name in KEYS and isinstance(kind, (T.IntegralType, T.StringType)):
+        return "key"
+    return "int" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
+
+def field_paths(kind: T.DataType, at: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
+    """Names from the top to each leaf, the leaf's type last; array items are ``[]``.  Whole numbers are one type."""
     if isinstance(kind, T.StructType):
-        return {p for f in kind.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)}
+        return {p for f in kind.fields for p in field_paths(f.dataType, (*at, f.name))}
     if isinstance(kind, T.ArrayType):
-        return field_paths(kind.elementType, at + "[]")
-    return {f"{at}:{'int' if isinstance(kind, T.IntegralType) else kind.simpleString()}"}
+        return field_paths(kind.elementType, (*at, "[]"))
+    return {(*at, _kind(at[-1], kind, len(at) == 1))}
+
+
+def fingerprint(paths: set[tuple[str, ...]]) -> str:
+    return hashlib.sha256("\n".join("\0".join(p) for p in sorted(paths)).encode()).hexdigest()[:16]
+
 
+KEYS = ("id", "conv_id")
 
-def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+
+def _paths(*written: str) -> frozenset[tuple[str, ...]]:
+    return frozenset(tuple(x for part in w.split(".") for x in part.split("/")) for w in written)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Paths a table must have, and SQL for its turns: an array of (turn, role, text), or one turn per row."""
+    """Paths a table must have and may have, and SQL for its turns: an array of (turn, role, text), or one turn per row."""
 
     name: str
-    paths: frozenset[str]
+    paths: frozenset[tuple[str, ...]]
     conv_id: str
-    turns: str
+    turns: Callable[[set], str]  # of the optional paths that are there
+    optional: frozenset[tuple[str, ...]] = frozenset()
     by_row: bool = False
 
-    @property
-    def key(self) -> str:
-        return fingerprint(set(self.paths))
+    def accepted(self) -> list[frozenset]:
+        extra = sorted(self.optional)
+        return [self.paths | {x for k, x in enumerate(extra) if m >> k & 1} for m in range(1 << len(extra))]
 
 
-def _pair(first: str, second: str) -> str:
-    return f"array(named_struct('turn', 0L, 'role', 'user', 'text', {first}), named_struct('turn', 1L, 'role', 'assistant', 'text', {second}))"
+def _said(*turns: tuple[str, str]) -> str:
+    return "array(" + ", ".join(f"named_struct('turn', {k}L, 'role', '{r}', 'text', {t})" for k, (r, t) in enumerate(turns)) + ")"
 
 
 def _list(field: str, role: str, text: str) -> str:
     names = f"case lower(m.{role}) when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant' else m.{role} end"
-    return f"transform({field}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', {names}, 'text', m.{text}))"
+    return f"transform({field}, (m, i) -> named_struct('turn', cast(i as bigint), 'role', {names}, 'text', {text}))"
 
 
+_SYSTEM = _paths("system/string")
 _ASK = "concat(instruction, if(coalesce(input, '') = '', '', concat('\\n\\n', input)))"
 
+
+def _pair(first: str, second: str) -> Callable[[set], str]:
+    pair = (("user", first), ("assistant", second))
+    # a system text that is missing or empty is no turn
+    return lambda there: f"if(coalesce(system, '') = '', {_said(*pair)}, {_said(('system', 'system'), *pair)})" if _SYSTEM & there else _said(*pair)
+
+
+def _dialogue(field: str, role: str, text: str) -> Callable[[set], str]:
+    turns = _list(field, role, text)
+    head = "array(named_struct('turn', -1L, 'role', 'system', 'text', system))"
+    return lambda there: f"if(coalesce(system, '') = '', {turns}, concat({head}, {turns}))" if _SYSTEM & there else turns
+
+
+def _layout(name: str, key: str, fields: str, turns, optional: str = "system/string", **how) -> Layout:
+    return Layout(name, _paths(f"{key}/key", *fields.split()), key, turns, _paths(*optional.split()), **how)
+
+
 LAYOUTS = [
-    Layout("rows", frozenset({"conv_id:int", "turn:int", "role:string", "text:string"}), "conv_id", "named_struct('turn', cast(turn as bigint), 'role', role, 'text', text)", True),
-    Layout("messages", frozenset({"id:int", "messages[].role:string", "messages[].content:string"}), "id", _list("messages", "role", "content")),
-    Layout("conversations", frozenset({"id:int", "conversations[].from:string", "conversations[].value:string"}), "id", _list("conversations", "from", "value")),
-    Layout("instruction-input", frozenset({"id:int", "instruction:string", "input:string", "output:string"}), "id", _pair(_ASK, "output")),
-    Layout("instruction", frozenset({"id:int", "instruction:string", "output:string"}), "id", _pair("instruction", "output")),
-    Layout("prompt-completion", frozenset({"id:int", "prompt:string", "completion:string"}), "id", _pair("prompt", "completion")),
-    Layout("prompt-response", frozenset({"id:int", "prompt:string", "response:string"}), "id", _pair("prompt", "response")),
-    Layout("chosen", frozenset({"id:int", "prompt:string", "chosen:string"}), "id", _pair("prompt", "chosen")),
-    Layout("question-answer", frozenset({"id:int", "question:string", "answer:string"}), "id", _pair("question", "answer")),
+    _layout("rows", "conv_id", "turn/int role/string text/string", lambda there: "named_struct('turn', cast(turn as bigint), 'role', role, 'text', text)", "", by_row=True),
+    _layout("messages", "id", "messages/[]/role/string messages/[]/content/string", _dialogue("messages", "role", "m.content")),
+    _layout("messages-parts", "id", "messages/[]/role/string messages/[]/content/[]/type/string messages/[]/content/[]/text/string", _dialogue("messages", "role", "array_join(transform(filter(m.content, c -> c.type = 'text'), c -> coalesce(c.text, '')), '')")),
+    _layout("conversations", "id", "conversations/[]/from/string conversations/[]/value/string", _dialogue("conversations", "from", "m.value")),
+    _layout("instruction-input", "id", "instruction/string input/string output/string", _pair(_ASK, "output")),
+    _layout("instruction", "id", "instruction/string output/string", _pair("instruction", "output")),
+    _layout("prompt-completion", "id", "prompt/string completion/string", _pair("prompt", "completion")),
+    _layout("prompt-response", "id", "prompt/string response/string", _pair("prompt", "response")),
+    _layout("chosen", "id", "prompt/string chosen/string", _pair("prompt", "chosen"), "system/string rejected/string"),
+    _layout("question-answer", "id", "question/string answer/string", _pair("question", "answer")),
 ]
+VOCABULARY = frozenset(p for x in LAYOUTS for p in x.paths | x.optional)
+REGISTRY: dict[str, Layout] = {fingerprint(set(paths)): x for x in reversed(LAYOUTS) for paths in x.accepted()}
 
 
 def find_layout(schema: T.StructType) -> Layout:
-    """The first layout whose fingerprint equals that of the schema cut to the layout's paths."""
+    """The layout registered under the schema's fingerprint, else the first whose fields the schema has."""
     here = field_paths(schema)
-    for layout in LAYOUTS:
-        if fingerprint(here & layout.paths) == layout.key:
-            return layout
-    raise ValueError(f"no layout for the fields {', '.join(sorted(here))}")
+    known = REGISTRY.get(fingerprint(here & VOCABULARY)) or next((x for x in LAYOUTS if x.paths <= here), None)
+    if known is None:
+        raise ValueError(f"no layout for the fields {', '.join(sorted('/'.join(p) for p in here))}")
+    return known
 
 
 def canonical(df: DataFrame) -> DataFrame:
     """conv_id and turns, an array of (turn, role, text) in order."""
     layout = find_layout(df.schema)
-    rows = df.select(F.expr(layout.conv_id).cast("long").alias("conv_id"), F.expr(layout.turns).alias("turns"))
+    key, turns = F.col(f"`{layout.conv_id}`"), F.expr(layout.turns(field_paths(df.schema)))
+    whole = isinstance(df.schema[layout.conv_id].dataType, T.IntegralType)
+    rows = df.select(key.cast("long" if whole else "string").alias("conv_id"), turns.alias("turns"))
     if layout.by_row:
         rows = rows.groupBy("conv_id").agg(F.collect_list("turns").alias("turns"))
-    clean = "transform(turns, m -> named_struct('turn', m.turn, 'role', coalesce(m.role, ''), 'text', coalesce(m.text, '')))"
+    clean = "transform(coalesce(turns, array()), m -> named_struct('turn', m.turn, 'role', coalesce(m.role, ''), 'text', coalesce(m.text, '')))"
     return rows.select("conv_id", F.array_sort(F.expr(clean)).alias("turns"))
 
 
@@ -117,23 +161,45 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(parts, "\\"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, however often they are used."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_made", made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
+
+
+def _block_sums(sizes: str) -> Column:
+    """Sums over blocks of 1, 2, 4, ... elements, as an array of arrays."""
+    pairs = "transform(sequence(0, greatest(0, (size(element_at(acc, -1)) + 1) div 2 - 1)), j -> coalesce(get(element_at(acc, -1), 2 * j), 0L) + coalesce(get(element_at(acc, -1), 2 * j + 1), 0L))"
+    return F.expr(f"aggregate(sequence(1, cast(ceil(log2(size({sizes}) + 1)) as int)), array({sizes}), (acc, k) -> concat(acc, array({pairs})))")
+
+
+def _before(sums: str, i: str) -> str:
+    """SQL for the sum of the first ``i`` elements: one block for each bit of ``i``."""
+    return f"aggregate(sequence(0, size({sums}) - 1), 0L, (s, b) -> s + if(shiftright({i}, b) % 2 = 1, get(get({sums}, b), shiftright({i}, b) - 1), 0L))"
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss (spans) from canonical turns."""
-    said = turns.select("conv_id", F.transform("turns", lambda m: F.struct(F.concat(F.lit(OPEN), escape_role(m["role"]), F.lit("\n")).alias("head"), escape(m["text"]).alias("text"), (m["role"] == "assistant").alias("learn"))).alias("said"))
-    tail = F.lit(CLOSE + "\n")
-    sized = said.select("conv_id", "said", F.transform("said", lambda m: F.length(m["head"]) + F.length(m["text"]) + len(CLOSE) + 1).alias("sizes"))
-    spans = F.expr("transform(said, (m, i) -> named_struct('learn', m.learn, 'first', begins[i] + length(m.head), 'size', length(m.text)))")
-    # running sums of the turns' sizes: each turn's first code point
-    begins = F.expr("aggregate(sizes, array(0), (acc, x) -> array_append(acc, element_at(acc, -1) + x))")
-    return sized.select("conv_id", F.array_join(F.transform("said", lambda m: F.concat(m["head"], m["text"], tail)), "").alias("formatted"), "said", begins.alias("begins")).select("conv_id", "formatted", F.transform(F.filter(spans, lambda m: m["learn"]), lambda m: F.struct(m["first"].alias("first"), m["size"].alias("size"))).alias("loss"))
+    said = F.transform("turns", lambda m: F.struct(F.concat(F.lit(OPEN), escape_role(m["role"]), F.lit("\n")).alias("head"), escape(m["text"]).alias("text"), (m["role"] == "assistant").alias("learn")))
+    out = _once(turns.select("conv_id", "turns"), said=said).drop("turns")
+    out = _once(out, sizes=F.transform("said", lambda m: (F.length(m["head"]) + F.length(m["text"]) + len(CLOSE) + 1).cast("long")))
+    out = _once(out, sums=_block_sums("sizes"))
+    learned = "filter(transform(said, (m, i) -> named_struct('turn', i, 'first', cast(length(m.head) as bigint), 'size', cast(length(m.text) as bigint), 'learn', m.learn)), x -> x.learn)"
+    spans = F.expr(f"transform({learned}, x -> named_struct('turn', x.turn, 'first', x.first + {_before('sums', 'x.turn')}, 'size', x.size))")
+    whole = F.array_join(F.transform("said", lambda m: F.concat(m["head"], m["text"], F.lit(CLOSE + "\n"))), "")
+    return out.select("conv_id", whole.alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted, turns (role, text) and learned (texts under the loss mask), unescaped."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
-    turns = F.transform(pieces, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(_body(p)).alias("text")))
-    learned = F.transform("loss", lambda m: unescape(F.substring(F.col("formatted"), m["first"] + 1, m["size"])))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
+    out = _once(formatted.select("conv_id", "formatted", "loss"), pieces=pieces)
+    out = _once(out, sizes=F.transform("pieces", lambda p: (F.length(p) + len(OPEN)).cast("long")))
+    out = _once(out, sums=_block_sums("sizes"))
+    turns = F.transform("pieces", lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(_body(p)).alias("text")))
+    # a span is cut from its turn's piece, so its place is counted from there
+    cut = f"transform(loss, m -> substring(get(pieces, m.turn), cast(m.first - {_before('sums', 'm.turn')} as int) - {len(OPEN)} + 1, cast(m.size as int)))"
+    return out.select("conv_id", "formatted", turns.alias("turns"), F.transform(F.expr(cut), unescape).alias("learned"))
 
 
 def _body(piece: Column) -> Column:
