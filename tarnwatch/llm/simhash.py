@@ -5,14 +5,19 @@ words joined by one space, repeats included.  Fewer words are one shingle, none
 fingerprint zero.  A fingerprint bit is set if it is set in over half the XXH64 hashes
 (seed 42) of the shingles.
 
-Links are found over the *distinct* fingerprints by vantage-point search:
-
-* A first level of vantage shards cuts the 64 bits into ``radius + 1`` bands.  The distance of
-  two linked fingerprints is at most ``radius``, so by the triangle bound their distance within
-  at least one band is 0: both lie in the same shard of that band.  A fingerprint is thus
-  queried against one shard for each band and no boundary between shards is missed.
-* Within a shard a vantage-point tree is walked with whole blocks of fingerprints: rings
-  around the vantage point that differ by more than ``radius`` are pruned.
+Links are found over the *distinct* fingerprints by vantage-point search, in two levels:
+
+* Shards are rings around vantage points.  Two fingerprints within ``radius`` differ in no bit of at
+  least one of ``radius + 1`` bands, so in that band their distance is 0 and by the triangle bound
+  they have the same distances to any vantage point there.  For every band the pivots are
+  fingerprints of the table (those of the smallest hashes), as many as bring shards to about
+  ``SHARD_TARGET`` rows; a shard holds those of equal distances to all of them.  A fingerprint is in
+  one shard for each band, and no boundary between shards is missed.  (Rings over all 64 bits would
+  have to overlap by ``radius`` on both sides: distances of unrelated prints lie within 32 +- 4, so
+  each such split would copy most rows.)
+* Within a shard a vantage-point tree is built over whole 64-bit distances and walked with blocks of
+  fingerprints: of the two sides of a node only the rims within ``radius`` of its border are
+  compared, the rest is pruned by the triangle bound; ``LEAF`` rows are compared outright.
 * A shard of over ``shard_rows`` fingerprints is split again into rings by distance from one
   vantage point.  Each ring is paired with itself and with the next one only, since farther
   rings are out of reach.  Still larger rings are salted, every pair of salts being one piece.
@@ -27,16 +32,19 @@ unless it has no other id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settled
 from .textbytes import LOWER, SOLID, blocks, column_bytes, runs
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
+SHARD_TARGET, LEAF, MAX_PIVOTS = 2048, 64, 8
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
@@ -193,20 +201,28 @@ def _link(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray,
             forest.parent[moved] = best[moved]
 
 
-def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = 512) -> np.ndarray:
+def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen: dict | None = None) -> np.ndarray:
     """Root row of each row's component under links within ``radius``, by a vantage-point tree.
 
     A node's rows are ordered by distance from its vantage point.  The halves on either side of
     the median become its children; only the rows within ``radius`` of the border (by the
-    triangle bound nothing else can link across) are compared between them.
+    triangle bound nothing else can link across) are compared between them.  ``seen`` counts nodes
+    and compared pairs.
     """
     forest = _Forest(len(fp))
     stack = [np.arange(len(fp))]
+    seen = {} if seen is None else seen
+
+    def link(left: np.ndarray, right: np.ndarray) -> None:
+        seen["pairs"] = seen.get("pairs", 0) + len(left) * len(right)
+        _link(forest, fp, left, right, radius)
+
     while stack:
         rows = stack.pop()
         if len(rows) <= leaf:
-            _link(forest, fp, rows, rows, radius)
+            link(rows, rows)
             continue
+        seen["nodes"] = seen.get("nodes", 0) + 1
         far = np.bitwise_count(fp[rows] ^ fp[rows[0]]).astype(np.int64)
         near = rows[far <= radius]
         if len(near) > 1:
@@ -219,45 +235,29 @@ def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = 512) -> np.
             cut -= 1
             inner, outer = rows[far <= cut], rows[far > cut]
         if not len(inner) or not len(outer):
-            _link(forest, fp, rows, rows, radius)
+            link(rows, rows)
             continue
-        rim = far[far <= cut]
-        beyond = far[far > cut]
+        rim, beyond = far[far <= cut], far[far > cut]
         for d in range(max(0, cut - radius + 1), cut + 1):
-            a = inner[rim == d]
-            b = outer[beyond <= d + radius]
+            a, b = inner[rim == d], outer[beyond <= d + radius]
             if len(a) and len(b):
-                _link(forest, fp, a, b, radius)
+                link(a, b)
         stack += [inner, outer]
     return forest.roots()
 
 
-def _edges_of(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    roots = vantage_forest(fp, radius)
-    moved = np.flatnonzero(roots != np.arange(len(fp)))
-    return fp[moved], fp[roots[moved]]
-
-
-def _shard_edges(batches, radius: int, small: int = 48):
+def _shard_edges(batches, radius: int):
     """Edges within each shard of a partition sorted by shard; a shard may span batches."""
 
     def found(shard: np.ndarray, fp: np.ndarray):
         border = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-        sizes = np.diff(border)
-        few = np.repeat(sizes <= small, sizes)
         lefts, rights = [], []
-        for gap in range(1, min(small, int(sizes.max(initial=1)))):
-            same = few[gap:] & (shard[gap:] == shard[:-gap])
-            if not same.any():
-                break
-            i = np.flatnonzero(same)
-            i = i[np.bitwise_count(fp[i] ^ fp[i + gap]) <= radius]
-            lefts.append(fp[i])
-            rights.append(fp[i + gap])
-        for k in np.flatnonzero(sizes > small).tolist():
-            a, b = _edges_of(fp[border[k] : border[k + 1]], radius)
-            lefts.append(a)
-            rights.append(b)
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+            if b - a > 1:
+                roots = vantage_forest(fp[a:b], radius)
+                moved = np.flatnonzero(roots != np.arange(b - a))
+                lefts.append(fp[a:b][moved])
+                rights.append(fp[a:b][roots[moved]])
         if lefts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lefts).view(np.int64)), pa.array(np.concatenate(rights).view(np.int64))], ["a", "b"])
 
@@ -274,32 +274,47 @@ def _shard_edges(batches, radius: int, small: int = 48):
         yield from found(shard, fp)
 
 
-def _band(k: int, bands: int):
-    low, high = 64 * k // bands, 64 * (k + 1) // bands
-    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+def pivots(distinct: DataFrame, shard_target: int = SHARD_TARGET) -> list[int]:
+    """Vantage points: the fingerprints of the smallest hashes, enough for shards of about ``shard_target`` rows.
 
+    Two unrelated prints have the same distance to a pivot in a band of 16 bits once in 7 times; a
+    band's 16 bits are told apart by ``MAX_PIVOTS`` well enough.
+    """
+    n = distinct.count()
+    many = min(MAX_PIVOTS, max(1, math.ceil(math.log(max(1, n) / shard_target, 7)))) if n > shard_target else 1
+    return [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(many).collect()]
+
+
+def _rings(points: list[int], radius: int) -> Column:
+    """Array of (band, shard): the band, and the distances to every vantage point within it, as one number."""
+    bands, out = radius + 1, []
+    for k in range(bands):
+        low, high = 64 * k // bands, 64 * (k + 1) // bands
+        mask = (1 << (high - low)) - 1 << low
+        mask -= (mask >> 63) << 64  # as a signed long
+        far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(mask))) for p in points]
+        out.append(F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), *far).alias("shard")))
+    return F.array(*out)
 
-def edges(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+
+def edges(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, shard_target: int = SHARD_TARGET) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints that are linked at all."""
-    bands = radius + 1
-    placed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _band(k, bands).alias("value")) for k in range(bands)])).alias("p")).select("fp", "p.band", "p.value")
-    hot = settled(placed.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard_rows))
-    shards = placed
-    if hot.count():
-        split = placed.join(hot, ["band", "value"])
+    points = pivots(distinct, shard_target)
+    placed = distinct.select("fp", F.explode(_rings(points, radius)).alias("p")).select("fp", "p.shard")
+    hot = settled(placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > shard_rows))
+    if hot.limit(1).count():
+        split = placed.join(hot, "shard")
         ring = F.floor(F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))) / (radius + 1))
         split = split.withColumn("ring", F.explode(F.array(ring, ring + 1)))
-        rings = settled(split.groupBy("band", "value", "ring").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / shard_rows).cast("int")))
-        split = split.join(rings, ["band", "value", "ring"])
+        rings = settled(split.groupBy("shard", "ring").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / shard_rows).cast("int")))
+        split = split.join(rings, ["shard", "ring"])
         salt = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
         split = split.withColumn("salt", salt).withColumn("other", F.explode(F.expr("sequence(0, salts - 1)")))
-        piece = F.xxhash64("band", "value", "ring", F.least("salt", "other"), F.greatest("salt", "other"))
-        cold = placed.join(hot.select("band", "value"), ["band", "value"], "left_anti")
-        shards = cold.select("fp", F.xxhash64("band", "value").alias("shard")).unionByName(split.select("fp", piece.alias("shard")))
-    else:
-        shards = placed.select("fp", F.xxhash64("band", "value").alias("shard"))
+        piece = F.xxhash64("shard", "ring", F.least("salt", "other"), F.greatest("salt", "other"))
+        cold = placed.join(hot.select("shard"), "shard", "left_anti")
+        placed = cold.select("fp", "shard").unionByName(split.select("fp", piece.alias("shard")))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda it: _shard_edges(it, radius), "a long, b long")
+    return placed.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda it: _shard_edges(it, radius), "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
