@@ -171,20 +171,58 @@ def test_chat_format(spark):
 
 
 def test_chat_layouts(spark):
-    cases = {
-        "messages": ("id long, messages array<struct<role: string, content: string>>", (1, [("user", "q"), ("assistant", "a")])),
-        "conversations": ("id int, conversations array<struct<from: string, value: string>>, meta struct<n: int>", (1, [("human", "q"), ("gpt", "a")], (1,))),
-        "instruction-input": ("id long, instruction string, input string, output string", (1, "q", None, "a")),
-        "instruction": ("id long, instruction string, output string", (1, "q", "a")),
-        "prompt-response": ("id long, prompt string, response string, extra string", (1, "q", "a", "x")),
-        "question-answer": ("id long, question string, answer string", (1, "q", "a")),
-    }
-    for name, (schema, row) in cases.items():
+    qa = [("user", "q"), ("assistant", "a")]
+    parts = [("user", [("text", "q"), ("image", None)]), ("assistant", [("text", "a"), ("text", None)])]
+    cases = [
+        ("messages", "id long, messages array<struct<role: string, content: string>>", (1, qa), qa),
+        ("messages", "id string, system string, messages array<struct<role: string, content: string>>", ("x", "s", qa), [("system", "s"), *qa]),
+        ("messages-parts", "id long, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>", (1, parts), qa),
+        ("conversations", "id int, conversations array<struct<from: string, value: string>>, meta struct<n: int>", (1, [("human", "q"), ("gpt", "a")], (1,)), qa),
+        ("instruction-input", "id long, instruction string, input string, output string", (1, "q", None, "a"), qa),
+        ("instruction-input", "id long, instruction string, input string, output string, system string", (1, "q", "i", "a", ""), [("user", "q\n\ni"), ("assistant", "a")]),
+        ("instruction", "id long, instruction string, output string", (1, "q", "a"), qa),
+        ("instruction", "id string, instruction string, output string, system string", ("k", "q", "a", "s"), [("system", "s"), *qa]),
+        ("prompt-completion", "id long, prompt string, completion string", (1, "q", "a"), qa),
+        ("prompt-response", "id long, prompt string, response string, extra string", (1, "q", "a", "x"), qa),
+        ("chosen", "id long, prompt string, chosen string, rejected string", (1, "q", "a", "no"), qa),
+        ("question-answer", "id long, question string, answer string", (1, "q", "a"), qa),
+        ("prompt-completion", "id long, prompt string, completion string, question string, answer string", (1, "q", "a", "x", "y"), qa),  # fields of two
+    ]
+    for name, schema, row, want in cases:
         df = spark.createDataFrame([row], schema)
         assert chatformat.find_layout(df.schema).name == name
-        assert [(t.role, t.text) for t in chatformat.canonical(df).first().turns] == [("user", "q"), ("assistant", "a")]
-    with pytest.raises(ValueError):
-        chatformat.find_layout(spark.createDataFrame([(1,)], "x int").schema)
+        got = chatformat.canonical(df).first()
+        assert got.conv_id == row[0] and [(t.role, t.text) for t in got.turns] == want, name
+    assert len(chatformat.REGISTRY) == sum(len(x.accepted()) for x in chatformat.LAYOUTS)
+    for schema in ("x int", "id long, `messages.[].role` string, `messages.[].content` string"):
+        with pytest.raises(ValueError):
+            chatformat.find_layout(spark.createDataFrame([], schema).schema)
+
+
+def test_chat_of_many_turns(spark):
+    """50,000 turns of one conversation, an empty one, and an empty table."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = spark.range(50_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("é<|im_end|> text of turn "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = chatformat.digests(chatformat.parse(chatformat.format_turns(chatformat.canonical(rows)))).first()
+    assert time.time() - began < 60
+    learned = "".join(f"é<|im_end|> text of turn {k}" for k in range(1, 50_000, 2))
+    assert got.n_turns == 50_000 and got.loss_chars == len(learned) and got.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if k % 2 else 'user'}\né<|im_end|> text of turn {k}\n" for k in range(50_000)).encode()).hexdigest()
+    empty = spark.createDataFrame([(1, []), (2, None)], "id long, messages array<struct<role: string, content: string>>")
+    assert [(r.n_turns, r.loss_chars, r.formatted_chars) for r in chatformat.digests(chatformat.parse(chatformat.format_turns(chatformat.canonical(empty)))).collect()] == [(0, 0, 0)] * 2
+    assert chatformat.format_turns(chatformat.canonical(rows.limit(0))).count() == 0
+
+
+def test_chat_spans(spark):
+    """Spans point at the escaped texts in the formatted string."""
+    rows = [(1, k, ("user", "assistant", "tool")[k % 3], f"😀 turn <|{k}") for k in range(41)]
+    got = chatformat.format_turns(chatformat.canonical(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [got.formatted[m.first : m.first + m.size] for m in got.loss] == [f"😀 turn <\\|{k}" for k in range(41) if k % 3 == 1]
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 200])
@@ -229,6 +267,9 @@ def test_decontaminate(spark, docs, texts, limit):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+PROSE = "It was the best of the times and it was the worst of the times for all of us who had to be in it. " * 3
+
+
 def test_html():
     page = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p><p>x</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad box">Buy the best of it all and be happy with it.</div>
@@ -239,14 +280,62 @@ def test_html():
     assert htmltext.main_text(None) == htmltext.main_text("") == ""
     assert htmltext.main_text("<article><p>Text &am") == "Text &am"
     assert htmltext.main_text("<article><p>Text</p><p") == "Text"
-    prose = "It was the best of the times and it was the worst of the times for all of us who had to be in it. " * 3
-    assert htmltext.main_text(f"<div><a href=x>Home</a> <a href=y>News</a></div><div>{prose}</div><div>Short.</div>") == prose.strip() + "\nShort."
+    assert htmltext.main_text(f"<div><a href=x>Home</a> <a href=y>News</a></div><div>{PROSE}</div><div>Short.</div>") == PROSE.strip() + "\nShort."
     assert len(htmltext.main_text("<p>" * 3000 + "<article><b>" * 50 + "a < b and 'c" + "<a href='" * 50)) > 0
 
 
+MENU = '<div><a href=a>Home</a> | <a href=b>News</a> | <a href=c>About</a></div>'
+JAPANESE = "これは日本語で書かれた長い段落であり、句読点も含まれている。" * 8
+PORTUGUESE = "Este texto foi escrito numa língua que nenhuma das listas conhece, porém deve ficar inteiro aqui. " * 3
+# pages as (html, blocks of the main text): what tags and names do not tell, densities and neighbours do
+GOLD = {
+    "no markup": (f"{MENU}<div>Heading</div><div>{PROSE}</div><div>Short end.</div>{MENU}<div>Terms <a href=t>of use</a> <a href=u>privacy and cookies</a></div>", ["Heading", PROSE, "Short end."]),
+    "unknown script": (f"{MENU}<div>{JAPANESE}</div><p>短い。</p>", [JAPANESE, "短い。"]),
+    "unknown language": (f"<table><tr><td>{MENU}<td>{PORTUGUESE}</table>", [PORTUGUESE]),
+    "only a paragraph": (f"<p>{PORTUGUESE}</p>", [PORTUGUESE]),
+    "names about layout": (f'<div class="content no-sidebar has-comments"><p>{PROSE}</p><p>One.</p></div>', [PROSE, "One."]),
+    "mark on a wrapper": (f'<div class="sidebar widget"><p>{PROSE}</p><p>{PROSE}</p></div><p>Bye.</p>', [PROSE, PROSE, "Bye."]),
+    "mark on what holds the article": (f'<div class="promo"><article><p>{PROSE}</p></article></div>', [PROSE]),
+    "nav around the article": (f"<nav><a href=x>y</a><main><p>{PROSE}</p></main>", [PROSE]),
+    "unclosed anchor": (f"<article><p>{PROSE}<a href=x>more</p><p>{PROSE}</p></article>", [PROSE + "more", PROSE]),
+    "reader comments": (f'<h1>Title</h1><div>{PROSE}</div><div id="comments"><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>', ["Title", PROSE]),
+    "teaser cards": (f"<div><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div><article><a href=x>Card one</a></article><article>Card two</article>", ["Title", PROSE, PROSE]),
+    "short article": ("<nav>Menu of all the site</nav><article><h1>A</h1><p>Short.</p></article><footer>The end of the page is the end of the site and that was all of it for today.</footer>", ["A", "Short."]),
+    "cookie notice": (f'<div class="cookie-notice">We use cookies on this site and with the use of the site you agree to all of it.</div><div>{PROSE}</div><p>So it was.</p>', [PROSE, "So it was."]),
+    "unmatched tags": (f"</div></p></b><div>{PROSE}</span></i></div>", [PROSE]),
+    "hidden": (f"<p hidden>{PROSE}</p><p style='display: none'>{PROSE}</p><p>{PROSE}</p>", [PROSE]),
+    "tokens in an article": ("<article><p>" + "zqx wvk " * 20 + f"</p><p>{PROSE}</p></article>", ["zqx wvk " * 20, PROSE]),
+}
+
+
+@pytest.mark.parametrize("name", GOLD)
+def test_html_gold_pages(name):
+    page, want = GOLD[name]
+    assert htmltext.main_text(page) == "\n".join(" ".join(w.split()) for w in want)
+
+
+def test_html_passes():
+    """Each pass decides blocks: without the first nothing long is told apart, without the second short ones are lost."""
+    blocks, first, labels = htmltext.labelled(GOLD["no markup"][0])
+    assert [x.text[:7] for x in blocks] == ["Home | ", "Heading", "It was ", "Short e", "Home | ", "Terms o"]
+    assert first == [False, None, True, None, False, False] and labels == [False, True, True, True, False, False]
+
+
+def test_html_time():
+    """Linear in unmatched end tags, open elements and anchors."""
+    import time
+
+    for page in ("</i>" * 60_000, "<b>" * 30_000 + "</i>" * 30_000, "<b><p>" * 20_000 + "x", "<div><a href=x>y" * 20_000, "<li class='ad'>" * 20_000 + "z"):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 5
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<article><p>Hi &amp; bye</p></article>", 1), (1, "u", "<article><p>Hi &amp; bye</p></article>", 1), (None, None, None, None)]
-    got = [tuple(r) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = [tuple(r)[:4] for r in htmltext.extract(pages).collect()]
+    assert htmltext.extract(pages.limit(0)).count() == 0
     assert sorted(got, key=repr) == sorted([(1, "u", "Hi & bye", 8), (1, "u", "Hi & bye", 8), (None, None, "", 0)], key=repr)
 
 
@@ -414,8 +503,8 @@ def test_simhash(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [10**6, 40, 7])
-def test_links(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "shard_target"), [(10**6, 2048), (40, 2048), (7, 50), (10**6, 20)])
+def test_links(spark, shard_rows, shard_target):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
@@ -424,12 +513,48 @@ def test_links(spark, shard_rows):
         dense = flip(dense)
     fp = np.unique(np.concatenate([base, flip(flip(base)), flip(flip(flip(base))), flip(flip(flip(flip(base)))), dense]))
     table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.edges(table, shard_rows=shard_rows)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.edges(table, shard_rows=shard_rows, shard_target=shard_target)).collect()}
     label = brute_components(fp.tolist())
     mine = [got.get(int(x), int(x)) for x in fp.view(np.int64)]
     assert len(set(mine)) == len(set(label)) == len(set(zip(mine, label, strict=True)))
 
 
+def test_vantage_tree():
+    """The tree finds what all pairs do, and prunes: prints that share a band, as a shard's do."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**48, 3000, dtype=np.uint64)
+    near = base[:500].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    fp, seen = np.unique(np.concatenate([base, near])), {}
+    roots = simhash.vantage_forest(fp, seen=seen)
+    far = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    want = np.arange(len(fp))
+    while True:
+        new = np.array([want[row].min() for row in far])
+        if (new == want).all():
+            break
+        want = new
+    assert (roots == want).all() and len(np.unique(roots)) < len(fp) - 300
+    assert seen["nodes"] > 20 and seen["pairs"] < 0.6 * len(fp) ** 2
+
+
+def test_shards_are_rings(spark):
+    """Two linked prints share a shard in some band; shards are of equal distances to the vantage points."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+    table = spark.createDataFrame([(int(x),) for x in np.unique(np.concatenate([base, near])).view(np.int64)], "fp long")
+    points = simhash.pivots(table, 100)
+    assert len(points) == 3
+    shards = {r.fp: {tuple(p) for p in r.p} for r in table.select("fp", simhash._rings(points, 3).alias("p")).collect()}
+    assert all(shards[int(a)] & shards[int(b)] for a, b in zip(base.view(np.int64), near.view(np.int64), strict=True))
+    sizes = np.unique([p[1] for x in shards.values() for p in x], return_counts=True)[1]
+    assert 10 < sizes.mean() and sizes.max() < 1500
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
