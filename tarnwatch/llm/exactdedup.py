@@ -110,7 +110,6 @@ def drop_copies(docs: DataFrame, **how) -> DataFrame:
         return without(docs, found.where("not kept"))
     # the same doc_id on several rows: decide by id and text, then keep one of the equal rows
     keep = found.where("kept").select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"))
-    out = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (marked["_sha"] == keep["_text"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("sha"))
+    out = rows.join(keep, rows["id"].eqNullSafe(keep["doc_id"]) & (rows["sha"] == keep["text_sha256"]), "left_semi")
+    return out.dropDuplicates(["id", "sha"]).select("row.*")

@@ -192,11 +192,11 @@ def _score(batches, net: Network):
 def fit(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Network:
     """Trains on the features (doc_id, features) of labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    # cut by hash first: else every task would send the driver up to fit_rows rows
-    share = min(1.0, (1.2 * fit_rows + 1000) / max(1, known.count()))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    known = known.where(rank <= int(share * (1 << 40)))
-    rows = features.join(known, "doc_id").orderBy(rank, "doc_id", "quality", "features").limit(fit_rows).select("features", "quality").collect()
+    joined = settled(features.join(known, "doc_id"))
+    # cut by hash first, else every task would send the driver up to fit_rows rows
+    share = min(1.0, (1.2 * fit_rows + 1000) / max(1, joined.count()))
+    rows = joined.where(rank <= int(share * (1 << 40))).orderBy(rank, "doc_id", "quality", "features").limit(fit_rows).select("features", "quality").collect()
     x = np.array([r[0] for r in rows], np.float32).reshape(-1, FEATURES)
     return train(x, np.array([r[1] for r in rows]))
 

@@ -91,14 +91,17 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 def _op9() -> str:
     def canonical(x: str) -> str:
-        out = f"regexp_replace(lower(coalesce({x}, '')), '{licences.COPYRIGHT_LINE}', '', 'g')"
+        out = f"regexp_replace(lower(coalesce({x}, '')), '{licences.GRANT}', chr(10) || '\\1', 'g')"
+        out = f"regexp_replace(regexp_replace({out}, '{licences.COPYRIGHT}', chr(10), 'g'), '{licences.RESERVED}', '', 'g')"
         for found, written in licences.SPELLINGS:
             out = f"replace({out}, '{found}', '{written}')"
         return f"list_filter(list_transform(string_split(regexp_replace({out}, '{licences.PUNCTUATION}', ' ', 'g'), chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '')"
 
     known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licences.KNOWN)
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in licences.KNOWN_DIGESTS)
     return f"""
-WITH k AS (SELECT sha256(array_to_string({canonical("t")}, ' ')) AS digest, min(i) AS license_id FROM (VALUES {known}) AS v(i, t) GROUP BY 1),
+WITH listed AS (SELECT sha256(array_to_string({canonical("t")}, ' ')) AS digest, i AS license_id FROM (VALUES {known}) AS v(i, t) UNION ALL SELECT digest, license_id FROM (VALUES {digests}) AS w(license_id, digest)),
+k AS (SELECT digest, min(license_id) AS license_id FROM listed GROUP BY digest),
 d AS (SELECT doc_id, {canonical("text")} AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line FROM d),
 n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM l JOIN k ON sha256(line) = digest GROUP BY doc_id)

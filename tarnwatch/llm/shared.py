@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
         else:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that they share")
             folder = tempfile.mkdtemp(prefix="tarnwatch-")
             spark.sparkContext.setCheckpointDir(folder)
     return str(folder).rstrip("/")
@@ -30,3 +33,9 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the reliable checkpoint from now on."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that :func:`new_folder` named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

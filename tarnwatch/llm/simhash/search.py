@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
-from .textbytes import LOWER, SOLID, blocks, column_bytes, runs
+from ..shared import settled
+from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
 SHARD_TARGET, LEAF, MAX_PIVOTS = 2048, 64, 8
