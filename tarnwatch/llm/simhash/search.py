@@ -44,7 +44,7 @@ from ..shared import settled
 from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
-SHARD_TARGET, LEAF, MAX_PIVOTS = 2048, 64, 8
+SHARD_TARGET, LEAF, MAX_PIVOTS = 512, 32, 8
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
