@@ -72,19 +72,21 @@ class SuffixMatcher:
     def _pack(table: np.ndarray) -> list[np.ndarray]:
         return [(table[:, k] << np.uint64(48)) | (table[:, k + 1] << np.uint64(32)) | (table[:, k + 2] << np.uint64(16)) | table[:, k + 3] for k in range(0, table.shape[1], 4)]
 
-    def edges(self, chars: np.ndarray) -> np.ndarray:
-        """Array (position, length) -> piece number, -1 where there is none; the batch's edges by position."""
+    def edges(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Array (position, length) -> piece number, -1 where there is none: the edges by position; and the longest of each."""
         n, r = len(chars), self.ranks(chars)
         padded = np.concatenate([r, np.zeros(self.longest + 4, np.uint64)])
         four = (padded[:-3] << np.uint64(48)) | (padded[1:-2] << np.uint64(32)) | (padded[2:-1] << np.uint64(16)) | padded[3:]
         # suffixes sorted by their first `longest` characters: ranks of 4 characters, then doubled
         rank = np.unique(four, return_inverse=True)[1].astype(np.int64)
         width = 4
-        while width < self.longest:
+        while True:
             second = np.concatenate([rank[width:], np.zeros(width, np.int64)])
-            rank = np.unique(rank * (int(second.max()) + 1) + second, return_inverse=True)[1].astype(np.int64)
-            width *= 2
-        order = np.argsort(rank[:n], kind="stable")
+            rank, width = rank * (int(second.max()) + 1) + second, 2 * width
+            if width >= self.longest:
+                break
+            rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+        order = np.argsort(rank[:n])
         keys = [four[np.minimum(order + k, len(four) - 1)] for k in range(0, self.longest, 4)]
         low, high = np.searchsorted(keys[0], self.low[0], "left"), np.searchsorted(keys[0], self.high[0], "right")
         longer = np.flatnonzero((self.sizes > 4) & (high > low))
@@ -94,7 +96,9 @@ class SuffixMatcher:
         where = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         out = np.full((n, self.longest + 1), -1, np.int32)
         out[where, self.sizes[piece]] = self.numbers[piece]
-        return out
+        longest = np.zeros(n, np.int64)
+        np.maximum.at(longest, where, self.sizes[piece])
+        return out, longest
 
     @staticmethod
     def _bound(keys, wanted, rows, low, high, after: bool):
@@ -154,21 +158,24 @@ class PieceEncoder(WordCache):
         return begins | (data == 10)
 
     def encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode().replace(" ", SPACE) for w in words]
         begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        raw = b"\0".join(words) + b"\0"
+        # characters of each word: its bytes that continue none
+        first_byte = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+        solid = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        chars = np.diff(solid[first_byte]) - 1
+        upto = np.cumsum(chars + 1)
         first = 0
-        while first < len(texts):
-            if len(texts[first]) > self.suffix_chars:
-                parts = [self._relax(t + "\0", [len(t)])[0] for t in self._parted(texts[first])]
+        while first < len(words):
+            if chars[first] > self.suffix_chars:
+                parts = [self._relax(t + "\0", np.array([len(t)]))[0] for t in self._parted(words[first].decode().replace(" ", SPACE))]
                 ids = np.concatenate(parts)
                 begin[first], size[first] = self.add(ids), len(ids)
                 first += 1
                 continue
-            last, total = first, 0
-            while last < len(texts) and (last == first or total + len(texts[last]) + 1 <= self.suffix_chars):
-                total += len(texts[last]) + 1
-                last += 1
-            ids, count = self._relax("\0".join(texts[first:last]) + "\0", [len(t) for t in texts[first:last]])
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - chars[first] - 1 + self.suffix_chars, side="right")))
+            text = raw[first_byte[first] : first_byte[last]].decode().replace(" ", SPACE)
+            ids, count = self._relax(text, chars[first:last])
             begin[first:last] = self.add(ids) + np.cumsum(count) - count
             size[first:last] = count
             first = last
@@ -182,7 +189,7 @@ class PieceEncoder(WordCache):
             if begin + width >= len(text):
                 yield text[begin:]
                 return
-            crossed = self._crossed(self.matcher.edges(chars))
+            crossed = self._crossed(self.matcher.edges(chars)[1])
             free = np.flatnonzero(crossed[1 : len(chars) - self.matcher.longest] == 0)
             if len(free):
                 yield text[begin : begin + 1 + int(free[-1])]
@@ -191,24 +198,22 @@ class PieceEncoder(WordCache):
                 width *= 2
 
     @staticmethod
-    def _crossed(edges: np.ndarray) -> np.ndarray:
+    def _crossed(longest: np.ndarray) -> np.ndarray:
         """Per place, how many positions' longest edges begin before it and end behind it."""
-        longest = (edges.shape[1] - 1 - np.argmax(edges[:, ::-1] >= 0, axis=1)) * (edges >= 0).any(axis=1)
         wide = np.flatnonzero(longest > 1)
-        reach = np.zeros(len(edges) + 1, np.int64)
-        np.add.at(reach, wide + 1, 1)
-        np.subtract.at(reach, wide + longest[wide], 1)
-        return np.cumsum(reach)
+        ends = wide + longest[wide]
+        n = len(longest) + 1
+        return np.cumsum(np.bincount(wide + 1, minlength=n)[:n] - np.bincount(ends, minlength=n)[:n])
 
-    def _relax(self, text: str, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _relax(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        edges = self.matcher.edges(chars)
-        ends = np.cumsum(np.array(sizes) + 1)
-        word = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
+        edges, longest = self.matcher.edges(chars)
+        ends = np.cumsum(sizes + 1)
+        word = np.repeat(np.arange(len(sizes)), sizes + 1)
         at = np.delete(np.arange(len(chars)), ends - 1)
         word = word[at]
         # a place that no edge of two or more characters covers parts a word
-        joined = self._crossed(edges)[at] > 0
+        joined = self._crossed(longest)[at] > 0
         joined[0] = False
         group = np.cumsum(~joined | (np.concatenate([[-1], word[:-1]]) != word)) - 1
         start, length = at.copy(), np.ones(len(at), np.int64)

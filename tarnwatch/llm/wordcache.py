@@ -82,7 +82,8 @@ class WordCache:
         _, one, back = np.unique(h, return_index=True, return_inverse=True)
         same = (sizes == sizes[one][back]) & same_runs(data, starts, data, starts[one][back], np.where(sizes == sizes[one][back], sizes, 0))
         raw = data.tobytes()
-        word_of = lambda i: raw[starts[i] : starts[i] + sizes[i]]
+        begins, ends = starts.tolist(), (starts + sizes).tolist()
+        word_of = lambda i: raw[begins[i] : ends[i]]
         if not same.all():  # pieces that share a hash
             number, extra = {}, []
             for i in np.flatnonzero(~same).tolist():
@@ -95,7 +96,7 @@ class WordCache:
         else:
             known = len(one)
         words = [word_of(i) for i in one.tolist()]
-        stay = np.array([k < known and free[i] and len(w) <= KEPT_BYTES for k, (i, w) in enumerate(zip(one.tolist(), words, strict=True))], bool)
+        stay = free[one] & (sizes[one] <= KEPT_BYTES) & (np.arange(len(one)) < known)
         if self.held + int(stay.sum()) > self.limit:
             stay[:] = False
         place, number = np.zeros(len(one), np.int64), np.zeros(len(one), np.int32)
