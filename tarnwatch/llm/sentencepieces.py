@@ -40,9 +40,9 @@ from .textbytes import blocks, column_bytes
 from .wordcache import WordCache
 
 SPACE = "▁"
-SUFFIX_CHARS = 1 << 18
+SUFFIX_CHARS = 1 << 17
 HEAP_CHARS = 96
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 _FAR = np.iinfo(np.int64).max
 
 
