@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 1
-ROWS = 4096
+ROWS = 16_384
+MAX_MODEL_BYTES = 1 << 30
 SAMPLE_SCHEMA = "tree_id int, point_id long, sort_key double, ts long, features array<double>"
 NODE_SCHEMA = "tree_id int, node_id int, left int, right int, cut_dim int, cut_value double, mn array<double>, mx array<double>, mass long, point_id long"
 
@@ -68,26 +70,42 @@ def hashed(ids: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _cut(batches, p: ForestParams):
-    held = None
+    """Each tree's bottom-k of a partition.  Once a tree has k rows, a hash alone tells that a row is beyond the k-th key."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, p.dimension))]
+    bound = np.full(p.num_trees, np.inf)
     for batch in batches:
         ids, seq, ts = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if not len(ids):
+            continue
         x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, p.dimension)
-        rows = []
+        # a key is ln(-ln u) - seq * decay, so no row of a smaller u can be below the bound; a hair of slack for rounding
+        least = np.exp(-np.exp(bound + seq.max() * p.decay)) * (1 - 1e-9)
+        trees, rows, keys = [], [], []
         for t in range(p.num_trees):
-            key = np.log(-np.log(hashed(ids, p.seed * 1009 + t))) - seq * p.decay
-            if p.initial_accept_fraction < 1:
-                gate = np.minimum(1.0, (seq + 1) / max(1.0, p.initial_accept_fraction * p.sample_size))
-                key = np.where(hashed(ids, p.seed * 1009 + t + 500_009) < gate, key, np.inf)
-            best = np.argpartition(key, min(p.sample_size, len(key)) - 1)[: p.sample_size] if len(key) else np.zeros(0, int)
-            best = best[np.isfinite(key[best])]
-            rows.append((np.full(len(best), t), ids[best], key[best], ts[best], x[best]))
-        new = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        held = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            u = hashed(ids, p.seed * 1009 + t)
+            some = np.flatnonzero(u >= least[t])
+            if p.initial_accept_fraction < 1 and len(some):
+                gate = np.minimum(1.0, (seq[some] + 1) / max(1.0, p.initial_accept_fraction * p.sample_size))
+                some = some[hashed(ids[some], p.seed * 1009 + t + 500_009) < gate]
+            key = np.log(-np.log(u[some])) - seq[some] * p.decay
+            if len(key) > p.sample_size:
+                best = np.argpartition(key, p.sample_size - 1)[: p.sample_size]
+                best = np.flatnonzero(key <= key[best].max())  # with ties
+                some, key = some[best], key[best]
+            trees.append(np.full(len(some), t))
+            rows.append(some)
+            keys.append(key)
+        rows = np.concatenate(rows)
+        if not len(rows):
+            continue
+        held = [np.concatenate(c) for c in zip(held, (np.concatenate(trees), ids[rows], np.concatenate(keys), ts[rows], x[rows]), strict=True)]
         order = np.lexsort((held[1], held[2], held[0]))
         tree = held[0][order]
         rank = np.arange(len(tree)) - np.searchsorted(tree, tree)
         held = [c[order[rank < p.sample_size]] for c in held]
-    if held is not None and len(held[0]):
+        full = np.flatnonzero(np.bincount(held[0], minlength=p.num_trees) == p.sample_size)
+        bound[full] = held[2][np.searchsorted(held[0], full, side="right") - 1]
+    if len(held[0]):
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held[0]) + 1, dtype=np.int32) * p.dimension), pa.array(held[4].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), pa.array(held[1]), pa.array(held[2]), pa.array(held[3]), lists], ["tree_id", "point_id", "sort_key", "ts", "features"])
 
@@ -105,10 +123,12 @@ def valid_rows(points: DataFrame, p: ForestParams) -> DataFrame:
     return out.withColumn("features", scaled(F.col("features"), list(p.feature_scales))) if p.feature_scales else out
 
 
-def sample(points: DataFrame, p: ForestParams, before: DataFrame | None = None) -> DataFrame:
-    """Bottom-k rows per tree of the points (point_id, seq, features, optional ts), and of an earlier sample."""
+def sample(points: DataFrame, p: ForestParams, before: DataFrame | None = None, counted: Observation | None = None) -> DataFrame:
+    """Bottom-k rows per tree of the points (point_id, seq, features, optional ts), and of an earlier sample; ``counted`` gets the rows taken."""
     ts = F.col("ts").cast("long") if "ts" in points.columns else F.lit(None).cast("long")
     rows = valid_rows(points, p).select(F.col("point_id").cast("long"), F.col("seq").cast("double"), F.coalesce(ts, F.lit(-1)).alias("ts"), F.col("features").cast("array<double>"))
+    if counted is not None:
+        rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
     kept = spread(rows).mapInArrow(lambda it: _cut(it, p), SAMPLE_SCHEMA)
     if before is not None:
         kept = kept.unionByName(before)
@@ -192,7 +212,32 @@ class Arrays:
                 depth[mine], total[mine] = depth[up] + 1, total[up]
                 ratio[mine] = np.maximum(ratio[up], mass[other] / mass[mine])
             level = np.concatenate([left[up], right[up]])
-        self.path_fixed, self.path_ratio = total, ratio
+        self.path_fixed, self.path_ratio, self.depth, self.mass = total, ratio, depth, mass
+
+    def codisp(self, x: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Mean over trees of the largest sibling / subtree mass on the way to the inserted probe."""
+        n, d = x.shape
+        both, flat, out = np.concatenate([x, -x], axis=1), np.ascontiguousarray(x).ravel(), np.zeros(n)
+        bits = np.bitwise_xor.reduce(np.ascontiguousarray(x).view(np.int64) * (2 * np.arange(d) + 1), axis=1)
+        for t, root in enumerate(self.roots.tolist()):
+            rows, nodes, best = np.arange(n), np.full(n, root), np.zeros(n)
+            while len(rows):
+                ext = np.maximum(both[rows] - self.box[nodes], 0).sum(axis=1)
+                room = self.room[nodes] + ext
+                u = hashed(bits[rows] ^ (nodes - root), seed * 1009 + t)
+                apart = (ext > 0) & (u * room < ext)
+                same = ~apart & ~self.inner[nodes]  # joins a leaf of its own value
+                best[rows[apart]] = np.maximum(best[rows[apart]], self.mass[nodes[apart]])
+                go = ~apart & ~same
+                rows, nodes = rows[go], nodes[go]
+                if not len(rows):
+                    break
+                side = flat[rows * d + self.dim[nodes]] <= self.cut[nodes]
+                mine, other = self.kids[2 * nodes + side], self.kids[2 * nodes + ~side]
+                best[rows] = np.maximum(best[rows], self.mass[other] / (self.mass[mine] + 1))
+                nodes = mine
+            out += best
+        return out / len(self.roots)
 
     def walk(self, x: np.ndarray, each=None) -> tuple[np.ndarray, np.ndarray]:
         """Per-tree isolation scores and displacements (rows, trees).
@@ -256,7 +301,10 @@ class ForestModel:
     updates_seen: int = 0
 
     def arrays(self) -> Arrays:
-        """At most num_trees x (2 x sample_size - 1) nodes: bounded by the parameters."""
+        """At most num_trees x (2 x sample_size - 1) nodes with two boxes each; refused beyond ``MAX_MODEL_BYTES``."""
+        size = self.params.num_trees * (2 * self.params.sample_size - 1) * (2 * self.params.dimension + 12) * 8
+        if size > MAX_MODEL_BYTES and (size := self.nodes.count() * (2 * self.params.dimension + 12) * 8) > MAX_MODEL_BYTES:
+            raise ValueError(f"a model of {size >> 20} MB is not broadcast; use fewer trees, samples or dimensions, or a forest per tenant")
         rows = self.nodes.collect()
         if not rows:
             raise ValueError("empty forest")
@@ -331,7 +379,21 @@ class ForestModel:
 
     def update(self, points: DataFrame) -> ForestModel:
         """New arrivals join the surviving sample, exactly as one bottom-k over both."""
-        return fit(points, self.params, self.samples)
+        return fit(points, self.params, self.samples, self.updates_seen)
+
+    def codisp(self, df: DataFrame) -> DataFrame:
+        """Adds ``codisp``: displacement with the probe inserted, each row on its own; the model stays as it is.
+
+        In every tree the probe goes in as an insertion would put it: at each node the box grows to hold
+        it, and with the share of the growth a cut parts it from the rest there, else it follows the
+        stored cut; the random choice is a hash of tree, node and point.  All masses above it count one more.
+        """
+        return self._map(df, lambda a, x: (a.codisp(x, self.params.seed),), "codisp double")
+
+    def release(self) -> None:
+        """Drops what is kept of this version."""
+        self.samples.unpersist()
+        self.nodes.unpersist()
 
     def delete(self, ids: DataFrame) -> ForestModel:
         """Without given point_ids; reservoirs shrink until later arrivals refill them."""
@@ -346,43 +408,66 @@ class ForestModel:
         """Drops points with a timestamp before the cutoff; those without one (-1) stay."""
         return _settle(self.params, self.samples.where((F.col("ts") < 0) | (F.col("ts") >= cutoff)), self.updates_seen)
 
+    def depths(self) -> DataFrame:
+        """Nodes, leaves and greatest depth of every tree."""
+        a = self.arrays()
+        tree = np.searchsorted(a.roots, np.arange(len(a.depth)), side="right") - 1
+        rows = [(t, int((tree == t).sum()), int((~a.inner[tree == t]).sum()), int(a.depth[tree == t].max())) for t in range(len(a.roots))]
+        return self.nodes.sparkSession.createDataFrame(rows, "tree int, nodes int, leaves int, depth int")
+
     def summary(self) -> DataFrame:
-        """Trees, live distinct points, oldest and newest timestamps, depth bounds of the model."""
+        """Trees, live distinct points, oldest and newest timestamps, and how many rows have one."""
         stamp = F.when(F.col("ts") >= 0, F.col("ts"))
         return self.samples.agg(F.countDistinct("tree_id").alias("trees"), F.countDistinct("point_id").alias("live_points"), F.min(stamp).alias("oldest"), F.max(stamp).alias("newest"), F.count(stamp).alias("tracked"))
 
     def save(self, path: str) -> None:
-        """Writes a new version folder, then its pointer: a reader sees the old or the new model whole."""
+        """Writes a new version folder under a name of its own, then its pointer: a reader sees the old or the new model whole.
+
+        Writers that run at once write different folders; the one whose pointer is of the larger (number, name) is current."""
         spark = self.samples.sparkSession
-        number = _current(spark, path) + 1
-        self.samples.write.mode("overwrite").parquet(f"{path}/v={number}/samples")
-        self.nodes.write.mode("overwrite").parquet(f"{path}/v={number}/nodes")
+        number = (_current(spark, path) or (0, ""))[0] + 1
+        name = f"{number}-{uuid.uuid4().hex[:12]}"
+        self.samples.write.parquet(f"{path}/v={name}/samples")
+        self.nodes.write.parquet(f"{path}/v={name}/nodes")
         meta = [(VERSION, json.dumps(asdict(self.params)), self.updates_seen)]
-        spark.createDataFrame(meta, "version int, params string, updates_seen long").coalesce(1).write.mode("overwrite").parquet(f"{path}/v={number}/meta")
-        spark.createDataFrame([(number,)], "current int").coalesce(1).write.mode("append").parquet(f"{path}/_pointer/p")
+        spark.createDataFrame(meta, "version int, params string, updates_seen long").coalesce(1).write.parquet(f"{path}/v={name}/meta")
+        spark.createDataFrame([(number, name)], "number int, name string").coalesce(1).write.mode("append").parquet(f"{path}/_pointer/p")
 
     def to_json(self) -> str:
         rows = [r.asDict() for r in self.samples.collect()]
         return json.dumps({"version": VERSION, "forest": {"params": asdict(self.params), "samples": rows, "updates_seen": self.updates_seen}})
 
 
-def _current(spark: SparkSession, path: str) -> int:
+def _current(spark: SparkSession, path: str) -> tuple[int, str] | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(f"{path}/_pointer/p").agg(F.max("current")).first()[0] or 0
+        return tuple(spark.read.parquet(f"{path}/_pointer/p").agg(F.max(F.struct("number", "name"))).first()[0] or ()) or None
     except AnalysisException:
-        return 0
+        return None
 
 
 def load(spark: SparkSession, path: str) -> ForestModel:
-    number = _current(spark, path)
-    if not number:
+    """The current version; its parameters are checked as new ones are, its samples and nodes against them."""
+    current = _current(spark, path)
+    if not current:
         raise FileNotFoundError(path)
-    meta = spark.read.parquet(f"{path}/v={number}/meta").first()
+    where = f"{path}/v={current[1]}"
+    meta = spark.read.parquet(f"{where}/meta").first()
     if meta.version != VERSION:
         raise ValueError(f"model version {meta.version}, expected {VERSION}")
-    return ForestModel(_params(json.loads(meta.params)), spark.read.parquet(f"{path}/v={number}/samples"), spark.read.parquet(f"{path}/v={number}/nodes"), meta.updates_seen)
+    p = _params(json.loads(meta.params))
+    samples, nodes = spark.read.parquet(f"{where}/samples"), spark.read.parquet(f"{where}/nodes")
+    _checked(samples, p)
+    return ForestModel(p, samples, nodes, meta.updates_seen)
+
+
+def _checked(samples: DataFrame, p: ForestParams) -> None:
+    """Refuses samples that no forest of these parameters has."""
+    bad = samples.where((F.size("features") != p.dimension) | ~F.col("tree_id").between(0, p.num_trees - 1) | F.exists("features", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))))
+    over = samples.groupBy("tree_id").count().where(F.col("count") > p.sample_size)
+    if bad.limit(1).count() or over.limit(1).count():
+        raise ValueError("samples do not fit the parameters")
 
 
 def _params(raw: dict) -> ForestParams:
@@ -397,7 +482,9 @@ def from_json(spark: SparkSession, text: str, max_bytes: int = 1 << 30) -> Fores
         raise ValueError("incompatible version")
     body = raw["forest"]
     rows = [(r["tree_id"], r["point_id"], r["sort_key"], r["ts"], r["features"]) for r in body["samples"]]
-    return _settle(_params(body["params"]), spark.createDataFrame(rows, SAMPLE_SCHEMA), body["updates_seen"])
+    p, samples = _params(body["params"]), spark.createDataFrame(rows, SAMPLE_SCHEMA)
+    _checked(samples, p)
+    return _settle(p, samples, body["updates_seen"])
 
 
 def _settle(p: ForestParams, samples: DataFrame, seen: int) -> ForestModel:
@@ -405,9 +492,15 @@ def _settle(p: ForestParams, samples: DataFrame, seen: int) -> ForestModel:
     return ForestModel(p, samples, build(samples, p).persist(), seen)
 
 
-def fit(points: DataFrame, p: ForestParams, before: DataFrame | None = None) -> ForestModel:
-    """Fits points (point_id, seq, features[, ts]); rows that are not finite or of wrong width are skipped."""
-    return _settle(p, sample(points, p, before), 0)
+def fit(points: DataFrame, p: ForestParams, before: DataFrame | None = None, seen: int = 0) -> ForestModel:
+    """Fits points (point_id, seq, features[, ts]); rows that are not finite or of wrong width are skipped.
+
+    ``updates_seen`` counts the rows taken, beside ``seen`` before."""
+    taken = Observation()
+    model = _settle(p, sample(points, p, before, taken), seen)
+    model.samples.count()
+    model.updates_seen += taken.get["rows"] or 0
+    return model
 
 
 def bootstrap_report(points: DataFrame, p: ForestParams) -> DataFrame:
@@ -416,14 +509,3 @@ def bootstrap_report(points: DataFrame, p: ForestParams) -> DataFrame:
 
     ok = valid_point(F.col("features"), p.dimension)
     return points.agg(F.count_if(ok).alias("ingested"), F.count_if(~ok).alias("skipped"))
-
-
-def shadow(primary: ForestModel, fresh: DataFrame, min_age: int = 512, promote_after: int = 1024) -> tuple[ForestModel, str]:
-    """Drift recovery over model versions: a shadow fitted to fresh rows replaces the primary once it has seen enough."""
-    if primary.updates_seen < min_age:
-        return primary, "primary too young"
-    seen = fresh.count()
-    if seen < promote_after:
-        return primary, f"shadow at {seen} of {promote_after}"
-    model = fit(fresh, primary.params)
-    return replace(model, updates_seen=seen), "promoted"
