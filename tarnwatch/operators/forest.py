@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -390,6 +391,13 @@ class ForestModel:
         """
         return self._map(df, lambda a, x: (a.codisp(x, self.params.seed),), "codisp double")
 
+    def settled(self) -> ForestModel:
+        """The same version, read from the reliable checkpoint folder from now on."""
+        checkpoint_folder(self.samples.sparkSession)
+        samples = self.samples.checkpoint()
+        self.release()
+        return _settle(self.params, samples, self.updates_seen)
+
     def release(self) -> None:
         """Drops what is kept of this version."""
         self.samples.unpersist()
@@ -487,6 +495,16 @@ def from_json(spark: SparkSession, text: str, max_bytes: int = 1 << 30) -> Fores
     return _settle(p, samples, body["updates_seen"])
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Makes sure of a folder that all executors share; one of our own only where all runs in one process (tests)."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that they share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwatch-"))
+
+
 def _settle(p: ForestParams, samples: DataFrame, seen: int) -> ForestModel:
     samples = samples.persist()
     return ForestModel(p, samples, build(samples, p).persist(), seen)

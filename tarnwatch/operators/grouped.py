@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .steps import Digest
 
+MAX_HELD = 4096
+
 
 def profile(series: np.ndarray, window: int, exclusion: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances and neighbours by the diagonal recurrence of sliding dot products, in O(n) memory."""
@@ -90,13 +92,18 @@ def digest(df: DataFrame, keys: list[str], value: str, qs: list[float], compress
         for pdf in pdfs:
             for key, part in pdf.groupby(keys, dropna=False):
                 d = held.setdefault(key, Digest(compression))
-                for v in part[value].tolist():
-                    d.record(v)
+                d.record_many(part[value].to_numpy(float))
+            if len(held) > MAX_HELD:  # many keys: give them up and begin anew, they merge later
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    def out(held: dict[tuple, Digest]) -> pd.DataFrame:
         rows = []
         for key, d in held.items():
             d.flush()
             rows.append((*key, d.means.tolist(), d.weights.tolist(), d.min, d.max))
-        yield pd.DataFrame(rows, columns=[*keys, "means", "weights", "low", "high"])
+        return pd.DataFrame(rows, columns=[*keys, "means", "weights", "low", "high"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         d = Digest(compression)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import hmac
 import json
 import math
@@ -76,6 +78,28 @@ class Ewma(Step):
         return (z,)
 
 
+@dataclass
+class EwmaPoint(Step):
+    """:class:`Ewma` of every dimension of a point, and the largest z; none of either during warm-up."""
+
+    alpha: float = 0.01
+    warmup: int = 100
+    n: int = 0
+    parts: list = field(default_factory=list)
+    inputs = ("features",)
+    fields = (("max_z", "double"), ("z", "array<double>"))
+
+    def update(self, features):
+        self.parts = self.parts or [Ewma(self.alpha, 0) for _ in features]
+        if len(features) != len(self.parts):
+            raise ValueError("points of one width")
+        zs = [part.update(v)[0] for part, v in zip(self.parts, features, strict=True)]
+        self.n += 1
+        if self.n <= self.warmup:
+            return None, None
+        return max([0.0, *[z for z in zs if z is not None]]), zs
+
+
 @dataclass
 class MetaDrift(Step):
     """CUSUM of a score stream against its own EMA, frozen until it is ready."""
@@ -119,6 +143,19 @@ class Digest:
             if len(self.buffer) >= 10 * self.compression:
                 self.flush()
 
+    def record_many(self, values) -> None:
+        """Many values at once; compresses whenever the buffer is full."""
+        v = np.asarray(values, float)
+        v = v[np.isfinite(v)]
+        if not len(v):
+            return
+        self.min, self.max = min(self.min, float(v.min())), max(self.max, float(v.max()))
+        room = int(10 * self.compression)
+        for k in range(0, len(v), room):
+            self.buffer += [(x, 1.0) for x in v[k : k + room].tolist()]
+            if len(self.buffer) >= room:
+                self.flush()
+
     @property
     def weight(self) -> float:
         return float(self.weights.sum()) + sum(w for _, w in self.buffer)
@@ -185,6 +222,8 @@ class Threshold(Step):
     def __post_init__(self):
         if self.mode not in ("zsigma", "quantile"):
             raise ValueError(self.mode)
+        if not (0 < self.z < math.inf and 0 < self.p < 1 and self.min_observations >= 0 and 0 <= self.min_threshold < math.inf):
+            raise ValueError("a positive z, p between 0 and 1, and finite minima from 0 on")
         self.ema = self.ema or Ema(self.decay)
         if self.mode == "quantile":
             self.digest = self.digest or Digest()
@@ -204,6 +243,14 @@ class Threshold(Step):
             return limit, 0.0, False, True
         return limit, min(1.0, max(0.0, (v - limit) / span)), True, True
 
+    def standing(self) -> tuple:
+        """Observations, mean, variance, and the threshold, span and readiness that the next score meets."""
+        limit, _, _, ready = self.grade(-math.inf)
+        span = None
+        if ready:
+            span = self.z * math.sqrt(self.ema.var) if self.mode == "zsigma" else max(self.digest.max - limit, 2.220446049250313e-16)
+        return self.ema.n, self.ema.mean, self.ema.var, limit, span, ready
+
     def update(self, value):
         if not _finite(value):
             return self.min_threshold, 0.0, False, False
@@ -224,46 +271,73 @@ class Adwin(Step):
     delta: float = 0.002
     cap: int = 4096
     min_half: int = 16
-    values: list = field(default_factory=list)
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
     fires: int = 0
     fields = (("drift", "boolean"), ("window_mean", "double"), ("window_length", "long"), ("fires", "long"))
 
+    def __post_init__(self):
+        if not (0 < self.delta < 1 and self.cap >= 2 * self.min_half >= 2):
+            raise ValueError("delta between 0 and 1, and room for two halves")
+        # the window is a slice of a buffer of twice the cap, moved to its front when it reaches the end
+        self.values = np.asarray(self.values, float)
+
     def update(self, value):
         fired = False
         if _finite(value):
-            self.values.append(value)
-            if len(self.values) > self.cap:
-                del self.values[0]
-            v = np.array(self.values)
+            self._append(value)
+            v = self.values
             n = len(v)
             if n >= 2 * self.min_half:
                 sums = np.cumsum(v)
-                n0 = np.arange(self.min_half, n - self.min_half + 1)
+                n0 = self._ramp(n)[self.min_half : n - self.min_half + 1]
+                head = sums[self.min_half - 1 : n - self.min_half]
                 n1 = n - n0
-                gap = np.abs(sums[n0 - 1] / n0 - (sums[-1] - sums[n0 - 1]) / n1)
                 spread = v.max() - v.min()
-                bound = spread * np.sqrt(np.log(4 * n / self.delta) / 2 * (1 / n0 + 1 / n1))
-                hit = np.flatnonzero(gap > bound)
-                if len(hit) and spread > 0:
-                    del self.values[: int(n0[hit[0]])]
+                hit = np.abs(head / n0 - (sums[-1] - head) / n1) > spread * np.sqrt(math.log(4 * n / self.delta) / 2 * (1 / n0 + 1 / n1))
+                k = int(hit.argmax())
+                if spread > 0 and hit[k]:
+                    self.values = v[int(n0[k]) :]
                     fired, self.fires = True, self.fires + 1
-        mean = float(np.mean(self.values)) if self.values else 0.0
+        mean = float(np.mean(self.values)) if len(self.values) else 0.0
         return fired, mean, len(self.values), self.fires
 
+    def _append(self, value: float) -> None:
+        held = self.__dict__.get("_room")
+        n = len(self.values)
+        end = self.__dict__.get("_end", 0)
+        if held is None or end == len(held) or self.values.base is not held:
+            held = np.zeros(2 * self.cap + 1)
+            held[:n] = self.values
+            end = n
+        held[end] = value
+        self._room, self._end = held, end + 1
+        self.values = held[max(end + 1 - min(n + 1, self.cap), 0) : end + 1]
+
+    @staticmethod
+    @functools.lru_cache(maxsize=4)
+    def _whole(cap: int) -> np.ndarray:
+        return np.arange(cap + 1, dtype=float)
+
+    def _ramp(self, n: int) -> np.ndarray:
+        return self._whole(max(n, self.cap))
+
 
 @dataclass
 class Spot(Step):
-    """Peaks over threshold: the first ``calibrate`` values fix the quantile, the rest feed excesses."""
+    """Peaks over threshold: the first ``calibrate`` values fix the quantile, the rest feed excesses.
+
+    With ``calibrate`` None the quantile rolls with all values until :meth:`freeze_baseline` pins it."""
 
     q: float = 0.98
     alert_p: float = 1e-3
-    calibrate: int = 100
+    calibrate: int | None = 100
     seen: int = 0
     u: float | None = None
     peaks: int = 0
     mean: float = 0.0
     m2: float = 0.0
     digest: Digest | None = None
+    frozen: bool = False
     fields = (("p_value", "double"), ("is_anomaly", "boolean"))
 
     def p_value(self, v: float) -> float:
@@ -285,6 +359,13 @@ class Spot(Step):
         if not _finite(value):
             return 1.0, False
         self.digest = self.digest or Digest()
+        if self.calibrate is None and not self.frozen:
+            p = self.p_value(value)
+            self.seen += 1
+            self.digest.record(value)
+            self.u = self.digest.quantile(self.q)
+            self._peak(value)
+            return p, p < self.alert_p
         if self.u is None:
             self.digest.record(value)
             self.seen += 1
@@ -293,12 +374,21 @@ class Spot(Step):
             return 1.0, False
         p = self.p_value(value)
         self.seen += 1
+        self._peak(value)
+        return p, p < self.alert_p
+
+    def _peak(self, value: float) -> None:
         if value > self.u:
             self.peaks += 1
             delta = value - self.u - self.mean
             self.mean += delta / self.peaks
             self.m2 += delta * (value - self.u - self.mean)
-        return p, p < self.alert_p
+
+    def freeze_baseline(self) -> None:
+        """Pins the present quantile; the excesses begin anew."""
+        if self.digest is None or (u := self.digest.quantile(self.q)) is None:
+            raise ValueError("no values yet")
+        self.u, self.frozen, self.peaks, self.mean, self.m2 = u, True, 0, 0.0, 0.0
 
 
 @dataclass
@@ -332,17 +422,38 @@ class SpaceSaving(Step):
     fields = (("estimate", "long"), ("error", "long"))
 
     def update(self, item, weight: int = 1):
+        heap = self.__dict__.get("_heap")
+        if heap is None or len(heap) > 8 * self.capacity + 64:
+            heap = self._heap = [(c, str(k), k) for k, (c, _) in self.counts.items()]
+            heapq.heapify(heap)
         self.total += weight
         if item in self.counts:
             self.counts[item][0] += weight
         elif len(self.counts) < self.capacity:
             self.counts[item] = [weight, 0]
         else:
-            victim = min(self.counts, key=lambda k: (self.counts[k][0], str(k)))
-            least = self.counts.pop(victim)[0]
+            while True:  # entries of counts that have grown since go back in
+                least, _, victim = heapq.heappop(heap)
+                if victim in self.counts:
+                    if self.counts[victim][0] == least:
+                        break
+                    heapq.heappush(heap, (self.counts[victim][0], str(victim), victim))
+            del self.counts[victim]
             self.counts[item] = [least + weight, least]
+        if self.counts[item][0] == weight + self.counts[item][1]:  # new here
+            heapq.heappush(heap, (self.counts[item][0], str(item), item))
         return tuple(self.counts[item])
 
+    def merge(self, other: SpaceSaving) -> SpaceSaving:
+        """Both streams' counters: a key that one of them lacks may have had its smallest count there."""
+        low = [min((c for c, _ in s.counts.values()), default=0) if len(s.counts) >= s.capacity else 0 for s in (self, other)]
+        both = {}
+        for k in [*self.counts, *[k for k in other.counts if k not in self.counts]]:
+            (a, x), (b, y) = (s.counts.get(k, (m, m)) for s, m in zip((self, other), low, strict=True))
+            both[k] = [a + b, x + y]
+        top = sorted(both.items(), key=lambda x: (-x[1][0], str(x[0])))[: self.capacity]
+        return SpaceSaving(self.capacity, dict(top), self.total + other.total)
+
     def top(self, n: int) -> list[tuple]:
         return [(k, c, e) for k, (c, e) in sorted(self.counts.items(), key=lambda x: (-x[1][0], str(x[0])))[:n]]
 
@@ -368,16 +479,26 @@ class AlertClusters(Step):
         if self.window_ms is not None:
             self.live = [c for c in self.live if c["last"] >= now - self.window_ms]
 
+    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """Live vectors and their lengths, row by row as in ``live``."""
+        held = self.__dict__.get("_held")
+        if held is None or held[2] != [c["id"] for c in self.live]:
+            rows = [np.asarray(c["vector"], float) for c in self.live]
+            held = (np.array(rows) if rows else np.zeros((0, 0)), np.array([c["norm"] for c in self.live]), [c["id"] for c in self.live])
+            self._held = held
+        return held[0], held[1]
+
     def update(self, at_ms, vector, score, tenant):
         self.prune(at_ms)
         v = np.asarray(vector, float)
         norm = float(np.linalg.norm(v))
         best, place = -math.inf, None
-        for k, c in enumerate(self.live):
-            both = norm * c["norm"]
-            s = float(v @ c["vector"]) / both if both else 0.0
-            if s >= best:
-                best, place = s, k
+        if self.live:
+            rows, norms = self._matrix()
+            both = norms * norm
+            cosine = np.where(both > 0, rows @ v / np.where(both > 0, both, 1), 0.0)
+            place = len(cosine) - 1 - int(cosine[::-1].argmax())  # the later of equals
+            best = float(cosine[place])
         decision = "Joined" if place is not None and best >= self.threshold else "New"
         if decision == "New":
             if len(self.live) >= self.max_clusters:
