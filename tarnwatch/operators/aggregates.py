@@ -108,7 +108,7 @@ def count_min_column(key: Column, row: int, width: int) -> Column:
 def count_min_estimate(sketch: DataFrame, keys: DataFrame, key: str, width: int = 2048, depth: int = 4) -> DataFrame:
     """Smallest of a key's counters; never below its count.  The sketch is at most width x depth rows."""
     probes = keys.select(key, F.posexplode(F.array(*[count_min_column(F.col(key), r, width) for r in range(depth)])).alias("row", "col"))
-    return probes.join(F.broadcast(sketch), ["row", "col"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+    return probes.join(sketch, ["row", "col"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
 def hyperloglog(df: DataFrame, keys: list[str], value: str, precision: int = 12) -> DataFrame:
@@ -171,7 +171,7 @@ def heavy_hitters(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact interpolated quantiles; for large groups use :func:`sketched_quantiles`."""
+    """Exact interpolated quantiles: a group's distinct values meet in one task.  For large groups use :func:`sketched_quantiles`."""
     return df.where(fn.finite(F.col(value))).groupBy(*keys).agg(*[F.percentile(value, q).alias(f"q{round(q * 1000)}") for q in qs])
 
 
@@ -181,6 +181,15 @@ def sketched_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[floa
     return out.select(*keys, "min", "max", "weight", *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(f"q{round(q * 1000)}") for q in qs])
 
 
+def union_of(one: DataFrame, two: DataFrame, kind: str) -> DataFrame:
+    """Union of two sketches of one shape: ``histogram`` and ``count_min`` add, ``hyperloglog`` takes the larger, ``bloom`` either bit."""
+    column, merge = {"histogram": ("n", F.sum), "count_min": ("n", F.sum), "hyperloglog": ("rho", F.max), "bloom": ("mask", F.bit_or)}[kind]
+    if set(one.columns) != set(two.columns):
+        raise ValueError("sketches of different shape")
+    keys = [c for c in one.columns if c != column]
+    return one.unionByName(two).groupBy(*keys).agg(merge(column).alias(column))
+
+
 def forensic(samples: DataFrame, probe: dict[str, float]) -> DataFrame:
     """Per dimension: observed, mean, sample deviation, delta and z of a probe against distinct sampled points."""
     points = samples.groupBy("point_id").agg(F.min(F.struct(*probe)).alias("x")).select("x.*")

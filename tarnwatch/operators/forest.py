@@ -389,7 +389,8 @@ class ForestModel:
         it, and with the share of the growth a cut parts it from the rest there, else it follows the
         stored cut; the random choice is a hash of tree, node and point.  All masses above it count one more.
         """
-        return self._map(df, lambda a, x: (a.codisp(x, self.params.seed),), "codisp double")
+        seed = self.params.seed
+        return self._map(df, lambda a, x: (a.codisp(x, seed),), "codisp double")
 
     def settled(self) -> ForestModel:
         """The same version, read from the reliable checkpoint folder from now on."""

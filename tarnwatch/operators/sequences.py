@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from . import grouped
@@ -37,7 +38,9 @@ def cusum(df: DataFrame, keys: list[str], order: list[str], value: str, slack: f
     out = out.withColumn("_run", F.sum(F.when(F.col("alert"), 0).otherwise(1)).over(run))
     one = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({"duration": F.sum(F.col("alert").cast("long")).over(one), "direction": F.when(F.col("alert"), F.when(F.col("s_pos") > F.col("s_neg"), "Increase").otherwise("Decrease"))})
-    return out.withColumn("magnitude", F.when(F.col("alert"), F.greatest("s_pos", "s_neg"))).drop("_up", "_down", "_n", "_run")
+    # outside an alert the magnitude is that before the row
+    before = F.coalesce(F.lag(F.greatest("s_pos", "s_neg")).over(w), F.lit(0.0))
+    return out.withColumn("magnitude", F.when(F.col("alert"), F.greatest("s_pos", "s_neg")).otherwise(before)).drop("_up", "_down", "_n", "_run")
 
 
 def active_drifts(drifts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,6 +55,15 @@ def stride(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("_k") % n == 0).drop("_k")
 
 
+def stride_to(df: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
+    """Every k-th row of each key, with the k that leaves at most ``cap`` of them."""
+    if cap < 1:
+        raise ValueError("a cap of one row at least")
+    w = Window.partitionBy(*keys)
+    step = F.ceil(F.count("*").over(w) / cap)
+    return df.withColumn("_k", (F.row_number().over(w.orderBy(*order)) - 1) % step).where(F.col("_k") == 0).drop("_k")
+
+
 def hash_gate(df: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
     """Keeps a key's rows if its hash (the raw number without a seed) is a multiple of n; no shuffle."""
     if n <= 1:
@@ -67,11 +79,28 @@ def bounded_queue(df: DataFrame, batch: list[str], order: list[str], capacity: i
     return df.withColumn("enqueued", F.row_number().over(Window.partitionBy(*batch).orderBy(*order)) <= capacity)
 
 
-def lsh_clusters(df: DataFrame, keys: list[str], order: list[str], high: str, low: str, buckets: int = 16, cap: float = 8.0) -> DataFrame:
-    """Cluster key of each alert, its size, and whether it opened the cluster."""
+def lsh_clusters(df: DataFrame, keys: list[str], order: list[str], high: str, low: str, buckets: int = 16, cap: float = 8.0, salts: int = 32) -> DataFrame:
+    """Cluster key of each alert, its size, and whether it opened the cluster.
+
+    A hot bucket is not numbered in one task: rows are dealt to ranges of the leading order column, numbered there,
+    and the ranges' sizes (``salts`` a bucket at most) give where each begins."""
     keyed = df.withColumn("bucket", F.array_join(fn.lsh_buckets(F.col(high), F.col(low), buckets, cap), ","))
-    w = Window.partitionBy(*keys, "bucket").orderBy(*order)
-    return keyed.withColumns({"decision": F.when(F.row_number().over(w) == 1, "New").otherwise("Joined"), "cluster_size": F.row_number().over(w).cast("long")})
+    group = [*keys, "bucket"]
+    first = order[0]
+    other = [f"_g{i}" for i in range(len(group))]
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(group, other, strict=True)]
+    named = [F.col(c).alias(o) for c, o in zip(group, other, strict=True)]
+    edges = keyed.groupBy(*named).agg(F.min(first).alias("_a"), F.max(first).alias("_b"))
+    place = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double") if isinstance(df.schema[first].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(c).cast("double")
+    span = place("_b") - place("_a")
+    dealt = keyed.join(edges, same).drop(*other)
+    dealt = dealt.withColumn("_salt", F.when(span > 0, F.least(F.lit(salts - 1), F.floor((place(first) - place("_a")) / span * salts))).otherwise(0).cast("int")).drop("_a", "_b")
+    sizes = dealt.groupBy(*named, F.col("_salt").alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*other).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)))
+    out = numbered.join(sizes.select(*other, "_s", before.alias("_before")), [*same, F.col("_salt") == F.col("_s")]).drop(*other, "_s")
+    size = (F.col("_before") + F.col("_k")).cast("long")
+    return out.withColumns({"decision": F.when(size == 1, "New").otherwise("Joined"), "cluster_size": size}).drop("_salt", "_k", "_before")
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -99,23 +128,33 @@ def score_separation(df: DataFrame, keys: list[str], score: str, label: str) ->
 
 def range_auc_pr(df: DataFrame, keys: list[str], order: list[str], score: str, label: str, buffers: list[int]) -> DataFrame:
     """Range-aware area under precision-recall for each buffer: labels dilated by ``buffer`` rows for
-    precision, a positive recalled once any row within the buffer is predicted; trapezoids over recall."""
-    pos = Window.partitionBy(*keys).orderBy(*order)
+    precision, a positive recalled once any row within the buffer is predicted; trapezoids over recall.
+
+    All buffers in one plan: a row counts for the buffers from its distance to the nearest positive on, a positive
+    meets the rows around it by place, and the curves are running sums per key and buffer."""
+    pos, most = Window.partitionBy(*keys).orderBy(*order), max(buffers)
     ranked = df.select(*keys, *order, F.col(score).alias("_s"), F.col(label).cast("int").alias("_y")).withColumn("_i", F.row_number().over(pos))
-    rank = Window.partitionBy(*keys).orderBy(F.desc("_s"), "_i")
-    ranked = ranked.withColumn("_r", F.row_number().over(rank))
-    out = None
-    for b in buffers:
-        near = Window.partitionBy(*keys).orderBy("_i").rowsBetween(-b, b)
-        rows = ranked.withColumns({"_infl": F.max("_y").over(near), "_cr": F.min("_r").over(near)})
-        hits = rows.where("_y = 1").groupBy(*keys, F.col("_cr").alias("_r")).agg(F.count("*").alias("_hits"))
-        upto = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-        curve = rows.join(hits, [*keys, "_r"], "left").withColumns({"_p": F.sum("_infl").over(upto) / F.col("_r"), "_h": F.coalesce("_hits", F.lit(0))}).where("_h > 0")
-        lag = Window.partitionBy(*keys).orderBy("_r")
-        area = curve.withColumn("_before", F.coalesce(F.lag("_p").over(lag), F.lit(1.0)))
-        one = area.groupBy(*keys).agg(F.sum((F.col("_before") + F.col("_p")) / 2 * F.col("_h")).alias("_a"), F.sum("_h").alias("_n")).select(*keys, F.lit(b).alias("buffer"), (F.col("_a") / F.col("_n")).alias("auc_pr"))
-        out = one if out is None else out.unionByName(one)
-    return df.select(*keys).distinct().select("*", F.explode(F.array(*map(F.lit, buffers))).alias("buffer")).join(out, [*keys, "buffer"], "left").select(*keys, "buffer", F.coalesce("auc_pr", F.lit(0.0)).alias("auc_pr"))
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_s"), "_i"))).select(*keys, "_i", "_r", "_y")
+    by_place = Window.partitionBy(*keys).orderBy("_i")
+    here = F.when(F.col("_y") == 1, F.col("_i"))
+    back = F.col("_i") - F.last(here, True).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(here, True).over(by_place.rowsBetween(0, Window.unboundedFollowing)) - F.col("_i")
+    wanted = F.array(*map(F.lit, sorted(set(buffers))))
+    reach = ranked.withColumn("_far", F.least(back, ahead)).where(F.col("_far") <= most)
+    influenced = reach.select(*keys, "_r", F.explode(F.filter(wanted, lambda b: b >= F.col("_far"))).alias("buffer")).withColumns({"_infl": F.lit(1), "_h": F.lit(0)})
+    # for each positive the least rank within every distance
+    around = ranked.where("_y = 1").select(*keys, F.col("_i").alias("_p"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("_off")).withColumn("_i", F.col("_p") + F.col("_off"))
+    met = around.join(ranked.select(*keys, "_i", "_r"), [*keys, "_i"]).groupBy(*keys, "_p", F.abs("_off").alias("_off")).agg(F.min("_r").alias("_r"))
+    outward = Window.partitionBy(*keys, "_p").orderBy("_off")
+    met = met.withColumns({"_r": F.min("_r").over(outward), "_upto": F.coalesce(F.lead("_off").over(outward), F.lit(most + 1))})
+    hits = met.select(*keys, "_r", F.explode(F.filter(wanted, lambda b: (b >= F.col("_off")) & (b < F.col("_upto")))).alias("buffer")).withColumns({"_infl": F.lit(0), "_h": F.lit(1)})
+    points = influenced.unionByName(hits).groupBy(*keys, "buffer", "_r").agg(F.sum("_infl").alias("_infl"), F.sum("_h").alias("_h"))
+    upto = Window.partitionBy(*keys, "buffer").orderBy("_r")
+    curve = points.withColumn("_p", F.sum("_infl").over(upto.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_r")).where("_h > 0")
+    area = curve.withColumn("_before", F.coalesce(F.lag("_p").over(upto), F.lit(1.0)))
+    out = area.groupBy(*keys, "buffer").agg(F.sum((F.col("_before") + F.col("_p")) / 2 * F.col("_h")).alias("_a"), F.sum("_h").alias("_n"))
+    every = df.select(*keys).distinct().select("*", F.explode(wanted).alias("buffer"))
+    return every.join(out, [*keys, "buffer"], "left").select(*keys, "buffer", F.coalesce(F.col("_a") / F.col("_n"), F.lit(0.0)).alias("auc_pr"))
 
 
 def vus_pr(df: DataFrame, keys: list[str], order: list[str], score: str, label: str, max_buffer: int = 100) -> DataFrame:

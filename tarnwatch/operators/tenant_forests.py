@@ -13,25 +13,30 @@ fit and have no score; a tenant without a model has null scores; an empty table
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fold import fold, states
+from .detectors import standing
 from .forest import ROWS, Arrays, ForestParams, build_tree, hashed, valid_rows
+from .steps import Threshold
+from .tenants import evict_idle, evict_lru
 
 
 ROWS_PER_TASK = 1_000_000
+SAMPLE_COLUMNS = "tenant string, point_id long, seq double, features array<double>"
 
 
 def _salted(rows: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame]:
     """Rows with a salt, and (tenant, salts) of the tenants that have more than one; those are at most rows / rows_per_task."""
     hot = rows.groupBy("tenant").count().where(F.col("count") > rows_per_task).select("tenant", F.ceil(F.col("count") / rows_per_task).cast("int").alias("salts")).persist()
     salt = F.pmod(F.xxhash64("point_id"), F.coalesce("salts", F.lit(1))).cast("int")
-    return rows.join(F.broadcast(hot), "tenant", "left").withColumn("salt", salt).drop("salts"), hot
+    return rows.join(hot, "tenant", "left").withColumn("salt", salt).drop("salts"), hot
 
 
 def _chosen(ids: np.ndarray, seq: np.ndarray, p: ForestParams) -> Iterator[np.ndarray]:
@@ -60,15 +65,16 @@ def _model(pdf: pd.DataFrame, p: ForestParams) -> pd.DataFrame:
     names = ("node_id", "left", "right", "cut_dim", "cut_value", "mn", "mx", "mass", "point_id")
     for tree, best in enumerate(_chosen(ids, pdf["seq"].to_numpy(float), p)):
         nodes += [{"tree_id": tree, **dict(zip(names, n, strict=True))} for n in build_tree(x[best], ids[best], np.random.default_rng([p.seed, tree]))]
-    return pd.DataFrame({"tenant": [pdf["tenant"].iloc[0]], "sampled": [len(np.unique(ids))], "model": [pickle.dumps(Arrays(nodes))]})
+    return pd.DataFrame({"tenant": [pdf["tenant"].iloc[0]], "sampled": [len(np.unique(ids))], "last_seq": [pdf["seq"].max()], "model": [pickle.dumps(Arrays(nodes))]})
 
 
-def _score(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(pdfs: Iterator[pd.DataFrame], d: int, attribute: bool) -> Iterator[pd.DataFrame]:
     model, owner = None, None
     for pdf in pdfs:
         place = list(zip(pdf["tenant"], pdf["salt"], strict=True))
-        score, disp = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-        cuts = [k for k in range(len(pdf)) if not k or place[k] != place[k - 1]] + [len(pdf)]
+        n = len(pdf)
+        score, disp, parts = np.full(n, np.nan), np.full(n, np.nan), np.zeros((n, 2 * d)) if attribute else None
+        cuts = [k for k in range(n) if not k or place[k] != place[k - 1]] + [n]
         blobs, features, good = pdf["model"].to_list(), pdf["features"].to_list(), pdf["good"].to_numpy(bool)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if place[a] != owner:
@@ -78,41 +84,107 @@ def _score(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = np.arange(a, b)[good[a:b]]
             for k in range(0, len(rows) if model else 0, ROWS):
                 some = rows[k : k + ROWS]
-                s, d = model.walk(np.stack([features[i] for i in some]).astype(float))
-                score[some], disp[some] = s.mean(axis=1), d.mean(axis=1)
-        out = pdf.loc[[x is None for x in blobs], ["tenant", "point_id"]]
-        keep = out.index
-        yield out.assign(score=pd.Series(score, pdf.index)[keep].astype(object).where(~np.isnan(score[keep]), None), codisp=pd.Series(disp, pdf.index)[keep].astype(object).where(~np.isnan(disp[keep]), None))
+                both = np.zeros((len(some), 2 * d))
+                each = (lambda _, c, both=both: np.add(both, c, out=both)) if attribute else None
+                s, far = model.walk(np.stack([features[i] for i in some]).astype(float), each)
+                score[some], disp[some] = s.mean(axis=1), far.mean(axis=1)
+                if attribute:
+                    parts[some] = both / len(model.roots)
+        keep = np.array([x is None for x in blobs], bool)
+        known = ~np.isnan(score)
+        out = pdf.loc[keep, ["tenant", "point_id", "seq"]].assign(score=pd.Series(score).astype(object).where(pd.Series(known), None)[keep].to_numpy())
+        if attribute:
+            out["high"] = [parts[i, :d] if known[i] else None for i in np.flatnonzero(keep)]
+            out["low"] = [parts[i, d:] if known[i] else None for i in np.flatnonzero(keep)]
+        else:
+            out["codisp"] = pd.Series(disp).astype(object).where(pd.Series(known), None)[keep].to_numpy()
+        yield out
 
 
 @dataclass
 class TenantForests:
-    """models: tenant, sampled (distinct points in its sample) and the packed model."""
+    """models: tenant, sampled (distinct points in its sample), last_seq and the packed model; samples: the points behind them.
+
+    ``states`` has what the tenants' thresholds have seen (:meth:`process`).
+    """
 
     params: ForestParams
     models: DataFrame
     rows_per_task: int = ROWS_PER_TASK
+    samples: DataFrame | None = None
+    states: DataFrame | None = None
 
-    def score(self, points: DataFrame) -> DataFrame:
-        """tenant, point_id, score and codisp of the points (tenant, point_id, features)."""
+    def _run(self, points: DataFrame, attribute: bool) -> DataFrame:
         from ..functions import scaled, valid_point
 
         p = self.params
         features = scaled(F.col("features"), list(p.feature_scales)) if p.feature_scales else F.col("features")
-        rows, hot = _salted(points.select(F.col("tenant").cast("string"), F.col("point_id").cast("long"), features.cast("array<double>").alias("features"), F.coalesce(valid_point(F.col("features"), p.dimension), F.lit(False)).alias("good")), self.rows_per_task)
+        seq = (F.col("seq") if "seq" in points.columns else F.lit(None)).cast("double").alias("seq")
+        rows, hot = _salted(points.select(F.col("tenant").cast("string"), F.col("point_id").cast("long"), seq, features.cast("array<double>").alias("features"), F.coalesce(valid_point(F.col("features"), p.dimension), F.lit(False)).alias("good")), self.rows_per_task)
         rows = rows.withColumn("model", F.lit(None).cast("binary"))
         salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
-        heads = self.models.join(F.broadcast(hot), "tenant", "left").select("tenant", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("array<double>").alias("features"), F.lit(False).alias("good"), salts, "model")
+        heads = self.models.join(hot, "tenant", "left").select("tenant", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("seq"), F.lit(None).cast("array<double>").alias("features"), F.lit(False).alias("good"), salts, "model")
         dealt = rows.unionByName(heads).repartition("tenant", "salt").sortWithinPartitions("tenant", "salt", F.col("model").isNull())
-        return dealt.mapInPandas(_score, "tenant string, point_id long, score double, codisp double")
+        more, d = "high array<double>, low array<double>" if attribute else "codisp double", p.dimension
+        return dealt.mapInPandas(lambda it: _walk(it, d, attribute), f"tenant string, point_id long, seq double, score double, {more}")
+
+    def score(self, points: DataFrame) -> DataFrame:
+        """tenant, point_id, score and codisp of the points (tenant, point_id, features)."""
+        return self._run(points, False).drop("seq")
+
+    def attribution(self, points: DataFrame) -> DataFrame:
+        """tenant, point_id, score, and high and low per dimension."""
+        return self._run(points, True).drop("seq")
+
+    def process(self, points: DataFrame, make: Callable[[], Threshold] = Threshold) -> tuple[DataFrame, TenantForests]:
+        """Scores under each tenant's present forest, graded against the tenant's earlier scores; and the pool that has learned the points.
+
+        Tenants without a forest get one, and their rows have null scores this once."""
+        scored = self._run(points, False)
+        known = scored.where("score is not null")
+        grades = fold(known, ["tenant"], ["seq", "point_id"], ["point_id", "score"], make, self.states, value="score")
+        after = states(known, ["tenant"], ["seq", "point_id"], make, self.states, value="score")
+        if self.states is not None:
+            after = after.unionByName(self.states.join(after.select("tenant"), "tenant", "left_anti"))
+        fresh = scored.where("score is null").select("tenant", "point_id", "score")
+        return grades.unionByName(fresh, allowMissingColumns=True), replace(self.update(points), states=after)
+
+    def stats(self, make: Callable[[], Threshold] = Threshold) -> DataFrame:
+        """Every tenant's observations, mean, variance and threshold, as :mod:`.tenants` takes them."""
+        return standing(self.states, ["tenant"], make)
+
+    def update(self, points: DataFrame) -> TenantForests:
+        """New points join their tenants' samples; only those tenants' models are built again."""
+        new = fit(points, self.params, self.rows_per_task, self.samples)
+        rest = self.models.join(new.models.select("tenant"), "tenant", "left_anti")
+        others = self.samples.join(new.models.select("tenant"), "tenant", "left_anti") if self.samples is not None else None
+        return replace(self, models=rest.unionByName(new.models), samples=new.samples if others is None else new.samples.unionByName(others))
+
+    def _only(self, tenants: DataFrame, how: str) -> TenantForests:
+        names = tenants.select(F.col("tenant").cast("string"))
+        cut = lambda df: None if df is None else df.join(names, "tenant", how)
+        return replace(self, models=cut(self.models), samples=cut(self.samples), states=cut(self.states))
+
+    def get(self, tenant: str) -> DataFrame:
+        return self.models.where(F.col("tenant") == tenant)
+
+    def remove(self, tenants: DataFrame) -> TenantForests:
+        return self._only(tenants, "left_anti")
+
+    def evict_lru(self, capacity: int) -> TenantForests:
+        """The pool of the ``capacity`` tenants that learned last; models, samples and thresholds of the others go."""
+        return self._only(evict_lru(self.models.select("tenant", "last_seq"), "tenant", "last_seq", capacity), "left_semi")
+
+    def evict_idle(self, now: float, ttl: float) -> TenantForests:
+        return self._only(evict_idle(self.models.select("tenant", "last_seq"), "last_seq", now, ttl), "left_semi")
 
     def most_anomalous(self, points: DataFrame, n: int) -> DataFrame:
         """Top n points over all tenants."""
         return self.score(points).orderBy(F.desc("score"), "tenant", "point_id").limit(n)
 
 
-def fit(points: DataFrame, p: ForestParams, rows_per_task: int = ROWS_PER_TASK) -> TenantForests:
-    """A forest for each tenant of the points (tenant, point_id, seq, features)."""
+def fit(points: DataFrame, p: ForestParams, rows_per_task: int = ROWS_PER_TASK, before: DataFrame | None = None) -> TenantForests:
+    """A forest for each tenant of the points (tenant, point_id, seq, features), with the samples that the tenants had ``before``."""
     rows = valid_rows(points.where("tenant is not null"), p).select(F.col("tenant").cast("string"), F.col("point_id").cast("long"), F.col("seq").cast("double"), F.col("features").cast("array<double>"))
 
     def cut(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,5 +193,8 @@ def fit(points: DataFrame, p: ForestParams, rows_per_task: int = ROWS_PER_TASK)
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
         return _model(pdf, p)
 
-    kept = _salted(rows, rows_per_task)[0].groupBy("tenant", "salt").applyInPandas(cut, "tenant string, point_id long, seq double, features array<double>")
-    return TenantForests(p, kept.groupBy("tenant").applyInPandas(model, "tenant string, sampled long, model binary").persist(), rows_per_task)
+    kept = _salted(rows, rows_per_task)[0].groupBy("tenant", "salt").applyInPandas(cut, SAMPLE_COLUMNS)
+    if before is not None:
+        kept = kept.unionByName(before.join(rows.select("tenant").distinct(), "tenant", "left_semi"))
+    kept = kept.persist()
+    return TenantForests(p, kept.groupBy("tenant").applyInPandas(model, "tenant string, sampled long, last_seq double, model binary").persist(), rows_per_task, kept)

@@ -8,21 +8,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import SeverityBands
+from ..functions import EPS, SeverityBands
 from .steps import chain_tag
 
 ALERT_VERSION = 1
-ALERT_SCHEMA = "version int, tenant string, timestamp_ms long, point array<double>, score double, grade struct<score: double, threshold: double, grade: double, is_anomaly: boolean, ready: boolean>, severity string, attribution struct<high: array<double>, low: array<double>>"
-ALERT_FIELDS = {"version", "tenant", "timestamp_ms", "point", "score", "grade", "severity", "attribution"}
+MAX_PLAN_BYTES = 64 << 20
+ALERT_SCHEMA = "version int, tenant string, timestamp_ms long, point array<double>, score double, grade struct<score: double, threshold: double, grade: double, is_anomaly: boolean, ready: boolean>, severity string, attribution struct<high: array<double>, low: array<double>>, baseline struct<observed: array<double>, expected: array<double>, stddev: array<double>, delta: array<double>, zscore: array<double>, live_points: bigint>"
+ALERT_FIELDS = {"version", "tenant", "timestamp_ms", "point", "score", "grade", "severity", "attribution", "baseline"}
 
 
-def alert_records(attributed: DataFrame, tenant: str | None, timestamp_ms: str, bands: SeverityBands | None = None) -> DataFrame:
-    """Versioned alert structs from rows with features, score, high and low."""
+def baseline(samples: DataFrame, features: Column, dimension: int, scales: tuple[float, ...] | None = None) -> Column:
+    """Struct of a point's place among the distinct sampled points, dimension by dimension; the sample's moments are one row."""
+    x = [F.col("features")[i] / (scales[i] if scales else 1.0) for i in range(dimension)]
+    points = samples.groupBy("point_id").agg(F.min(F.struct(*[c.alias(f"d{i}") for i, c in enumerate(x)])).alias("x"))
+    row = points.agg(F.count("*").alias("n"), *[f(F.col(f"x.d{i}")).alias(f"{n}{i}") for i in range(dimension) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    mean = F.array(*[F.lit(row[f"m{i}"]).cast("double") for i in range(dimension)])
+    std = F.array(*[F.lit(row[f"s{i}"] or 0.0).cast("double") for i in range(dimension)])
+    delta = F.zip_with(features, mean, lambda a, b: a - b)
+    z = F.zip_with(delta, std, lambda a, b: F.when(b < EPS, 0.0).otherwise(a / b))
+    return F.struct(features.cast("array<double>").alias("observed"), mean.alias("expected"), std.alias("stddev"), delta.alias("delta"), z.alias("zscore"), F.lit(row["n"]).alias("live_points"))
+
+
+def alert_records(attributed: DataFrame, tenant: str | None, timestamp_ms: str, bands: SeverityBands | None = None, model=None) -> DataFrame:
+    """Versioned alert structs from rows with features, score, high and low.
+
+    Columns threshold, grade, is_anomaly and ready, where there are all, make the grade; with a ``model`` the
+    record has its baseline.  A record has every field of the schema, null where nothing is known."""
     bands = bands or SeverityBands()
-    return attributed.withColumn("alert", F.struct(F.lit(ALERT_VERSION).alias("version"), (F.col(tenant).cast("string") if tenant else F.lit(None).cast("string")).alias("tenant"), F.col(timestamp_ms).cast("long").alias("timestamp_ms"), F.col("features").alias("point"), "score", bands.label(F.col("score")).alias("severity"), F.struct("high", "low").alias("attribution")))
+    graded = {"threshold", "grade", "is_anomaly", "ready"} <= set(attributed.columns)
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(ALERT_SCHEMA).fields}
+    grade = F.struct("score", "threshold", "grade", "is_anomaly", "ready") if graded else F.lit(None)
+    base = baseline(model.samples, F.col("features"), model.params.dimension, model.params.feature_scales) if model else F.lit(None)
+    made = {
+        "version": F.lit(ALERT_VERSION),
+        "tenant": F.col(tenant) if tenant else F.lit(None),
+        "timestamp_ms": F.col(timestamp_ms),
+        "point": F.col("features"),
+        "score": F.col("score"),
+        "grade": grade,
+        "severity": bands.label(F.col("score")),
+        "attribution": F.struct("high", "low"),
+        "baseline": base,
+    }
+    return attributed.withColumn("alert", F.struct(*[made[n].cast(k).alias(n) for n, k in kinds.items()]))
 
 
 def parse_alerts(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -130,18 +162,26 @@ def shapley(df: DataFrame, score_points, dims: int, baseline: list[float], permu
     """
     if not 1 <= permutations <= 65_536:
         raise ValueError("1 to 65,536 permutations")
+    if permutations * (dims + 1) * (dims + 4) * 8 > MAX_PLAN_BYTES:
+        raise ValueError(f"permutations x dimensions make a plan of over {MAX_PLAN_BYTES >> 20} MB")
     orders = [np.random.default_rng([seed, k]).permutation(dims).tolist() for k in range(permutations)]
     spark = df.sparkSession
     plan = [(k, step, None if step == 0 else order[step - 1], order[:step]) for k, order in enumerate(orders) for step in range(dims + 1)]
     plan = spark.createDataFrame(plan, "perm int, step int, dim int, included array<int>")
     base = F.array(*map(F.lit, map(float, baseline)))
     mixed = F.transform(F.col("features"), lambda x, i: F.when(F.array_contains("included", i), x).otherwise(F.element_at(base, i + 1)))
+    # every row with every coalition is what is asked for; the coalitions' size is checked above
     rows = df.select("point_id", "features").join(F.broadcast(plan)).select("point_id", "perm", "step", "dim", mixed.alias("features"))
     scored = score_points(rows)
     w = Window.partitionBy("point_id", "perm").orderBy("step")
     return scored.withColumn("gain", F.col("score") - F.lag("score").over(w)).where("step > 0").groupBy("point_id", "dim").agg(F.avg("gain").alias("contribution"))
 
 
+def sage(model, df: DataFrame, baseline: list[float], permutations: int = 64, seed: int = 2026) -> DataFrame:
+    """Shapley values of a forest's score; per row they sum to its score less the baseline's."""
+    return shapley(df, model.score, model.params.dimension, baseline, permutations, seed)
+
+
 def verify_chain(entries: DataFrame, key: bytes, chain: list[str], first_prev: bytes = bytes(32), expected_last: int | None = None) -> DataFrame:
     """First broken seq per chain and why; no rows where all is well.  Each row is checked on its own
     beside its predecessor's tag, so verification is parallel."""

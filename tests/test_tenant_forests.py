@@ -3,6 +3,7 @@
 import numpy as np
 
 from tarnwatch.operators import forest, tenant_forests
+from tarnwatch.operators.steps import Threshold
 
 SCHEMA = "tenant string, point_id long, seq long, features array<double>"
 
@@ -40,3 +41,28 @@ def test_empty(spark):
     points = spark.createDataFrame([], SCHEMA)
     pool = tenant_forests.fit(points, forest.ForestParams(2))
     assert pool.models.count() == 0 and pool.score(points).count() == 0
+
+
+def test_pool_learns_grades_and_evicts(spark):
+    rng = np.random.default_rng(4)
+    p = forest.ForestParams(2, num_trees=50, sample_size=32, seed=5, time_decay=0.0)
+    first = spark.createDataFrame(_rows(rng, "a", 0.0, 200, 0) + _rows(rng, "b", 5.0, 200, 1000), SCHEMA)
+    later = spark.createDataFrame([(t, i, s + 500, f) for t, i, s, f in _rows(rng, "b", 5.0, 100, 3000) + _rows(rng, "c", 1.0, 40, 4000)] + [("b", 9000, 900, [0.0, 0.0])], SCHEMA)
+    pool = tenant_forests.fit(first, p)
+    graded, learned = pool.process(first, lambda: Threshold(min_threshold=0.1))
+    assert graded.count() == 400 and graded.where("ready").count() > 300
+    more, learned = learned.process(later, lambda: Threshold(min_threshold=0.1))
+    got = {r.point_id: r for r in more.collect()}
+    assert len(got) == 141 and got[9000].is_anomaly and got[4000].score is None and got[3050].ready
+    assert {r.tenant: r.n for r in learned.stats(lambda: Threshold(min_threshold=0.1)).collect()} == {"a": 199, "b": 300}
+    # a pool that learns in parts equals one that learns at once
+    whole = tenant_forests.fit(first.unionByName(later), p)
+    probe = spark.createDataFrame([("a", 1, 0, [5.0, 5.0]), ("b", 2, 0, [0.0, 0.0]), ("c", 3, 0, [9.0, 9.0])], SCHEMA)
+    scores = lambda x: {r.point_id: round(r.score, 9) for r in x.score(probe).collect() if r.score is not None}
+    assert scores(learned) == scores(whole) and len(scores(whole)) == 3
+    far = {r.point_id: r for r in learned.attribution(probe).collect()}
+    assert sum(far[1].high) > 5 * sum(far[1].low) and sum(far[2].low) > 5 * sum(far[2].high)
+    assert {r.tenant for r in learned.evict_lru(1).models.collect()} == {"b"}
+    idle = learned.evict_idle(now=900, ttl=400)
+    assert {r.tenant for r in idle.models.collect()} == {"b", "c"} and 1 not in scores(idle) and idle.stats().count() == 1
+    assert learned.remove(probe.where("tenant = 'b'")).models.count() == 2 and learned.get("a").count() == 1
