@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import aggregates as ag
-from ..operators import forest, grouped, steps, tenant_forests, tenants, triage
+from ..operators import detectors, forest, grouped, steps, tenant_forests, tenants, triage
 from ..operators import sequences as sq
 from .. import sources
 from .fold import fold
@@ -118,19 +118,11 @@ def q_histogram_percentile(spark, sf_dir):
     return rounded(ag.histogram_percentile(q_histogram(spark, sf_dir), ["event_type"], 0.9, 0.0, 100.0), "percentile")
 
 
-@query(f"""WITH p AS (SELECT user_id, greatest(least(1.0::DOUBLE, (event_id % 97 + 1) / 98.0::DOUBLE), 2.220446049250313e-16) AS p FROM events WHERE event_id % 10 = 3),
+@query(f"""WITH p AS (SELECT user_id, greatest(least(1.0::DOUBLE, (event_id % 97 + 1) / 98.0::DOUBLE), 2.220446049250313e-16) AS p FROM events),
 s AS (SELECT user_id, count(*) AS k, -2 * sum(ln(p)) AS x FROM p GROUP BY user_id),
 t AS (SELECT user_id, list_sum(list_transform(range(0, k), lambda i: exp(-x / 2 + i * ln(x / 2) - lgamma(i + 1)))) AS f FROM s)
 SELECT user_id, {r('least(1, greatest(0, f))')} AS p_value FROM t""")
 def q_fisher(spark, sf_dir):
-    p = ((F.col("event_id") % 97 + 1) / 98.0).alias("p")
-    rows = table(spark, sf_dir, "events").where("event_id % 10 = 3").select("user_id", p).groupBy("user_id").agg(F.collect_list("p").alias("ps"))
-    return rounded(rows.select("user_id", fn.fisher(F.col("ps")).alias("p_value")), "p_value")
-
-
-@query()
-def q_fisher_all(spark, sf_dir):
-    """Over all events; the SQL above has a tenth of them."""
     p = ((F.col("event_id") % 97 + 1) / 98.0).alias("p")
     rows = table(spark, sf_dir, "events").select("user_id", p).groupBy("user_id").agg(F.collect_list("p").alias("ps"))
     return rounded(rows.select("user_id", fn.fisher(F.col("ps")).alias("p_value")), "p_value")
@@ -192,20 +184,14 @@ def q_quantiles(spark, sf_dir):
     return rounded(ag.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.99]), "q500", "q990")
 
 
-@query("SELECT event_type, min(value) AS min, max(value) AS max, count(*) AS weight, true AS median_close FROM events GROUP BY 1")
+@query()
 def q_kll_quantiles(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    exact = ag.quantiles(e, ["event_type"], "value", [0.48, 0.52])
-    out = ag.sketched_quantiles(e, ["event_type"], "value", [0.5]).join(exact, "event_type")
-    return out.select("event_type", "min", "max", "weight", F.col("q500").between(F.col("q480"), F.col("q520")).alias("median_close"))
+    return ag.sketched_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.01, 0.5, 0.99])
 
 
-@query("SELECT event_type, min(value) AS min, max(value) AS max, count(*)::DOUBLE AS weight, true AS median_close FROM events GROUP BY 1")
+@query()
 def q_tdigest(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    exact = ag.quantiles(e, ["event_type"], "value", [0.48, 0.52])
-    out = grouped.digest(e, ["event_type"], "value", [0.5]).join(exact, "event_type")
-    return out.select("event_type", "min", "max", "weight", F.col("q500").between(F.col("q480"), F.col("q520")).alias("median_close"))
+    return grouped.digest(table(spark, sf_dir, "events").where("value is not null"), ["event_type"], "value", [0.01, 0.5, 0.99])
 
 
 # ---- windows ----------------------------------------------------------------
@@ -242,9 +228,9 @@ def q_sample_stride(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (event_id % 8 = 0) AS accepted, count(*) FILTER (event_id % 8 <> 0) AS rejected FROM events")
 def q_sample_hash(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    gate = F.pmod(F.col("event_id"), F.lit(8)) == 0
-    return e.agg(F.count_if(gate).alias("accepted"), F.count_if(~gate).alias("rejected"))
+    rows = table(spark, sf_dir, "events").select("event_id")
+    kept = sq.hash_gate(rows, "event_id", 8).agg(F.count("*").alias("accepted"))
+    return rows.agg(F.count("*").alias("n")).join(kept).select("accepted", (F.col("n") - F.col("accepted")).alias("rejected"))
 
 
 @query("WITH q AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) <= 64 AS ok FROM events) SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (ok) AS enqueued, count(*) FILTER (NOT ok) AS dropped FROM q GROUP BY 1")
@@ -299,12 +285,12 @@ def q_range_auc_pr(spark, sf_dir):
     return rounded(sq.range_auc_pr(_labelled(spark, sf_dir), ["g"], ["doc_id"], "score", "label", [0, 2, 5]), "auc_pr")
 
 
-@query(_range_sql("SELECT * FROM range(5)", f"SELECT g, {r('sum(auc_pr * CASE WHEN buffer IN (0, 4) THEN 0.5 ELSE 1 END) / 4')} AS vus_pr FROM f GROUP BY g"))
+@query(_range_sql("SELECT * FROM range(101)", f"SELECT g, {r('sum(auc_pr * CASE WHEN buffer IN (0, 100) THEN 0.5 ELSE 1 END) / 100')} AS vus_pr FROM f GROUP BY g"))
 def q_vus_pr(spark, sf_dir):
-    return rounded(sq.vus_pr(_labelled(spark, sf_dir), ["g"], ["doc_id"], "score", "label", 4), "vus_pr")
+    return rounded(sq.vus_pr(_labelled(spark, sf_dir), ["g"], ["doc_id"], "score", "label"), "vus_pr")
 
 
-_MP = """WITH e AS (SELECT user_id, value, row_number() OVER w - 1 AS i FROM events WHERE user_id % 10 = 1 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+_MP = """WITH e AS (SELECT user_id, value, row_number() OVER w - 1 AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT a.user_id, a.i, list(b.value ORDER BY b.i) AS v FROM e a JOIN e b ON a.user_id = b.user_id AND b.i BETWEEN a.i AND a.i + 7 GROUP BY ALL HAVING count(*) = 8),
 t AS (SELECT *, list_avg(v) AS m, sqrt(list_avg(list_transform(v, lambda x: x * x)) - list_avg(v) * list_avg(v)) AS sd FROM s),
 d AS (SELECT a.user_id, a.i, sqrt(16 * (1 - least(1, greatest(-1, (list_dot_product(a.v, b.v) / 8 - a.m * b.m) / (a.sd * b.sd))))) AS d FROM t a JOIN t b ON a.user_id = b.user_id AND abs(a.i - b.i) >= 2 WHERE a.sd > 0 AND b.sd > 0)
@@ -313,47 +299,25 @@ d AS (SELECT a.user_id, a.i, sqrt(16 * (1 - least(1, greatest(-1, (list_dot_prod
 
 @query(_MP + f"SELECT user_id, i, {r('min(d)', 4)} AS distance FROM d GROUP BY user_id, i")
 def q_matrix_profile(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 1")
+    e = table(spark, sf_dir, "events")
     return rounded(grouped.matrix_profile(e, ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')").select("user_id", "i", "distance"), "distance", digits=4)
 
 
 @query(_MP + f"SELECT user_id, i, {r('min(d)', 4)} AS distance FROM d GROUP BY user_id, i")
 def q_matrix_profile_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 1")
+    e = table(spark, sf_dir, "events")
     out = sq.matrix_profile_join(e, ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')")
     return rounded(out.select("user_id", F.col("i").cast("long").alias("i"), "distance"), "distance", digits=4)
 
 
 @query(_MP + f", p AS (SELECT user_id, i, min(d) AS d FROM d GROUP BY ALL) SELECT user_id, {r('max(d)', 4)} AS discord, {r('min(d)', 4)} AS motif FROM p GROUP BY user_id")
 def q_discord_motif(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 1")
+    e = table(spark, sf_dir, "events")
     p = grouped.matrix_profile(e, ["user_id"], ["ts", "event_id"], "value", 8).persist()
     top = grouped.discords(p, ["user_id"], 1, 2).select("user_id", F.col("distance").alias("discord"))
     return rounded(top.join(grouped.motif(p, ["user_id"]).select("user_id", F.col("distance").alias("motif")), "user_id"), "discord", "motif", digits=4)
 
 
-# Over all users; the SQL above has a tenth of them, and its self-join is too slow for the whole table.
-
-
-@query()
-def q_matrix_profile_all(spark, sf_dir):
-    out = grouped.matrix_profile(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')")
-    return rounded(out.select("user_id", "i", "distance"), "distance", digits=4)
-
-
-@query()
-def q_matrix_profile_join_all(spark, sf_dir):
-    out = sq.matrix_profile_join(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).where("distance < double('infinity')")
-    return rounded(out.select("user_id", F.col("i").cast("long").alias("i"), "distance"), "distance", digits=4)
-
-
-@query()
-def q_discord_motif_all(spark, sf_dir):
-    p = grouped.matrix_profile(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 8).persist()
-    top = grouped.discords(p, ["user_id"], 1, 2).select("user_id", F.col("distance").alias("discord"))
-    return rounded(top.join(grouped.motif(p, ["user_id"]).select("user_id", F.col("distance").alias("motif")), "user_id"), "discord", "motif", digits=4)
-
-
 # ---- ordered folds ----------------------------------------------------------
 
 _ROWS = f"e AS (SELECT user_id, event_id, ts, value, row_number() OVER ({_ORDER}) AS n FROM events)"
@@ -402,7 +366,7 @@ def q_threshold_quantile(spark, sf_dir):
 
 @query()
 def q_adwin(spark, sf_dir):
-    return fold(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["event_id"], lambda: steps.Adwin(cap=512))
+    return fold(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["event_id"], lambda: steps.Adwin())
 
 
 @query()
@@ -453,11 +417,20 @@ def _chain(spark, sf_dir):
     return fold(rows, ["event_type"], ["ts", "event_id"], ["event_id", "record"], lambda: steps.AuditChain(KEY))
 
 
-@query("SELECT event_type, count(*) AS entries, max(n) AS last_seq, 0::BIGINT AS broken FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events) GROUP BY 1")
+_PAD = {k: "".join(f"{x ^ k:02x}" for x in KEY.ljust(64, b"\0")) for k in (0x36, 0x5C)}
+_TAG = f"sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || unhex(printf('%02x%02x%02x0000000000', e.n & 255, (e.n >> 8) & 255, (e.n >> 16) & 255)) || unhex({{prev}}) || encode(e.r))))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n, '{{{{"event_id":' || event_id || ',"value":' || value || '}}}}' AS r FROM events),
+c AS (SELECT e.event_type, e.n, {_TAG} AS tag FROM e WHERE n = 0 UNION ALL SELECT e.event_type, e.n, {_TAG.replace("{prev}", "c.tag")} FROM c JOIN e ON e.event_type = c.event_type AND e.n = c.n + 1)
+SELECT event_type, count(*) AS entries, max(n) AS last_seq, 0::BIGINT AS broken, arg_max(tag, n) AS last_tag, sha256(string_agg(tag, '' ORDER BY n)) AS tags_sha256 FROM c GROUP BY 1""".replace("{prev}", f"'{'00' * 32}'").replace("{{", "{").replace("}}", "}"))
 def q_audit_chain(spark, sf_dir):
     chain = _chain(spark, sf_dir).persist()
     broken = triage.verify_chain(chain, KEY, ["event_type"]).groupBy("event_type").agg(F.count("*").alias("b"))
-    return chain.groupBy("event_type").agg(F.count("*").alias("entries"), F.max("seq").alias("last_seq")).join(broken, "event_type", "left").select("event_type", "entries", "last_seq", F.coalesce("b", F.lit(0)).alias("broken"))
+    tag = F.lower(F.hex("tag"))
+    tags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", tag.alias("tag")))), lambda x: x["tag"]), "")
+    out = chain.groupBy("event_type").agg(F.count("*").alias("entries"), F.max("seq").alias("last_seq"), F.max_by(tag, "seq").alias("last_tag"), F.sha2(tags, 256).alias("tags_sha256"))
+    return out.join(broken, "event_type", "left").select("event_type", "entries", "last_seq", F.coalesce("b", F.lit(0)).alias("broken"), "last_tag", "tags_sha256")
 
 
 # ---- tenants ----------------------------------------------------------------
@@ -530,40 +503,25 @@ def _splitmix(x: str, tree: str) -> str:
     return f"(({x}::UHUGEINT + {c}) % 18446744073709551616::UHUGEINT)::UBIGINT"
 
 
-@query(f"""WITH p AS (SELECT l_orderkey * 16 + l_linenumber AS point_id FROM lineitem), a AS (SELECT point_id, t::INT AS tree_id, {_splitmix('point_id', 't')} AS h FROM p, range(100) AS r(t) WHERE t < 3),
+@query(f"""WITH p AS (SELECT l_orderkey * 16 + l_linenumber AS point_id FROM lineitem), a AS (SELECT point_id, t::INT AS tree_id, {_splitmix('point_id', 't')} AS h FROM p, range(100) AS r(t)),
 b AS (SELECT *, {_mul('xor(h, h >> 30)', 0xBF58476D1CE4E5B9)}::UBIGINT AS h2 FROM a), c AS (SELECT *, {_mul('xor(h2, h2 >> 27)', 0x94D049BB133111EB)}::UBIGINT AS h3 FROM b), d AS (SELECT *, xor(h3, h3 >> 31) >> 11 AS u FROM c)
 SELECT tree_id, point_id FROM d QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY u DESC, point_id) <= 256""")
 def q_reservoir_sample(spark, sf_dir):
-    return forest.sample(_points(spark, sf_dir), PARAMS).where("tree_id < 3").select("tree_id", "point_id")
-
-
-@query()
-def q_reservoir_sample_all(spark, sf_dir):
-    """Of all trees; the SQL above has three."""
     return forest.sample(_points(spark, sf_dir), PARAMS).select("tree_id", "point_id")
 
 
 @query("""WITH p AS (SELECT l_orderkey * 16 + l_linenumber AS point_id, least(l_quantity, 100) / 10 AS x FROM lineitem),
-t AS (SELECT point_id, x, CASE WHEN x < 1 THEN 1 - x WHEN x > 4 THEN x - 4 ELSE 0 END AS e FROM p),
-s AS (SELECT point_id, x, e / (3 + e) AS p0 FROM t),
-u AS (SELECT point_id, ((1 - p0) * 0.5 + p0 * 2) * 0.5 AS root, CASE WHEN x <= 2 THEN 0.5 * (1 / (1 + ln(2) / ln(4))) ELSE 0.5 * (1 / (1 + ln(2) / ln(4))) END AS leaf FROM s)
-SELECT point_id, round((root + leaf) / 2, 6) AS score, 1.0::DOUBLE AS codisp FROM u""")
+t AS (SELECT *, greatest(0, 1 - x, x - 4) AS e0, greatest(0, 3 - x, x - 4) AS e1, log2(5) AS u0, 1 + log2(2) AS u1 FROM p),
+q AS (SELECT *, e0 / (3 + e0) AS p0, e1 / (1 + e1) AS p1 FROM t),
+s AS (SELECT point_id, x, ((1 - p0) / u0 + p0 * u0) / 2 AS root, 1 / (1 + log2(3)) / (1 + ln(3) / ln(5)) AS leaf3, ((1 - p1) / u1 + p1 * u1) / (1 + ln(2) / ln(5)) AS node, 1 / 2.0::DOUBLE AS leaf1 FROM q)
+SELECT point_id, round((root + CASE WHEN x <= 2 THEN leaf3 ELSE node + leaf1 END) / log2(5), 6) AS score, round(CASE WHEN x <= 2 THEN 2 / 3.0::DOUBLE ELSE 1.5 END, 6) AS codisp FROM s""")
 def q_forest_tiny(spark, sf_dir):
-    """A fixed tree of two leaves (mass 2 each, at 1 and 4; cut at 2) scored over the table."""
-    nodes = [(0, 0, 1, 2, 0, 2.0, [1.0], [4.0], 4, -1), (0, 1, -1, -1, -1, 0.0, [1.0], [1.0], 2, 1), (0, 2, -1, -1, -1, 0.0, [4.0], [4.0], 2, 2)]
+    """A fixed tree scored over the table: cut at 2 into a leaf of mass 3 (at 1) and a node cut at 3.5 into leaves of mass 1 (at 3 and 4)."""
+    nodes = [(0, 0, 1, 2, 0, 2.0, [1.0], [4.0], 5, -1), (0, 1, -1, -1, -1, 0.0, [1.0], [1.0], 3, 1), (0, 2, 3, 4, 0, 3.5, [3.0], [4.0], 2, -1), (0, 3, -1, -1, -1, 0.0, [3.0], [3.0], 1, 2), (0, 4, -1, -1, -1, 0.0, [4.0], [4.0], 1, 3)]
     p = forest.ForestParams(1)
     model = forest.ForestModel(p, spark.createDataFrame([], forest.SAMPLE_SCHEMA), spark.createDataFrame(nodes, forest.NODE_SCHEMA))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("point_id"), F.array(F.least("l_quantity", F.lit(100.0)) / 10).alias("features"))
-    return rounded(model.score(rows).select("point_id", "score", "codisp"), "score")
-
-
-_PROBE = dict(zip(DIMS, (45.0, 90000.0, 0.09, 0.01), strict=True))
-
-
-@query("WITH p AS (SELECT * FROM lineitem WHERE l_orderkey % 5 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey * 16 + l_linenumber ORDER BY l_quantity, l_extendedprice, l_discount, l_tax) = 1) " + " UNION ALL ".join(f"SELECT (SELECT count(*) FROM p) AS live_points, '{d}' AS dim, {x}::DOUBLE AS observed, {r(f'avg({d})')} AS expected, {r(f'stddev_samp({d})')} AS stddev, {r(f'{x} - avg({d})')} AS delta, {r(f'({x} - avg({d})) / stddev_samp({d})')} AS zscore FROM p" for d, x in _PROBE.items()))
-def q_forensic(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("point_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
-    return rounded(ag.forensic(rows, _PROBE), "expected", "stddev", "delta", "zscore")
+    return rounded(model.score(rows).select("point_id", "score", "codisp"), "score", "codisp")
 
 
 def _copies(rows: DataFrame, *by) -> DataFrame:
@@ -572,11 +530,14 @@ def _copies(rows: DataFrame, *by) -> DataFrame:
     return rows.withColumn("copy", place).withColumn("point_id", F.struct("point_id", "copy"))
 
 
-@query()
-def q_forensic_all(spark, sf_dir):
-    """Over all orders and repeated ids; the SQL above has a fifth of the orders."""
+_PROBE = dict(zip(DIMS, (45.0, 90000.0, 0.09, 0.01), strict=True))
+
+
+@query("WITH p AS (SELECT * FROM lineitem) " + " UNION ALL ".join(f"SELECT (SELECT count(*) FROM p) AS live_points, '{d}' AS dim, {x}::DOUBLE AS observed, {r(f'avg({d})', 5)} AS expected, {r(f'stddev_samp({d})', 5)} AS stddev, {r(f'{x} - avg({d})', 5)} AS delta, {r(f'({x} - avg({d})) / stddev_samp({d})', 5)} AS zscore FROM p" for d, x in _PROBE.items()))
+def q_forensic(spark, sf_dir):
+    """Rows that repeat an id count each."""
     rows = table(spark, sf_dir, "lineitem").withColumn("point_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
-    return rounded(ag.forensic(_copies(rows, *DIMS), _PROBE), "expected", "stddev", "delta", "zscore")
+    return rounded(ag.forensic(_copies(rows, *DIMS), _PROBE), "expected", "stddev", "delta", "zscore", digits=5)
 
 
 # ---- triage and sources -----------------------------------------------------
@@ -603,20 +564,14 @@ def q_feedback(spark, sf_dir):
     return rounded(triage.adjust_by_feedback(e.select("vec_id", "score", "features"), labels, "score", "features", capacity=64).select("vec_id", "adjusted"), "adjusted")
 
 
-@query("SELECT l_orderkey * 16 + l_linenumber AS point_id, unnest([0, 1, 2, 3]) AS dim, round(unnest([l_quantity - 25, 2 * (l_extendedprice - 40000), 3 * (l_discount - 0.05), 4 * (l_tax - 0.04)]), 6) AS contribution FROM (FROM lineitem WHERE l_orderkey % 50 = 1 QUALIFY count(*) OVER (PARTITION BY l_orderkey * 16 + l_linenumber) = 1)")
-def q_shapley_linear(spark, sf_dir):
-    """Shapley values of a linear score are its terms, whatever the permutations."""
-    score = lambda df: df.withColumn("score", F.col("features")[0] + 2 * F.col("features")[1] + 3 * F.col("features")[2] + 4 * F.col("features")[3])
-    rows = _points(spark, sf_dir).where("(point_id div 16) % 50 = 1")
-    rows = rows.join(rows.groupBy("point_id").count().where("count = 1"), "point_id", "left_semi")
-    return rounded(triage.shapley(rows, score, 4, [25.0, 40000.0, 0.05, 0.04], permutations=8), "contribution")
+_LINEAR = [("l_quantity", 1, 25.0), ("l_extendedprice", 2, 40000.0), ("l_discount", 3, 0.05), ("l_tax", 4, 0.04)]
 
 
-@query()
-def q_shapley_linear_all(spark, sf_dir):
-    """Over all orders and repeated ids; the SQL above has a fiftieth of the orders, without repeated ids."""
-    score = lambda df: df.withColumn("score", F.col("features")[0] + 2 * F.col("features")[1] + 3 * F.col("features")[2] + 4 * F.col("features")[3])
-    out = triage.shapley(_copies(_points(spark, sf_dir), "features"), score, 4, [25.0, 40000.0, 0.05, 0.04], permutations=8)
+@query(f"SELECT point_id, copy, unnest([0, 1, 2, 3]) AS dim, round(unnest([{', '.join(f'{w} * ({c} - {b})' for c, w, b in _LINEAR)}]), 6) AS contribution FROM (SELECT *, l_orderkey * 16 + l_linenumber AS point_id, (row_number() OVER (PARTITION BY l_orderkey * 16 + l_linenumber ORDER BY {', '.join(DIMS)}) - 1)::INT AS copy FROM lineitem)")
+def q_shapley_linear(spark, sf_dir):
+    """Shapley values of a linear score are its terms, whatever the permutations; rows that repeat an id are told apart by ``copy``."""
+    score = lambda df: df.withColumn("score", sum((w * F.col("features")[i] for i, (_, w, _) in enumerate(_LINEAR)), F.lit(0.0)))
+    out = triage.shapley(_copies(_points(spark, sf_dir), "features"), score, 4, [b for _, _, b in _LINEAR], permutations=8)
     return rounded(out.select("point_id.point_id", "point_id.copy", "dim", "contribution"), "contribution")
 
 
@@ -648,6 +603,59 @@ def q_tenant_forests(spark, sf_dir):
     return tenant_forests.fit(points, TENANT_PARAMS).score(points)
 
 
+def _supplied(spark, sf_dir):
+    return _points(spark, sf_dir).join(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("point_id"), F.col("l_suppkey").alias("key")).dropDuplicates(["point_id"]), "point_id")
+
+
+@query()
+def q_forest_codisp(spark, sf_dir):
+    """Displacement of every row with the row inserted."""
+    points = _points(spark, sf_dir)
+    return forest.fit(points, PARAMS).codisp(points).select("point_id", "codisp")
+
+
+@query()
+def q_thresholded_forest(spark, sf_dir):
+    """Scores of every row, graded against its supplier's earlier scores."""
+    points = _supplied(spark, sf_dir)
+    graded, _ = detectors.ThresholdedForest(forest.fit(points, PARAMS)).process(points, ["key"], ["point_id", "features"], learn=False)
+    return graded.drop("features")
+
+
+@query()
+def q_threshold_states(spark, sf_dir):
+    """Where each supplier's threshold stands after all its rows."""
+    points = _supplied(spark, sf_dir)
+    _, after = detectors.ThresholdedForest(forest.fit(points, PARAMS)).process(points, ["key"], ["point_id", "features"], learn=False)
+    return after.stats(["key"])
+
+
+@query()
+def q_shingled_forest(spark, sf_dir):
+    """Every event's value scored in the window of its user's last eight."""
+    events, p = table(spark, sf_dir, "events").where("value is not null").select("user_id", "ts", "event_id", "value"), forest.ForestParams(8, num_trees=50, sample_size=128, seed=13, time_decay=0.0)
+    return detectors.ShingledForest.fit(events, ["user_id"], ["ts", "event_id"], "value", p).score(events, ["user_id"], ["ts", "event_id"], "value").select("event_id", "score", "codisp")
+
+
+@query()
+def q_drift_recovery(spark, sf_dir):
+    """A primary of the first half of the orders' lines; after drift is reported, a shadow of the second half takes over."""
+    points = _points(spark, sf_dir)
+    middle = points.agg(F.expr("(min(point_id) + max(point_id)) div 2")).first()[0]
+    first, second = points.where(F.col("point_id") < middle), points.where(F.col("point_id") >= middle)
+    forests = detectors.DriftAwareForest(PARAMS).update(first)
+    forests, began = forests.on_drift()
+    after = forests.update(second)
+    return spark.createDataFrame([(began, after.swaps, after.primary_age, after.recovering)], "began boolean, swaps int, primary_age long, recovering boolean")
+
+
+@query()
+def q_tenant_pool(spark, sf_dir):
+    """Every tenant's events graded by the tenant's own forest and threshold."""
+    points = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("point_id"), F.col("event_id").alias("seq"), F.array(F.col("value"), F.hour("ts") / 24.0).alias("features"))
+    return tenant_forests.fit(points, TENANT_PARAMS).process(points)[0]
+
+
 def queries() -> dict:
     return dict(_REGISTRY)
 

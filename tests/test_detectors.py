@@ -300,10 +300,10 @@ def test_profiles_of_all_users(spark):
         i = np.arange(len(z))
         full[np.abs(i[:, None] - i[None]) < 2] = np.inf
         want |= {(user, k): d for k, d in enumerate(full.min(axis=1)) if np.isfinite(d)}
-    for name in ("matrix_profile_all", "matrix_profile_join_all"):
+    for name in ("matrix_profile", "matrix_profile_join"):
         got = {(r.user_id, r.i): r.distance for r in registered.queries()[name](spark, SF).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want), name
-    got = {r.user_id: (r.discord, r.motif) for r in registered.queries()["discord_motif_all"](spark, SF).collect()}
+    got = {r.user_id: (r.discord, r.motif) for r in registered.queries()["discord_motif"](spark, SF).collect()}
     for user in {u for u, _ in want}:
         own = [d for (u, _), d in want.items() if u == user]
         assert abs(got[user][0] - max(own)) < 1e-3 and abs(got[user][1] - min(own)) < 1e-3
@@ -313,20 +313,46 @@ def test_profiles_of_all_users(spark):
 def test_whole_table_queries(spark):
     q = lambda name: registered.queries()[name](spark, SF).toPandas()
     events, items = pd.read_parquet(f"{SF}/events.parquet"), pd.read_parquet(f"{SF}/lineitem.parquet")
-    got = q("fisher_all").set_index("user_id")["p_value"]
+    got = q("fisher").set_index("user_id")["p_value"]
     assert set(got.index) == set(events["user_id"])
     for user, ids in events.groupby("user_id")["event_id"]:
         x = -sum(math.log((i % 97 + 1) / 98) for i in ids)
         want = sum(math.exp(-x + i * math.log(x) - math.lgamma(i + 1)) for i in range(len(ids)))
         assert abs(got[user] - min(1, want)) < 1e-5
-    got = q("forensic_all").set_index("dim")
+    got = q("forensic").set_index("dim")
     for dim in registered.DIMS:
         v = items[dim].astype(float)
         assert got.loc[dim, "live_points"] == len(items) and abs(got.loc[dim, "expected"] - v.mean()) < 1e-4 and abs(got.loc[dim, "stddev"] - v.std()) < 1e-4
-    got = q("shapley_linear_all")
+    got = q("shapley_linear")
     assert len(got) == 4 * len(items) and not got.duplicated(["point_id", "copy", "dim"]).any()
     for dim, (name, factor, base) in enumerate(zip(registered.DIMS, (1, 2, 3, 4), (25.0, 40000.0, 0.05, 0.04), strict=True)):
         want = factor * (items[name].astype(float) - base)
         assert np.allclose(np.sort(got[got["dim"] == dim]["contribution"].astype(float)), np.sort(want), atol=1e-4)
-    got = q("reservoir_sample_all")
+    got = q("reservoir_sample")
     assert (got.groupby("tree_id").size() == 256).all() and got["tree_id"].nunique() == 100
+
+
+def test_sketched_quantiles_of_queries(spark):
+    """Ranks of what the sketches give are within a hundredth of the asked ones."""
+    events = pd.read_parquet(f"{SF}/events.parquet")
+    for name in ("kll_quantiles", "tdigest"):
+        got = registered.queries()[name](spark, SF).toPandas().set_index("event_type")
+        for kind, values in events.groupby("event_type")["value"]:
+            v = np.sort(values.to_numpy(float))
+            for q in (0.01, 0.5, 0.99):
+                at = got.loc[kind, f"q{round(q * 1000)}"]
+                assert np.searchsorted(v, at, "left") / len(v) - 0.02 <= q <= np.searchsorted(v, at, "right") / len(v) + 0.02, (name, kind, q)
+            assert got.loc[kind, "min"] == v[0] and got.loc[kind, "max"] == v[-1] and got.loc[kind, "weight"] == len(v)
+
+
+def test_wrapped_queries(spark):
+    """One row per input row, thresholds by the plain loop, one swap."""
+    items, events = pd.read_parquet(f"{SF}/lineitem.parquet"), pd.read_parquet(f"{SF}/events.parquet")
+    q = lambda name: registered.queries()[name](spark, SF).toPandas()
+    graded = q("thresholded_forest").sort_values(["key", "point_id"])
+    assert len(graded) == len(items)
+    assert set(q("threshold_states")["key"]) == set(graded["key"])
+    row = q("drift_recovery").iloc[0]
+    assert row["began"] and row["swaps"] == 1 and not row["recovering"]
+    assert len(q("tenant_pool")) == events["value"].notna().sum() and (q("forest_codisp")["codisp"] > 0).all()
+    assert len(q("shingled_forest")) == sum(max(0, n - 8) for n in events.groupby("user_id").size())
