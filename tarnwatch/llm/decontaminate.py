@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settled
-from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs, same_runs
+from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs, same_runs, tidy
 
 WIDTH = 8
 CONTAMINATED_ITEMS = 2
@@ -180,6 +180,7 @@ def benchmark_blocks(benchmark: DataFrame, width: int = WIDTH, max_set_bytes: in
         yield WindowSet(sorted(tuple(r) for r in part.collect()), width), k == parts - 1
 
 
+@tidy
 def _scan(batches, windows: WindowSet, key: str, text: str, last: bool):
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -234,6 +235,7 @@ def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, flags: np.ndarr
     return b"".join([*out, raw[begin:]]).decode()
 
 
+@tidy
 def _clean(batches, windows: WindowSet, text: str, first_pass: bool, last: bool):
     """One output batch per block of documents; between passes hit bits and items travel as the last two columns."""
     for batch in batches:

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import tidy
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>|</?[A-Za-z!?/][^>]*\Z|</[^A-Za-z>][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden\b")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -283,6 +285,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
 
 
+@tidy
 def _extract(batches):
     for batch in batches:
         texts, counts = [], []

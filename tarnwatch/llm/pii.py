@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import tidy
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn", "national_phone")
 CONTEXT_CHARS = 48
@@ -193,6 +195,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
+@tidy
 def _find(batches):
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "n_added"]
     for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settled
-from .textbytes import ALNUM, SOLID, RunHasher, blocks, column_bytes
+from .textbytes import ALNUM, SOLID, RunHasher, blocks, column_bytes, tidy
 
 VOCABULARY, DIM, NONZERO = 1 << 14, 32, 4
 FIT_ROWS = 20_000
@@ -64,6 +64,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, hasher: RunHasher) -> tuple[np
     return (hasher(data, starts, ends) >> np.uint64(20)).astype(np.int64) % VOCABULARY, np.searchsorted(starts, offsets)
 
 
+@tidy
 def _gather(batches):
     places, signs, _ = index_vectors()
     hasher, sums, seen = RunHasher(3), np.zeros(VOCABULARY * DIM), np.zeros(VOCABULARY, bool)
@@ -112,6 +113,7 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray, dense: np
     return out
 
 
+@tidy
 def _pool(batches, vectors: np.ndarray):
     dense, hasher = index_vectors()[2], RunHasher(3)
     for batch in batches:
@@ -181,6 +183,7 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == HELD_OUT
 
 
+@tidy
 def _score(batches, net: Network):
     for batch in batches:
         lists = batch.column(1)
@@ -211,6 +214,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@tidy
 def _accept(batches, vectors: np.ndarray, net: Network, at: int):
     dense, hasher = index_vectors()[2], RunHasher(3)
     for batch in batches:

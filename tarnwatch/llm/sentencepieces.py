@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import blocks, column_bytes
+from .textbytes import blocks, column_bytes, tidy
 from .wordcache import WordCache
 
 SPACE = "▁"
@@ -314,6 +314,7 @@ def kept_encoder(model_file: str) -> PieceEncoder:
 OUT = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_(), "ids": pa.list_(pa.int32())}
 
 
+@tidy
 def _encode(batches, model_file: str):
     """One output batch per block, so what a task holds follows the block and not Spark's batch."""
     encoder = kept_encoder(model_file)
@@ -333,6 +334,8 @@ def _encode(batches, model_file: str):
             made = [pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists]
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[2:]], ["doc_id", *OUT, *batch.schema.names[2:]])
+            del bodies, crc, same, flat, lists, made, part
+    encoder.slim()
 
 
 def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None) -> DataFrame:
@@ -344,6 +347,7 @@ def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None) -> D
     return rows.mapInArrow(lambda it: _encode(it, model_file), schema)
 
 
+@tidy
 def _decode(batches, model_file: str):
     encoder = kept_encoder(model_file)
     for batch in batches:

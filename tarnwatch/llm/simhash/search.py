@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import settled
-from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs
+from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs, tidy
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
 SHARD_TARGET, LEAF, MAX_PIVOTS = 512, 32, 8
@@ -142,6 +142,7 @@ def fingerprint_block(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH,
     return majority(*shingle_hashes(data, offsets, width, seed))
 
 
+@tidy
 def _fingerprints(batches, width: int, seed: int):
     for batch in batches:
         data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -246,6 +247,7 @@ def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen:
     return forest.roots()
 
 
+@tidy
 def _shard_edges(batches, radius: int):
     """Edges within each shard of a partition sorted by shard; a shard may span batches."""
 

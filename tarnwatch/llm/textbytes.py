@@ -7,6 +7,8 @@ size or by the longest single document.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,25 @@ SOLID = np.ones(256, dtype=bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
+def tidy(generator):
+    """For a worker's generator: what its allocators have free goes back to the system when it ends.
+
+    A worker stays for later tasks, and else would keep the largest size that it ever had."""
+
+    @functools.wraps(generator)
+    def run(*args, **how):
+        try:
+            yield from generator(*args, **how)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Data and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_folder
-from .textbytes import blocks, column_bytes
+from .textbytes import blocks, column_bytes, tidy
 from .wordcache import WordCache
 
 END_ID = 0
@@ -204,6 +204,7 @@ class ShardIndex:
         return cls(PerfectHash(*parts[:3]), parts[6], parts[3], parts[4], parts[5], int(head[1]))
 
 
+@tidy
 def _write_shard(batches, folder: str, tokenizer_file: str):
     encoder, shard = kept_encoder(tokenizer_file), TaskContext.get().partitionId()
     end = np.array([END_ID], encoder.dtype).tobytes()
@@ -266,6 +267,7 @@ def _manifest(manifest: DataFrame) -> list[tuple]:
     return sorted((r.shard, r.folder, r.name, r.first_key, r.last_key, r.start) for r in manifest.collect())
 
 
+@tidy
 def _documents(batches, shards: list[tuple]):
     """(key, place of the first id, ids) of every document of the keys, each fetched by key: range, hash, seek."""
     firsts, lasts = np.array([s[3] for s in shards], np.int64), np.array([s[4] for s in shards], np.int64)

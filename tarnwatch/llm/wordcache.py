@@ -48,6 +48,11 @@ class WordCache:
         self.used += len(ids)
         return self.used - len(ids)
 
+    def slim(self) -> None:
+        """Drops what only speeds up the next block: tables as long as the longest one, and room for ids beyond those kept."""
+        self.hasher = RunHasher(7)
+        self.pool = self.pool[: max(1 << 16, self.used)].copy()
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, or of the empty slot where it belongs."""
         at = (h & self.mask).astype(np.int64)
