@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, small_batches
 from .textbytes import ALNUM, LOWER, RunHasher, blocks, column_bytes, runs, same_runs, tidy
 
 WIDTH = 8
@@ -213,7 +213,7 @@ def _scan(batches, windows: WindowSet, key: str, text: str, last: bool):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for windows, last in benchmark_blocks(benchmark, width, max_set_bytes):
         held = docs.sparkSession.sparkContext.broadcast(windows)
         del windows
@@ -279,7 +279,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_
     """
     from pyspark.sql import types as T
 
-    out = docs.withColumn("text", F.col("text").cast("string"))
+    out = small_batches(docs).withColumn("text", F.col("text").cast("string"))
     plain = out.schema
     extra = [T.StructField(HIT, T.BinaryType()), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
     first_pass = True

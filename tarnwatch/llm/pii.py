@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textbytes import tidy
 
 BASE = ("email", "ip", "card", "phone")
@@ -214,4 +215,4 @@ def _find(batches):
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts by base kind, base_sha256, spans, scores, and how many spans were added."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_added long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_added long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, small_batches
 from .textbytes import ALNUM, SOLID, RunHasher, blocks, column_bytes, tidy
 
 VOCABULARY, DIM, NONZERO = 1 << 14, 32, 4
@@ -91,7 +91,7 @@ def _gather(batches):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors by token number, from all documents; zero where a token never occurs."""
     schema = "word long, " + ", ".join(f"d{d} long" for d in range(DIM))
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_gather, schema).groupBy("word").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)]).collect()
+    found = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(_gather, schema).groupBy("word").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)]).collect()
     out = np.zeros((VOCABULARY, DIM), np.float32)
     for r in found:
         out[r[0]] = r[1:]

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
 from .textbytes import blocks, column_bytes, tidy
 from .wordcache import WordCache
 
@@ -342,7 +343,7 @@ def encode(docs: DataFrame, model_file: str, keep: list[str] | None = None) -> D
     """doc_id, n_pieces, ids_crc32 (as unsigned 32-bit little-endian), round_trip (decoding gives the text), ids, and the columns of ``keep``."""
     own = {"doc_id", "text", *OUT}
     keep = [c for c in keep or [] if c.lower() not in own]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
     schema = T.StructType([*T._parse_datatype_string("doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>").fields, *rows.schema.fields[2:]])
     return rows.mapInArrow(lambda it: _encode(it, model_file), schema)
 

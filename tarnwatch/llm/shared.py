@@ -39,3 +39,16 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder that :func:`new_folder` named."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches to Python workers of this session end at ``BATCH_BYTES``, unless it says otherwise.
+
+    By number of rows alone a batch of long texts takes tens of MB, several times over, beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) in (None, "-1", str((1 << 31) - 1), str(256 << 20), "256MB", "64MB", str(64 << 20)):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import settled
+from ..shared import settled, small_batches
 from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs, tidy
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
@@ -153,7 +153,7 @@ def _fingerprints(batches, width: int, seed: int):
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _fingerprints(it, width, seed), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _fingerprints(it, width, seed), "doc_id long, fp long")
 
 
 class _Forest:

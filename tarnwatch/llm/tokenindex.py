@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import new_folder, small_batches
 from .textbytes import blocks, column_bytes, tidy
 from .wordcache import WordCache
 
@@ -241,7 +241,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str | None = None
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MAX_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes)))
     order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first(), F.col("_place")]
