@@ -59,7 +59,9 @@ def test_pool_learns_grades_and_evicts(spark):
     whole = tenant_forests.fit(first.unionByName(later), p)
     probe = spark.createDataFrame([("a", 1, 0, [5.0, 5.0]), ("b", 2, 0, [0.0, 0.0]), ("c", 3, 0, [9.0, 9.0])], SCHEMA)
     scores = lambda x: {r.point_id: round(r.score, 9) for r in x.score(probe).collect() if r.score is not None}
-    assert scores(learned) == scores(whole) and len(scores(whole)) == 3
+    assert scores(pool.update(later)) == scores(whole) and len(scores(whole)) == 3
+    # ``learned`` has taken the first points twice, as it was told to
+    assert scores(learned) == scores(tenant_forests.fit(first.unionByName(first).unionByName(later), p))
     far = {r.point_id: r for r in learned.attribution(probe).collect()}
     assert sum(far[1].high) > 5 * sum(far[1].low) and sum(far[2].low) > 5 * sum(far[2].high)
     assert {r.tenant for r in learned.evict_lru(1).models.collect()} == {"b"}
