@@ -47,15 +47,20 @@ MIN_SCORE = 0.5
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-# no match can begin within a run of digits whose first digit began none
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+# Each pattern begins with a plain set of characters, which the engine skips to, and looks back only from there.
+# No match can begin within a run of digits whose first digit began none.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])((?:[a-z0-9]+[_.-]){0,3}(?:token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth[_ -]?key|credentials?))\"?'?\s{0,3}(?:=|:=|:|=>)\s{0,3}(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|((?:bearer\s)?[^\s\"',;<>()]{6,200}))")
+_IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_ASSIGN = re.compile(r"[=:]")
+_NAME = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth[_ -]?key|credentials?)\"?'?\s{0,3}\Z")
+_VALUE = re.compile(r"(?i)(?:=|:=|:|=>)\s{0,3}(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|((?:bearer\s)?[^\s\"',;<>()]{6,200}))")
+NAME_CHARS = 16  # the longest name, two quotes and three white characters
 _SHAPED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,72}|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,2000}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)")
-_SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
-_NATIONAL = re.compile(r"(?<![0-9A-Za-z+./-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+./-])0[1-9][0-9]{0,3}[ /-][0-9]{2,4}(?: ?[0-9]{2,4}){1,3}(?![0-9A-Za-z-])")
+_SHAPES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyJ", "-----BEGIN ")
+_SSN = re.compile(r"[0-8](?<![0-9A-Za-z-][0-8])(?:(?<=0)(?!00)|(?<=6)(?!66)|(?<![06]))[0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
+_NATIONAL = re.compile(r"[(02-9](?<![0-9A-Za-z+./-][(02-9])(?:(?:(?<=\()[2-9][0-9]{2}\) ?|(?<=[2-9])[0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<=0)[1-9][0-9]{0,3}[ /-][0-9]{2,4}(?: ?[0-9]{2,4}){1,3}(?![0-9A-Za-z-]))")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -170,19 +175,28 @@ def ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def named_values(text: str) -> list[tuple[int, int, bool]]:
+    """Place of each value that a name for secrets is given, and whether it is quoted; found from the sign between them."""
+    out, free = [], 0
+    for sign in _ASSIGN.finditer(text):
+        at = sign.start()
+        if at > free and _NAME.search(text, max(free, at - NAME_CHARS), at) and (m := _VALUE.match(text, at)):
+            k = next(k for k in (1, 2, 3) if m[k] is not None)
+            out.append((*m.span(k), k < 3))
+            free = m.end()
+    return out
+
+
 def added_proposals(text: str) -> list[tuple[str, int, int, bool]]:
     """Kind, place, and whether its checksum or its characters confirm it."""
     out = [("iban", a, b, True) for a, b in ibans(text)]
-    low = text.lower()
-    if any(x in low for x in ("token", "secret", "pass", "pwd", "key", "credential")):
-        for m in _SECRET.finditer(text):
-            k = next(k for k in (2, 3, 4) if m[k] is not None)
-            a, b = m.span(k)
-            if k == 4:
-                b = a + len(text[a:b].rstrip(".!?"))
-            out.append(("secret", a, b, random_looking(text[a:b])))
+    for a, b, k in named_values(text):
+        if not k:
+            b = a + len(text[a:b].rstrip(".!?"))
+        out.append(("secret", a, b, random_looking(text[a:b])))
     taken = [x[1:3] for x in out if x[0] == "secret"]
-    out += [("secret", *m.span(), True) for m in _SHAPED.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+    if any(x in text for x in _SHAPES):
+        out += [("secret", *m.span(), True) for m in _SHAPED.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
     out += [("ssn", *m.span(), True) for m in _SSN.finditer(text)]
     out += [("national_phone", *m.span(), True) for m in _NATIONAL.finditer(text) if 7 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
     return out

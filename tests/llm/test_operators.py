@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -489,6 +489,31 @@ def test_pii_added():
         assert time.time() - began < 10, t[:10]
 
 
+def test_pii_patterns():
+    """The patterns begin with a set of characters; as plainly written, with what stands before them first, they find the same."""
+    plain = {
+        "_IP": r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}",
+        "_IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        "_SSN": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
+        "_NATIONAL": r"(?<![0-9A-Za-z+./-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z+./-])0[1-9][0-9]{0,3}[ /-][0-9]{2,4}(?: ?[0-9]{2,4}){1,3}(?![0-9A-Za-z-])",
+    }
+    name = r"(?:[a-z0-9]+[_.-]){0,3}(?:token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|auth[_ -]?key|credentials?)"
+    named = re.compile(r"(?i)(?<![a-z0-9])" + name + r"\"?'?\s{0,3}(?:=|:=|:|=>)\s{0,3}(?:\"([^\"\n]{6,200})\"|'([^'\n]{6,200})'|((?:bearer\s)?[^\s\"',;<>()]{6,200}))")
+    bits = ["token", "secret", "Pwd", "api key", "access-key", "Credentials", "my", "auth_", "x.", "-", "_", " ", "\n", "=", ":", "=>", ":=", '"', "'", "bearer ", "abcdef12", "123-45-6789", "000-12-3456", "666-12-3456", "900-12-3456", "066-12-3456"]
+    bits += ["(212) 555-0100", "212 555 0100", "030 123 4567", "0221/1234 567 89", "1.2.3.4", "1234.5.6.7.8.9", "DE89370400440532013000", "GB", "AB12", "+", "/", ".", "5", "0", "(", ")", "é", ",", ";"]
+    rng, seen = random.Random(5), Counter()
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        for k, p in plain.items():
+            want = [m.span() for m in re.finditer(p, t)]
+            assert [m.span() for m in getattr(pii, k).finditer(t)] == want, (k, t)
+            seen[k] += len(want)
+        want = [next((*m.span(k), k < 3) for k in (1, 2, 3) if m[k] is not None) for m in named.finditer(t)]
+        assert pii.named_values(t) == want, t
+        seen["named"] += len(want)
+    assert min(seen[k] for k in (*plain, "named")) > 50, seen
+
+
 def test_pii_rows(spark):
     rows = [(1, "mail a@b.co or +49 30 1234567, IBAN DE89370400440532013000"), (1, None), (2, "")]
     got = sorted(pii.find(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, spans int")).collect(), key=repr)
