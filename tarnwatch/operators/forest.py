@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 VERSION = 1
 ROWS = 16_384
 MAX_MODEL_BYTES = 1 << 30
+TINY = 1e-300
 SAMPLE_SCHEMA = "tree_id int, point_id long, sort_key double, ts long, features array<double>"
 NODE_SCHEMA = "tree_id int, node_id int, left int, right int, cut_dim int, cut_value double, mn array<double>, mx array<double>, mass long, point_id long"
 
@@ -190,10 +191,11 @@ class Arrays:
         child = lambda c: np.array([r[c] for r in rows])
         left, right = (np.where(child(c) >= 0, child(c) + base, -1) for c in ("left", "right"))
         self.inner, self.cut = left >= 0, np.array([r["cut_value"] for r in rows])
-        self.kids = np.stack([right, left], axis=1).ravel()
+        here = np.arange(len(rows))
+        self.kids = np.stack([np.where(self.inner, right, here), np.where(self.inner, left, here)], axis=1).ravel()
         self.dim = np.maximum(child("cut_dim"), 0)
         low, high = np.array([r["mn"] for r in rows], float), np.array([r["mx"] for r in rows], float)
-        self.box, self.room = np.concatenate([high, -low], axis=1), (high - low).sum(axis=1)
+        self.box, self.room = np.concatenate([high, -low], axis=1), np.maximum((high - low).sum(axis=1), TINY)
         mass = np.array([r["mass"] for r in rows], float)
         whole = mass[base]
         self.scale = np.where(whole > 1, np.log2(np.maximum(whole, 2)), 1.0)
@@ -213,6 +215,7 @@ class Arrays:
                 depth[mine], total[mine] = depth[up] + 1, total[up]
                 ratio[mine] = np.maximum(ratio[up], mass[other] / mass[mine])
             level = np.concatenate([left[up], right[up]])
+        self.fixed[~self.inner] = 0  # a leaf's part is in its path, and no direction has it
         self.path_fixed, self.path_ratio, self.depth, self.mass = total, ratio, depth, mass
 
     def codisp(self, x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -244,39 +247,56 @@ class Arrays:
         """Per-tree isolation scores and displacements (rows, trees).
 
         ``each(tree, contributions)`` gets every tree's directional contributions (rows, 2 D), high then low.
+        Rows that reached their leaf stay there, adding nothing, until they are half of those under way.
         """
         n, d = x.shape
         both, ones = np.concatenate([x, -x], axis=1), np.ones(2 * d)
-        flat = np.ascontiguousarray(x).ravel()
-        score, disp = np.zeros((n, len(self.roots))), np.zeros((n, len(self.roots)))
+        space, first = np.empty((n, 2 * d)), np.arange(n) * (2 * d)
+        score, disp = np.empty((len(self.roots), n)), np.empty((len(self.roots), n))
         for t, root in enumerate(self.roots.tolist()):
-            rows, nodes, mine = np.arange(n), np.full(n, root), both
-            gained, leaf = np.zeros(n), np.full(n, root)
-            parts = np.zeros((n, 2 * d)) if each else None
-            go = self.inner[nodes]
-            while True:
-                if not go.all():
-                    leaf[rows[~go]] = nodes[~go]
-                    rows, nodes = rows[go], nodes[go]
-                    mine = both[rows]
-                if not len(rows):
-                    break
-                out = mine - self.box[nodes]
+            rows, nodes, mine, gained = np.arange(n), np.full(n, root), both, np.zeros(n)
+            parts, whole = (np.zeros((n, 2 * d)), np.zeros((n, 2 * d))) if each else (None, None)
+            while len(rows):
+                inner = self.inner.take(nodes)
+                going = np.count_nonzero(inner)
+                if going <= len(rows) // 2:
+                    done = np.flatnonzero(~inner)
+                    at, leaf = rows[done], nodes[done]
+                    score[t, at] = gained[done] + self.path_fixed[leaf]
+                    disp[t, at] = self.path_ratio[leaf]
+                    keep = np.flatnonzero(inner)
+                    if each:
+                        whole[at] = parts[done]
+                        parts = parts.take(keep, axis=0)
+                    rows, nodes, gained, mine = rows[keep], nodes[keep], gained[keep], mine.take(keep, axis=0)
+                    if not going:
+                        break
+                out = space[: len(rows)]
+                np.take(self.box, nodes, axis=0, out=out, mode="clip")
+                np.subtract(mine, out, out=out)
                 np.maximum(out, 0, out=out)
                 ext = out @ ones
-                room = self.room[nodes] + ext
-                p = ext / np.where(room > 0, room, 1.0)
-                more = p * self.extra[nodes]
-                gained[rows] += more
+                more = self.room.take(nodes)
+                more += ext
+                np.divide(ext, more, out=more)
+                more *= self.extra.take(nodes)
+                gained += more
                 if each:
-                    parts[rows] += out * (np.where(ext > 0, self.fixed[nodes] + more, 0.0) / np.where(ext > 0, ext, 1.0))[:, None]
-                nodes = self.kids[2 * nodes + (flat[rows * d + self.dim[nodes]] <= self.cut[nodes])]
-                go = self.inner[nodes]
-            score[:, t] = (gained + self.path_fixed[leaf]) / self.scale[root]
-            disp[:, t] = self.path_ratio[leaf]
+                    more += self.fixed.take(nodes)
+                    more /= np.maximum(ext, TINY)
+                    out *= more[:, None]
+                    parts += out
+                at = self.dim.take(nodes)
+                at += first[: len(rows)]
+                left = mine.ravel().take(at) <= self.cut.take(nodes)
+                nodes *= 2
+                nodes += left
+                nodes = self.kids.take(nodes)
+            score[t] /= self.scale[root]
             if each:
-                each(t, parts / self.scale[root])
-        return np.maximum(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0), disp
+                each(t, whole / self.scale[root])
+        score = np.ascontiguousarray(score.T)
+        return np.maximum(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0), np.ascontiguousarray(disp.T)
 
 
 def early_stop(per_tree: np.ndarray, min_trees: int = 16, threshold: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
