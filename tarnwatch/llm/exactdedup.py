@@ -25,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import likely, settled
 
 BLOCK_BYTES = 1024
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 def normalised(text):
@@ -96,10 +96,12 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest_bits: int = 6
 
 
 def without(docs: DataFrame, lost: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Documents whose doc_id is not in ``lost``; the ids are broadcast only if they are few enough."""
-    lost = settled(lost.select("doc_id").where("doc_id is not null").distinct())
-    few = lost.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    return docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose doc_id is not in ``lost``; the ids are broadcast only if they are few, else rows that may be among them are joined."""
+    lost = settled(lost.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct())
+    if lost.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return docs.join(F.broadcast(lost), "doc_id", "left_anti").select(*docs.columns)
+    maybe = likely(docs, lost, "doc_id")
+    return likely(docs, lost, "doc_id", kept=False).unionByName(maybe.join(lost, "doc_id", "left_anti").select(*docs.columns))
 
 
 def drop_copies(docs: DataFrame, **how) -> DataFrame:

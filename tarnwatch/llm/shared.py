@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +42,26 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+FILTER_WORDS = 1 << 17
+
+
+def likely(df: DataFrame, ids: DataFrame, name: str, kept: bool = True) -> DataFrame:
+    """Rows whose ``name`` may be in the one column of ``ids``, or with ``kept=False`` all others, which are surely not.
+
+    Only ``FILTER_WORDS`` rows of 64 bits are broadcast, however many ids there are; an exact join of the likely rows is to follow."""
+
+    def bit(column):
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(64 * FILTER_WORDS))
+
+    at = bit(F.col(ids.columns[0]))
+    words = settled(ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("_bits")))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.floor(bit(F.col(f"`{name}`")) / 64).alias("_word"), (bit(F.col(f"`{name}`")) % 64).cast("int").alias("_at"))
+    hit = F.coalesce(F.expr("shiftright(_bits, _at) & 1L"), F.lit(0)) == 1
+    found = rows.join(F.broadcast(words), "_word", "left").where(hit if kept else ~hit)
+    return found.select("row.*")
+
+
 BATCH_BYTES = 2 << 20
 
 

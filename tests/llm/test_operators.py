@@ -14,7 +14,7 @@ import xxhash
 
 from tarnwatch.llm import chatformat, decontaminate, exactdedup, htmltext, licences, pii, quality, sentencepieces, simhash, tokenindex
 from tarnwatch.llm.queries import ATTACK
-from tarnwatch.llm.simhash import search
+from tarnwatch.llm.simhash import search, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -718,6 +718,19 @@ def test_near_copies_of_one_original(spark, piece_shingles):
     assert {tuple(r) for r in found.collect()} == {(d, 0) for d in range(1, 1001)}
 
 
+def test_broadcasts_are_bounded(spark, docs, monkeypatch):
+    """More ids than a small driver holds are joined; what is broadcast of them is a filter of fixed size."""
+    from pyspark.sql import functions as F
+
+    table = spark.range(300_000).select(F.when(F.col("id") > 3, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    stay = exactdedup.without(table, spark.range(0, 300_000, 2).select(F.col("id").alias("doc_id")))
+    assert not re.search(r"Join LeftAnti.*broadcast", stay._jdf.queryExecution().optimizedPlan().toString())
+    got = sorted((r.doc_id for r in stay.collect()), key=repr)
+    assert got == sorted([None] * 4 + list(range(5, 300_000, 2)), key=repr)
+    monkeypatch.setattr(similar, "MAX_BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in simhash.groups(docs).collect()} == {(d, g) for d, g in brute_copies(pairs(docs)).items() if d != g}
+
+
 def test_near_copies_of_short_texts(spark):
     """Eight words and the same with one more: similarity of exactly 0.8, by chance far apart in bits."""
     rows = []
