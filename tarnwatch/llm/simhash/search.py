@@ -181,12 +181,27 @@ class _Forest:
         return out
 
 
-def _link(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
+def _far(fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of all pairs of rows between two blocks; a print is one word or a row of words."""
+    if fp.ndim == 1:
+        return np.bitwise_count(fp[left][:, None] ^ fp[right][None, :])
+    far = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(fp.shape[1]):
+        far += np.bitwise_count(fp[left, k][:, None] ^ fp[right, k][None, :])
+    return far
+
+
+def _reach(radius: int | np.ndarray, left: np.ndarray, right: np.ndarray) -> int | np.ndarray:
+    """The bound of each pair: the larger of both rows' where rows have their own."""
+    return np.maximum(radius[left][:, None], radius[right][None, :]) if isinstance(radius, np.ndarray) else radius
+
+
+def _link(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int | np.ndarray) -> None:
     """Joins all linked pairs of rows between two blocks."""
-    step = max(1, (1 << 20) // max(1, len(right)))
+    step = max(1, (1 << 20 if fp.ndim == 1 else 1 << 18) // max(1, len(right)))
     for k in range(0, len(left), step):
         part = left[k : k + step]
-        a, b = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[right][None, :]) <= radius)
+        a, b = np.nonzero(_far(fp, part, right) <= _reach(radius, part, right))
         pairs = np.stack([part[a], right[b]])
         # drop what is joined already
         while pairs.shape[1]:
@@ -202,13 +217,15 @@ def _link(forest: _Forest, fp: np.ndarray, left: np.ndarray, right: np.ndarray,
             forest.parent[moved] = best[moved]
 
 
-def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen: dict | None = None) -> np.ndarray:
+def vantage_forest(fp: np.ndarray, radius: int | np.ndarray = RADIUS, leaf: int = LEAF, seen: dict | None = None) -> np.ndarray:
     """Root row of each row's component under links within ``radius``, by a vantage-point tree.
 
+    Prints are words, or rows of several; ``radius`` is one number, or one a row (of a pair the larger holds).
+
     A node's rows are ordered by distance from its vantage point.  The halves on either side of
     the median become its children; only the rows within ``radius`` of the border (by the
-    triangle bound nothing else can link across) are compared between them.  ``seen`` counts nodes
-    and compared pairs.
+    triangle bound nothing else can link across) are compared between them.  A node whose rows
+    are all connected already has nothing to add.  ``seen`` counts nodes and compared pairs.
     """
     forest = _Forest(len(fp))
     stack = [np.arange(len(fp))]
@@ -224,12 +241,16 @@ def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen:
             link(rows, rows)
             continue
         seen["nodes"] = seen.get("nodes", 0) + 1
-        far = np.bitwise_count(fp[rows] ^ fp[rows[0]]).astype(np.int64)
-        near = rows[far <= radius]
+        far = _far(fp, rows[:1], rows)[0].astype(np.int64)
+        near = rows[far <= np.ravel(_reach(radius, rows[:1], rows))]
+        most = int(np.max(radius[rows])) if isinstance(radius, np.ndarray) else radius
         if len(near) > 1:
             forest.parent = forest.roots()
             tops = np.unique(forest.parent[near])
             forest.parent[tops] = tops[0]
+            forest.parent = forest.roots()
+            if (forest.parent[rows] == forest.parent[rows[0]]).all():
+                continue
         cut = int(np.median(far))
         inner, outer = rows[far <= cut], rows[far > cut]
         if not len(outer):
@@ -239,8 +260,9 @@ def vantage_forest(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, seen:
             link(rows, rows)
             continue
         rim, beyond = far[far <= cut], far[far > cut]
-        for d in range(max(0, cut - radius + 1), cut + 1):
-            a, b = inner[rim == d], outer[beyond <= d + radius]
+        stride = max(1, most // 8)
+        for d in range(max(0, cut - most + 1), cut + 1, stride):
+            a, b = inner[(rim >= d) & (rim < d + stride)], outer[beyond <= min(d + stride - 1, cut) + most]
             if len(a) and len(b):
                 link(a, b)
         stack += [inner, outer]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -718,6 +719,31 @@ def test_near_copies_of_one_original(spark, piece_shingles):
     assert {tuple(r) for r in found.collect()} == {(d, 0) for d in range(1, 1001)}
 
 
+def test_near_copies_by_vantage_trees(monkeypatch):
+    """The shards of the long fingerprints are walked by the operator's vantage-point tree, which finds what all pairs do."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (150, 4), dtype=np.uint64)
+    fp = np.concatenate([base, base[:90], np.repeat(base[:1], 200, axis=0)])
+    for i in range(150, len(fp)):
+        for bit in rng.choice(256, rng.integers(1, 100), replace=False).tolist():
+            fp[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    radius = np.where(rng.random(len(fp)) < 0.3, similar.SHORT_RADIUS, similar.RADIUS).astype(np.int64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(axis=2) <= np.maximum(radius[:, None], radius[None, :])
+    want = np.arange(len(fp))
+    while (new := np.array([want[row].min() for row in near])).tolist() != want.tolist():
+        want = new
+    seen = {}
+    monkeypatch.setattr(similar, "vantage_forest", lambda fp, radius: search.vantage_forest(fp, radius, seen=seen))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int64)), pa.array(np.arange(len(fp))), pa.array(radius), *(pa.array(fp[:, k].view(np.int64)) for k in range(4))], ["shard", "id", "radius", *similar.PRINT])
+    forest = search._Forest(len(fp))
+    for out in similar._candidates(iter([batch])):
+        for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            assert want[a] == want[b]
+            forest.join(a, b)
+    assert (forest.roots() == want).all() and 150 <= len(np.unique(want)) < len(fp) - 100
+    assert seen["nodes"] >= 5 and seen["pairs"] < 0.6 * len(fp) ** 2
+
+
 def test_broadcasts_are_bounded(spark, docs, monkeypatch):
     """More ids than a small driver holds are joined; what is broadcast of them is a filter of fixed size."""
     from pyspark.sql import functions as F
