@@ -23,7 +23,8 @@ Links are found over the *distinct* fingerprints by vantage-point search, in two
   rings are out of reach.  Still larger rings are salted, every pair of salts being one piece.
 
 Each piece of work returns a spanning forest of its links (its rows less one at most), never
-all pairs; components follow by alternating large and small stars over these edges.
+all pairs; components follow from these edges, up to ``MAX_LOCAL_EDGES`` of them on the driver, of
+more by alternating large and small stars.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 repeated rows share a component; null doc_ids keep their row and never name a component
@@ -45,6 +46,7 @@ from ..textbytes import LOWER, SOLID, blocks, column_bytes, runs, tidy
 
 WIDTH, SEED, RADIUS, SHARD_ROWS = 3, 42, 3, 50_000
 SHARD_TARGET, LEAF, MAX_PIVOTS = 512, 32, 8
+MAX_LOCAL_EDGES = 100_000
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 
 
@@ -341,14 +343,39 @@ def edges(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return placed.select("shard", "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda it: _shard_edges(it, radius), "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node -> root (smallest connected node) for all nodes of the edges (a, b).
+def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges but the smallest of each component, and beside each the smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(left):
+        # of each root's smaller neighbours the smallest; two connected roots at least become one, so few rounds do
+        low, high = np.minimum(parent[left], parent[right]), np.maximum(parent[left], parent[right])
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[left] != parent[right]
+        left, right = left[apart], right[apart]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def components(links: DataFrame, max_rounds: int = 60, max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
+    """node -> root (smallest connected node) for all nodes of the edges (a, b) that are not roots.
+
+    Up to ``max_local_edges`` edges of 16 bytes are read by the driver: a round costs some 18 tasks a shuffle
+    partition and their files, whatever few edges there are.  More are never gathered:
 
     Rounds of large star and small star: every node hands its larger neighbours, then its
     smaller ones, to the smallest node it knows.  Only minima per node are aggregated, before
     the shuffle too, so a hub costs no more than any other node.
     """
+    spark = links.sparkSession
     now = settled(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct())
+    if now.count() <= max_local_edges:
+        edge = now.toArrow()
+        node, root = least_connected(edge["v"].to_numpy(), edge["u"].to_numpy())
+        return spark.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long")
     before = None
     for _ in range(max_rounds):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(now.select(F.col("u").alias("x"), F.col("v").alias("y")))

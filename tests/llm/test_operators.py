@@ -757,6 +757,47 @@ def test_broadcasts_are_bounded(spark, docs, monkeypatch):
     assert {tuple(r) for r in simhash.groups(docs).collect()} == {(d, g) for d, g in brute_copies(pairs(docs)).items() if d != g}
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_components(spark, most):
+    """Chains, hubs and random links over signed ids, on the driver and by stars: the smallest id reachable."""
+    rng = np.random.default_rng(11)
+    chain, ids = rng.permutation(300), rng.integers(-(2**63), 2**63 - 1, 1200)
+    left = np.concatenate([chain[:-1], np.full(200, 350), rng.integers(600, 1200, 400), [5, 7, 7]])
+    right = np.concatenate([chain[1:], np.arange(351, 551), rng.integers(600, 1200, 400), [5, 8, 8]])
+    label = {int(x): int(x) for x in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(ids[left].tolist(), ids[right].tolist(), strict=True):
+            low = min(label[a], label[b])
+            changed = changed or label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    links = spark.createDataFrame([(a, b) for a, b in zip(ids[left].tolist(), ids[right].tolist(), strict=True)], "a long, b long")
+    found = simhash.components(links, max_local_edges=most)
+    assert sorted(map(tuple, found.collect())) == sorted((n, r) for n, r in label.items() if n != r)
+    assert simhash.components(links.limit(0), max_local_edges=most).count() == 0
+
+
+def test_components_of_few_links(spark):
+    """A chain of few links is no work for rounds of tasks over all shuffle partitions, whose files fill the disk."""
+    links, sc = spark.createDataFrame([(k, k + 1) for k in range(500)], "a long, b long"), spark.sparkContext
+    sc.setJobGroup("few-links", "")
+    try:
+        assert simhash.components(links).where("root = 0").count() == 500
+    finally:
+        sc._jsc.clearJobGroup()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = sc.statusTracker()
+    stages = {x for j in tracker.getJobIdsForGroup("few-links") for x in tracker.getJobInfo(j).stageIds}
+    assert 0 < sum(tracker.getStageInfo(x).numTasks for x in stages if tracker.getStageInfo(x)) <= 40
+
+
+def test_near_copies_of_many_links(spark, docs, monkeypatch):
+    """Links too many for the driver give the same groups."""
+    monkeypatch.setattr(similar, "components", lambda links: search.components(links, max_local_edges=0))
+    assert {tuple(r) for r in simhash.groups(docs).collect()} == {(d, g) for d, g in brute_copies(pairs(docs)).items() if d != g}
+
+
 def test_near_copies_of_short_texts(spark):
     """Eight words and the same with one more: similarity of exactly 0.8, by chance far apart in bits."""
     rows = []
