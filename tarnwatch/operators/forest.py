@@ -187,16 +187,26 @@ class Arrays:
         rows = sorted(rows, key=lambda r: (r["tree_id"], r["node_id"]))
         tree = np.array([r["tree_id"] for r in rows])
         base = np.searchsorted(tree, tree)
-        self.roots = np.unique(base)
         child = lambda c: np.array([r[c] for r in rows])
         left, right = (np.where(child(c) >= 0, child(c) + base, -1) for c in ("left", "right"))
-        self.inner, self.cut = left >= 0, np.array([r["cut_value"] for r in rows])
+        low, high = np.array([r["mn"] for r in rows], float), np.array([r["mx"] for r in rows], float)
+        self._fill(base, left, right, np.maximum(child("cut_dim"), 0), np.array([r["cut_value"] for r in rows]), low, high, np.array([r["mass"] for r in rows], float))
+
+    @classmethod
+    def of(cls, *columns: np.ndarray) -> Arrays:
+        """From columns, as :meth:`_fill` takes them."""
+        out = cls.__new__(cls)
+        out._fill(*columns)
+        return out
+
+    def _fill(self, base, left, right, dim, cut, low, high, mass) -> None:
+        """``base``: the place of each node's root; children as places, -1 at leaves."""
+        rows = base
+        self.roots = np.unique(base)
+        self.inner, self.cut, self.dim = left >= 0, cut, dim
         here = np.arange(len(rows))
         self.kids = np.stack([np.where(self.inner, right, here), np.where(self.inner, left, here)], axis=1).ravel()
-        self.dim = np.maximum(child("cut_dim"), 0)
-        low, high = np.array([r["mn"] for r in rows], float), np.array([r["mx"] for r in rows], float)
         self.box, self.room = np.concatenate([high, -low], axis=1), np.maximum((high - low).sum(axis=1), TINY)
-        mass = np.array([r["mass"] for r in rows], float)
         whole = mass[base]
         self.scale = np.where(whole > 1, np.log2(np.maximum(whole, 2)), 1.0)
         depth, ratio, total = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
@@ -247,56 +257,68 @@ class Arrays:
         """Per-tree isolation scores and displacements (rows, trees).
 
         ``each(tree, contributions)`` gets every tree's directional contributions (rows, 2 D), high then low.
-        Rows that reached their leaf stay there, adding nothing, until they are half of those under way.
         """
         n, d = x.shape
-        both, ones = np.concatenate([x, -x], axis=1), np.ones(2 * d)
-        space, first = np.empty((n, 2 * d)), np.arange(n) * (2 * d)
+        both = np.concatenate([x, -x], axis=1)
         score, disp = np.empty((len(self.roots), n)), np.empty((len(self.roots), n))
         for t, root in enumerate(self.roots.tolist()):
-            rows, nodes, mine, gained = np.arange(n), np.full(n, root), both, np.zeros(n)
-            parts, whole = (np.zeros((n, 2 * d)), np.zeros((n, 2 * d))) if each else (None, None)
-            while len(rows):
-                inner = self.inner.take(nodes)
-                going = np.count_nonzero(inner)
-                if going <= len(rows) // 2:
-                    done = np.flatnonzero(~inner)
-                    at, leaf = rows[done], nodes[done]
-                    score[t, at] = gained[done] + self.path_fixed[leaf]
-                    disp[t, at] = self.path_ratio[leaf]
-                    keep = np.flatnonzero(inner)
-                    if each:
-                        whole[at] = parts[done]
-                        parts = parts.take(keep, axis=0)
-                    rows, nodes, gained, mine = rows[keep], nodes[keep], gained[keep], mine.take(keep, axis=0)
-                    if not going:
-                        break
-                out = space[: len(rows)]
-                np.take(self.box, nodes, axis=0, out=out, mode="clip")
-                np.subtract(mine, out, out=out)
-                np.maximum(out, 0, out=out)
-                ext = out @ ones
-                more = self.room.take(nodes)
-                more += ext
-                np.divide(ext, more, out=more)
-                more *= self.extra.take(nodes)
-                gained += more
-                if each:
-                    more += self.fixed.take(nodes)
-                    more /= np.maximum(ext, TINY)
-                    out *= more[:, None]
-                    parts += out
-                at = self.dim.take(nodes)
-                at += first[: len(rows)]
-                left = mine.ravel().take(at) <= self.cut.take(nodes)
-                nodes *= 2
-                nodes += left
-                nodes = self.kids.take(nodes)
-            score[t] /= self.scale[root]
+            score[t], disp[t], parts = self.descend(both, np.full(n, root), each is not None)
             if each:
-                each(t, whole / self.scale[root])
+                each(t, parts)
         score = np.ascontiguousarray(score.T)
-        return np.maximum(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0), np.ascontiguousarray(disp.T)
+        return clean(score), np.ascontiguousarray(disp.T)
+
+    def descend(self, both: np.ndarray, nodes: np.ndarray, directed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Score and displacement of each row (x, -x) from the root given beside it, and its directional contributions.
+
+        Rows that reached their leaf stay there, adding nothing, until they are half of those under way."""
+        n, d = len(both), both.shape[1] // 2
+        ones, scale = np.ones(2 * d), self.scale[nodes]
+        space, first = np.empty((n, 2 * d)), np.arange(n) * (2 * d)
+        score, disp = np.empty(n), np.empty(n)
+        rows, mine, gained = np.arange(n), both, np.zeros(n)
+        parts, whole = (np.zeros((n, 2 * d)), np.zeros((n, 2 * d))) if directed else (None, None)
+        while len(rows):
+            inner = self.inner.take(nodes)
+            going = np.count_nonzero(inner)
+            if going <= len(rows) // 2:
+                done = np.flatnonzero(~inner)
+                at, leaf = rows[done], nodes[done]
+                score[at] = gained[done] + self.path_fixed[leaf]
+                disp[at] = self.path_ratio[leaf]
+                keep = np.flatnonzero(inner)
+                if directed:
+                    whole[at] = parts[done]
+                    parts = parts.take(keep, axis=0)
+                rows, nodes, gained, mine = rows[keep], nodes[keep], gained[keep], mine.take(keep, axis=0)
+                if not going:
+                    break
+            out = space[: len(rows)]
+            np.take(self.box, nodes, axis=0, out=out, mode="clip")
+            np.subtract(mine, out, out=out)
+            np.maximum(out, 0, out=out)
+            ext = out @ ones
+            more = self.room.take(nodes)
+            more += ext
+            np.divide(ext, more, out=more)
+            more *= self.extra.take(nodes)
+            gained += more
+            if directed:
+                more += self.fixed.take(nodes)
+                more /= np.maximum(ext, TINY)
+                out *= more[:, None]
+                parts += out
+            at = self.dim.take(nodes)
+            at += first[: len(rows)]
+            left = mine.ravel().take(at) <= self.cut.take(nodes)
+            nodes = nodes * 2
+            nodes += left
+            nodes = self.kids.take(nodes)
+        return score / scale, disp, whole / scale[:, None] if directed else None
+
+
+def clean(score: np.ndarray) -> np.ndarray:
+    return np.maximum(np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0), 0)
 
 
 def early_stop(per_tree: np.ndarray, min_trees: int = 16, threshold: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
