@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,27 +155,49 @@ def adjust_by_feedback(probes: DataFrame, labels: DataFrame, score: str, feature
     return probes.withColumn("adjusted", adjusted(score, features))
 
 
-def shapley(df: DataFrame, score_points, dims: int, baseline: list[float], permutations: int = 64, seed: int = 2026) -> DataFrame:
+MAX_COLUMNS = 64
+
+
+def shapley(df: DataFrame, score_points, dims: int, baseline: list[float], permutations: int = 64, seed: int = 2026, ids: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """Permutation Shapley values of ``score_points(df) -> df with score`` against a baseline vector.
 
-    Each row becomes permutations x (dims + 1) coalitions, scored as one batch; contributions are
-    lagged differences averaged by dimension.  Rows need a unique ``point_id``.
+    Each row is scored once in every coalition that some permutation passes through (the same one in many), and the
+    scores of a row meet as one row, not as permutations x (dims + 1); a contribution is the mean gain of a dimension over the
+    permutations where both scores are known.  Rows need ``ids`` of their own; if they are dealt by some of these, nothing is shuffled.
     """
     if not 1 <= permutations <= 65_536:
         raise ValueError("1 to 65,536 permutations")
     if permutations * (dims + 1) * (dims + 4) * 8 > MAX_PLAN_BYTES:
         raise ValueError(f"permutations x dimensions make a plan of over {MAX_PLAN_BYTES >> 20} MB")
-    orders = [np.random.default_rng([seed, k]).permutation(dims).tolist() for k in range(permutations)]
-    spark = df.sparkSession
-    plan = [(k, step, None if step == 0 else order[step - 1], order[:step]) for k, order in enumerate(orders) for step in range(dims + 1)]
-    plan = spark.createDataFrame(plan, "perm int, step int, dim int, included array<int>")
-    base = F.array(*map(F.lit, map(float, baseline)))
-    mixed = F.transform(F.col("features"), lambda x, i: F.when(F.array_contains("included", i), x).otherwise(F.element_at(base, i + 1)))
+    spark, number, gains = df.sparkSession, {}, [Counter() for _ in range(dims)]
+    for k in range(permutations):
+        before = number.setdefault(frozenset(), len(number))
+        order = np.random.default_rng([seed, k]).permutation(dims).tolist()
+        for step, dim in enumerate(order, 1):
+            after = number.setdefault(frozenset(order[:step]), len(number))
+            gains[dim][before, after] += 1
+            before = after
+    plan = spark.createDataFrame([(c, [i in s for i in range(dims)]) for s, c in number.items()], "_c int, _in array<boolean>")
+    mixed = F.array(*[F.when(F.col("_in")[i], F.get("features", F.lit(i))).otherwise(F.lit(float(baseline[i]))) for i in range(dims)])
     # every row with every coalition is what is asked for; the coalitions' size is checked above
-    rows = df.select("point_id", "features").join(F.broadcast(plan)).select("point_id", "perm", "step", "dim", mixed.alias("features"))
-    scored = score_points(rows)
-    w = Window.partitionBy("point_id", "perm").orderBy("step")
-    return scored.withColumn("gain", F.col("score") - F.lag("score").over(w)).where("step > 0").groupBy("point_id", "dim").agg(F.avg("gain").alias("contribution"))
+    scored = score_points(df.select(*ids, "features").join(F.broadcast(plan)).select(*ids, "_c", mixed.alias("features")))
+    if len(number) <= MAX_COLUMNS:
+        met = scored.groupBy(*ids).agg(*[F.max(F.when(F.col("_c") == c, F.col("score"))).alias(f"_s{c}") for c in number.values()])
+        mean = []
+        for dim, pairs in enumerate(gains):
+            each = [(F.col(f"_s{b}") - F.col(f"_s{a}"), n) for (a, b), n in pairs.items()]
+            whole, known = sum((F.coalesce(g * n, F.lit(0.0)) for g, n in each), F.lit(0.0)), sum((F.when(g.isNotNull(), n).otherwise(0) for g, n in each), F.lit(0))
+            mean.append(F.struct(F.lit(dim).alias("dim"), F.when(known > 0, whole / known).alias("contribution")))
+        return met.select(*ids, F.inline(F.array(*mean)))
+    met = scored.groupBy(*ids).agg(F.transform(F.sort_array(F.collect_list(F.struct("_c", "score"))), lambda x: x["score"]).alias("_s"))
+    pairs = spark.createDataFrame([(dim, [(a, b, n) for (a, b), n in g.items()]) for dim, g in enumerate(gains)], "dim int, _g array<struct<a: int, b: int, n: int>>")
+
+    def take(acc: Column, g: Column) -> Column:
+        gain = F.get("_s", g["b"]) - F.get("_s", g["a"])
+        return F.when(gain.isNull(), acc).otherwise(F.struct((acc["whole"] + gain * g["n"]).alias("whole"), (acc["known"] + g["n"]).alias("known")))
+
+    mean = F.aggregate("_g", F.struct(F.lit(0.0).alias("whole"), F.lit(0).alias("known")), take, lambda acc: F.when(acc["known"] > 0, acc["whole"] / acc["known"]))
+    return met.join(F.broadcast(pairs)).select(*ids, "dim", mean.alias("contribution"))
 
 
 def sage(model, df: DataFrame, baseline: list[float], permutations: int = 64, seed: int = 2026) -> DataFrame:

@@ -381,3 +381,23 @@ def test_range_auc_of_long_series(spark):
     got = {r.buffer: r.auc_pr for r in sq.range_auc_pr(df, ["k"], ["i"], "score", "label", [0, 2]).collect()}
     assert set(got) == {0, 2} and 0 < got[0] < got[2] < 1
     assert time.time() - began < 30
+
+
+def test_shapley_meets_as_one_row(spark):
+    """Rows went through the shuffle once for each step of each permutation: 5 x 4 = 20 here, 5 distinct at most 8; now none, if they are dealt by an id."""
+    from tarnwatch.operators import triage
+
+    rows = [(k, 0, [float(k), 2.0 * k, None if k == 3 else 1.0]) for k in range(40)]
+    points = spark.createDataFrame(rows, "point_id long, copy int, features array<double>").repartition(3, "point_id")
+    score = lambda df: df.withColumn("score", F.col("features")[0] + 10 * F.col("features")[1] * F.col("features")[2])
+    out = triage.shapley(points, score, 3, [0.0, 0.0, 0.0], 5, ids=("point_id", "copy"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    few = {(r.point_id, r.dim): r.contribution for r in out.collect()}
+    assert len(few) == 120 and all(few[k, 0] == k and abs(few[k, 1] + few[k, 2] - 20 * k) < 1e-9 for k in range(40) if k != 3)
+    assert few[3, 2] is None and few[3, 0] == 3.0
+    triage.MAX_COLUMNS, kept = 0, triage.MAX_COLUMNS
+    try:
+        many = {(r.point_id, r.dim): r.contribution for r in triage.shapley(points, score, 3, [0.0, 0.0, 0.0], 5, ids=("point_id", "copy")).collect()}
+    finally:
+        triage.MAX_COLUMNS = kept
+    assert many == few
