@@ -190,9 +190,11 @@ def union_of(one: DataFrame, two: DataFrame, kind: str) -> DataFrame:
     return one.unionByName(two).groupBy(*keys).agg(merge(column).alias(column))
 
 
-def forensic(samples: DataFrame, probe: dict[str, float]) -> DataFrame:
-    """Per dimension: observed, mean, sample deviation, delta and z of a probe against distinct sampled points."""
-    points = samples.groupBy("point_id").agg(F.min(F.struct(*probe)).alias("x")).select("x.*")
+def forensic(samples: DataFrame, probe: dict[str, float], distinct: bool = True) -> DataFrame:
+    """Per dimension: observed, mean, sample deviation, delta and z of a probe against sampled points.
+
+    A point_id counts once, as it may be in the samples of many trees, or (``distinct`` false) every row, without a shuffle of them."""
+    points = samples.groupBy("point_id").agg(F.min(F.struct(*probe)).alias("x")).select("x.*") if distinct else samples.select(*probe)
     one = points.agg(F.count("*").alias("live_points"), *[f(d).alias(f"{d}_{n}") for d in probe for n, f in (("m", F.avg), ("s", F.stddev_samp))])
     parts = []
     for d, x in probe.items():

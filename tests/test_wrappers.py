@@ -401,3 +401,11 @@ def test_shapley_meets_as_one_row(spark):
     finally:
         triage.MAX_COLUMNS = kept
     assert many == few
+
+
+def test_forensic_of_a_table_keeps_no_rows(spark):
+    """Rows were numbered and grouped by id first: a sort of the whole table in memory, where its moments are asked for."""
+    from tarnwatch.plans import queries
+
+    plan = queries.queries()["forensic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "Sort" not in plan
