@@ -52,7 +52,8 @@ class ThresholdedForest:
         Points have keys, order, features, and for ``learn`` also point_id and seq (and ts, if any); ids and
         timestamps named in ``carry`` stay beside the grades.
         """
-        scored = self.model.score(points)
+        more = {f.split()[0] for f in rcf.SCORES.split(", ")} - {"score", *points.columns}
+        scored = self.model.score(points) if more & {*keys, *order, *(carry or [])} else self.model.mean(points)
         graded = fold(scored, keys, order, [*(carry or []), *order, "score"], self.make, self.states, value="score")
         after = states(scored, keys, order, self.make, self.states, value="score")
         if self.states is not None:  # keys without new rows keep what they have

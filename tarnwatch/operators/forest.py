@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 VERSION = 1
 ROWS = 16_384
+WAVES = 4
 MAX_MODEL_BYTES = 1 << 30
 TINY = 1e-300
 SAMPLE_SCHEMA = "tree_id int, point_id long, sort_key double, ts long, features array<double>"
@@ -113,9 +114,9 @@ def _cut(batches, p: ForestParams):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Work over all trees costs far more than moving the points: uses all cores even if the input is one small file."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    """Work over all trees costs far more than moving the points: some tasks a core, alike in rows, even if the input is one small file or a few uneven ones."""
+    tasks = WAVES * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if not df.isStreaming and df.rdd.getNumPartitions() < tasks else df
 
 
 def valid_rows(points: DataFrame, p: ForestParams) -> DataFrame:
@@ -205,11 +206,15 @@ class Arrays:
         self.roots = np.unique(base)
         self.inner, self.cut, self.dim = left >= 0, cut, dim
         here = np.arange(len(rows))
-        self.kids = np.stack([np.where(self.inner, right, here), np.where(self.inner, left, here)], axis=1).ravel()
+        # twice a node's place, plus one to go left: what is looked up on the way down
+        self.kids = 2 * np.stack([np.where(self.inner, right, here), np.where(self.inner, left, here)], axis=1).ravel()
+        self.cuts, self.dims = np.repeat(cut, 2), np.repeat(dim, 2)
+        self.up = np.full(len(rows) + 1, len(rows))  # above a root: a node that holds all
+        self.up[left[self.inner]] = self.up[right[self.inner]] = here[self.inner]
         self.box, self.room = np.concatenate([high, -low], axis=1), np.maximum((high - low).sum(axis=1), TINY)
         whole = mass[base]
         self.scale = np.where(whole > 1, np.log2(np.maximum(whole, 2)), 1.0)
-        depth, ratio, total = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+        depth, ratio, total, joined = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
         unseen = np.log2(mass)
         damp = np.where(whole > 1, 1 / (1 + np.log(mass) / np.log(np.maximum(whole, 2))), 1.0)
         self.fixed, self.extra = np.zeros(len(rows)), np.zeros(len(rows))
@@ -224,32 +229,66 @@ class Arrays:
             for mine, other in ((left[up], right[up]), (right[up], left[up])):
                 depth[mine], total[mine] = depth[up] + 1, total[up]
                 ratio[mine] = np.maximum(ratio[up], mass[other] / mass[mine])
+                joined[mine] = np.maximum(joined[up], mass[other] / (mass[mine] + 1))
             level = np.concatenate([left[up], right[up]])
         self.fixed[~self.inner] = 0  # a leaf's part is in its path, and no direction has it
-        self.path_fixed, self.path_ratio, self.depth, self.mass = total, ratio, depth, mass
+        self.path_fixed, self.path_ratio, self.path_joined, self.depth, self.mass = total, ratio, joined, depth, mass
+        self.box, self.room = np.vstack([self.box, np.full((1, self.box.shape[1]), np.inf)]), np.append(self.room, 1.0)
+        self.fixed, self.extra = np.append(self.fixed, 0.0), np.append(self.extra, 0.0)
+
+    def leaves(self, x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The leaf below the node given beside each row, by the cuts alone."""
+        flat, first, rows, out = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], None, None
+        nodes, steps = 2 * nodes, 6
+        while True:
+            for _ in range(steps):  # a leaf leads to itself
+                at = self.dims.take(nodes)
+                at += first
+                nodes += flat.take(at) <= self.cuts.take(nodes)
+                nodes = self.kids.take(nodes)
+            if out is None:
+                out = nodes
+            else:
+                out[rows] = nodes
+            going = np.flatnonzero(self.inner.take(nodes >> 1))
+            if not len(going):
+                return out >> 1
+            rows, steps = going if rows is None else rows[going], 3
+            nodes, first = nodes[going], first[going]
+
+    def outside(self, both: np.ndarray, nodes: np.ndarray, directed: bool = False):
+        """From the node beside each row (x, -x) upwards: rows, nodes, directions and extents of those that stand outside the node's box.
+
+        Boxes lie within each other, so a row inside one is inside all above, and is left out from there on."""
+        rows, mine, space, ones = np.arange(len(both)), both, np.empty(both.shape), np.ones(both.shape[1])
+        while True:
+            out = space[: len(rows)]
+            np.take(self.box, nodes, axis=0, out=out, mode="clip")
+            np.subtract(mine, out, out=out)
+            np.maximum(out, 0, out=out)
+            ext = out @ ones
+            keep = np.flatnonzero(ext)
+            if not len(keep):
+                return
+            if len(keep) < len(rows):
+                rows, nodes, ext, out = rows[keep], nodes[keep], ext[keep], out.take(keep, axis=0) if directed else None
+                mine = both.take(rows, axis=0)
+            yield rows, nodes, out, ext
+            nodes = self.up.take(nodes)
 
     def codisp(self, x: np.ndarray, seed: int = 0) -> np.ndarray:
         """Mean over trees of the largest sibling / subtree mass on the way to the inserted probe."""
         n, d = x.shape
-        both, flat, out = np.concatenate([x, -x], axis=1), np.ascontiguousarray(x).ravel(), np.zeros(n)
+        both, out = np.concatenate([x, -x], axis=1), np.zeros(n)
         bits = np.bitwise_xor.reduce(np.ascontiguousarray(x).view(np.int64) * (2 * np.arange(d) + 1), axis=1)
         for t, root in enumerate(self.roots.tolist()):
-            rows, nodes, best = np.arange(n), np.full(n, root), np.zeros(n)
-            while len(rows):
-                ext = np.maximum(both[rows] - self.box[nodes], 0).sum(axis=1)
-                room = self.room[nodes] + ext
-                u = hashed(bits[rows] ^ (nodes - root), seed * 1009 + t)
-                apart = (ext > 0) & (u * room < ext)
-                same = ~apart & ~self.inner[nodes]  # joins a leaf of its own value
-                best[rows[apart]] = np.maximum(best[rows[apart]], self.mass[nodes[apart]])
-                go = ~apart & ~same
-                rows, nodes = rows[go], nodes[go]
-                if not len(rows):
-                    break
-                side = flat[rows * d + self.dim[nodes]] <= self.cut[nodes]
-                mine, other = self.kids[2 * nodes + side], self.kids[2 * nodes + ~side]
-                best[rows] = np.maximum(best[rows], self.mass[other] / (self.mass[mine] + 1))
-                nodes = mine
+            leaf = self.leaves(x, np.full(n, root))
+            best = self.path_joined.take(leaf)  # joins a leaf of its own value, unless a cut parts it before; of such cuts the highest is the last met
+            for rows, nodes, _, ext in self.outside(both, leaf):
+                room = self.room.take(nodes) + ext
+                apart = np.flatnonzero(hashed(bits[rows] ^ (nodes - root), seed * 1009 + t) * room < ext)
+                nodes = nodes[apart]
+                best[rows[apart]] = np.maximum(self.path_joined.take(nodes), self.mass.take(nodes))
             out += best
         return out / len(self.roots)
 
@@ -258,63 +297,33 @@ class Arrays:
 
         ``each(tree, contributions)`` gets every tree's directional contributions (rows, 2 D), high then low.
         """
-        n, d = x.shape
+        n = len(x)
         both = np.concatenate([x, -x], axis=1)
         score, disp = np.empty((len(self.roots), n)), np.empty((len(self.roots), n))
         for t, root in enumerate(self.roots.tolist()):
-            score[t], disp[t], parts = self.descend(both, np.full(n, root), each is not None)
+            score[t], disp[t], parts = self.descend(x, both, np.full(n, root), each is not None)
             if each:
                 each(t, parts)
         score = np.ascontiguousarray(score.T)
         return clean(score), np.ascontiguousarray(disp.T)
 
-    def descend(self, both: np.ndarray, nodes: np.ndarray, directed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Score and displacement of each row (x, -x) from the root given beside it, and its directional contributions.
-
-        Rows that reached their leaf stay there, adding nothing, until they are half of those under way."""
-        n, d = len(both), both.shape[1] // 2
-        ones, scale = np.ones(2 * d), self.scale[nodes]
-        space, first = np.empty((n, 2 * d)), np.arange(n) * (2 * d)
-        score, disp = np.empty(n), np.empty(n)
-        rows, mine, gained = np.arange(n), both, np.zeros(n)
-        parts, whole = (np.zeros((n, 2 * d)), np.zeros((n, 2 * d))) if directed else (None, None)
-        while len(rows):
-            inner = self.inner.take(nodes)
-            going = np.count_nonzero(inner)
-            if going <= len(rows) // 2:
-                done = np.flatnonzero(~inner)
-                at, leaf = rows[done], nodes[done]
-                score[at] = gained[done] + self.path_fixed[leaf]
-                disp[at] = self.path_ratio[leaf]
-                keep = np.flatnonzero(inner)
-                if directed:
-                    whole[at] = parts[done]
-                    parts = parts.take(keep, axis=0)
-                rows, nodes, gained, mine = rows[keep], nodes[keep], gained[keep], mine.take(keep, axis=0)
-                if not going:
-                    break
-            out = space[: len(rows)]
-            np.take(self.box, nodes, axis=0, out=out, mode="clip")
-            np.subtract(mine, out, out=out)
-            np.maximum(out, 0, out=out)
-            ext = out @ ones
-            more = self.room.take(nodes)
+    def descend(self, x: np.ndarray, both: np.ndarray, nodes: np.ndarray, directed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Score and displacement of each row x (and x, -x) from the root given beside it, and its directional contributions.
+
+        Most rows are inside most boxes on their way, where a node adds its fixed part only, so the leaf comes first and then the boxes that a row is outside of."""
+        leaf, scale = self.leaves(x, nodes), self.scale.take(nodes)
+        score, whole = self.path_fixed.take(leaf), np.zeros(both.shape) if directed else None
+        for rows, at, out, ext in self.outside(both, self.up.take(leaf), directed):
+            more = self.room.take(at)
             more += ext
             np.divide(ext, more, out=more)
-            more *= self.extra.take(nodes)
-            gained += more
+            more *= self.extra.take(at)
+            score[rows] += more
             if directed:
-                more += self.fixed.take(nodes)
-                more /= np.maximum(ext, TINY)
-                out *= more[:, None]
-                parts += out
-            at = self.dim.take(nodes)
-            at += first[: len(rows)]
-            left = mine.ravel().take(at) <= self.cut.take(nodes)
-            nodes = nodes * 2
-            nodes += left
-            nodes = self.kids.take(nodes)
-        return score / scale, disp, whole / scale[:, None] if directed else None
+                more += self.fixed.take(at)
+                more /= ext
+                whole[rows] += out * more[:, None]
+        return score / scale, self.path_ratio.take(leaf), whole / scale[:, None] if directed else None
 
 
 def clean(score: np.ndarray) -> np.ndarray:
@@ -395,6 +404,10 @@ class ForestModel:
 
         return self._map(df, make, SCORES)
 
+    def mean(self, df: DataFrame) -> DataFrame:
+        """Adds the mean score alone, as :meth:`score` has it."""
+        return self._map(df, lambda a, x: (a.walk(x)[0].mean(axis=1),), "score double")
+
     def attribute(self, df: DataFrame) -> DataFrame:
         """Adds score, high and low per dimension, and their stability over trees (population deviation, confidence)."""
 

@@ -160,8 +160,8 @@ def _scored(groups: list[tuple[tuple, np.ndarray]], x: np.ndarray, p: ForestPara
     for model, rows, roots in jobs:
         for k in range(0, len(rows), step):
             some, at = rows[k : k + step], roots[k : k + step]
-            both = np.repeat(np.concatenate([x[some], -x[some]], axis=1), p.num_trees, axis=0)
-            score, disp, parts = model.descend(both, np.ascontiguousarray(at).ravel(), attribute)
+            each = np.repeat(x[some], p.num_trees, axis=0)
+            score, disp, parts = model.descend(each, np.concatenate([each, -each], axis=1), np.ascontiguousarray(at).ravel(), attribute)
             yield some, clean(score.reshape(at.shape)).mean(axis=1), disp.reshape(at.shape).mean(axis=1), parts.reshape(*at.shape, -1).sum(axis=1) / p.num_trees if attribute else None
 
 

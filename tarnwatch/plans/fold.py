@@ -69,12 +69,15 @@ def run_rows(pdfs: Iterator[pd.DataFrame], keys: list[str], carry: list[str], ma
 
 
 def _dealt(df: DataFrame, keys: list[str], order: list[str], need: list[str], initial: DataFrame | None) -> DataFrame:
+    """Rows by key and in order, with what a step needs; what only the order needs stays out of Python."""
+    kept = need
+    need = list(dict.fromkeys([*need, *order]))
     rows = df.select(*need)
     if initial is not None:
         heads = initial.select(*[c if c in keys else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in need], F.col("state").alias(STATE))
         rows = rows.withColumn(STATE, F.lit(None).cast("binary")).unionByName(heads)
     rows = rows.repartition(*keys) if keys else rows.coalesce(1)
-    return rows.sortWithinPartitions(*keys, *([F.col(STATE).isNull()] if initial is not None else []), *order)
+    return rows.sortWithinPartitions(*keys, *([F.col(STATE).isNull()] if initial is not None else []), *order).select(*kept, *([STATE] if initial is not None else []))
 
 
 def _named(df: DataFrame, renamed: dict[str, str]) -> DataFrame:
@@ -87,7 +90,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], carry: list[str], mak
     ``renamed`` maps a step's input names to columns of ``df``; ``initial`` has the keys' states before.
     """
     step, df = make(), _named(df, renamed)
-    need = list(dict.fromkeys([*keys, *order, *carry, *step.inputs]))
+    need = list(dict.fromkeys([*keys, *carry, *step.inputs]))
     kinds = [df.schema[c] for c in dict.fromkeys([*keys, *carry])]
     schema = T.StructType([*kinds, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in step.fields)).fields])
     columns = [n for n, _ in step.fields]
@@ -98,6 +101,6 @@ def fold(df: DataFrame, keys: list[str], order: list[str], carry: list[str], mak
 def states(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], initial: DataFrame | None = None, **renamed: str) -> DataFrame:
     """The keys and ``state`` (binary) after each key's last row, to begin a later fold with."""
     df = _named(df, renamed)
-    need = list(dict.fromkeys([*keys, *order, *make().inputs]))
+    need = list(dict.fromkeys([*keys, *make().inputs]))
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("state", T.BinaryType())])
     return _dealt(df, keys, order, need, initial).mapInPandas(lambda it: run_rows(it, keys, [], make, [], True), schema)

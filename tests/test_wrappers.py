@@ -409,3 +409,30 @@ def test_forensic_of_a_table_keeps_no_rows(spark):
 
     plan = queries.queries()["forensic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_boxes_are_met_from_the_leaf_up(spark):
+    """Every box on a row's way was worked out, though most rows are inside most of them."""
+    rng = np.random.default_rng(21)
+    points = rng.normal(0, 1, (256, 4))
+    nodes = [dict(zip(("node_id", "left", "right", "cut_dim", "cut_value", "mn", "mx", "mass", "point_id"), n, strict=True)) | {"tree_id": 0} for n in forest.build_tree(points, np.arange(256), rng)]
+    a, x = forest.Arrays(nodes), np.concatenate([rng.normal(0, 1, (300, 4)), points[:50]])
+    leaf = a.leaves(x, np.zeros(len(x), np.int64))
+    both, want = np.concatenate([x, -x], axis=1), set()
+    for i, k in enumerate(leaf.tolist()):
+        while k < len(nodes):
+            if (np.maximum(both[i] - a.box[k], 0) > 0).any():
+                want.add((i, k))
+            k = int(a.up[k])
+    got = [(i, k) for rows, at, _, _ in a.outside(both, leaf) for i, k in zip(rows.tolist(), at.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(got) < 0.6 * (a.depth[leaf] + 1).sum()
+
+
+def test_rows_are_graded_under_their_own_supplier(spark):
+    """The supplier came from some row of the same id."""
+    from tarnwatch.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey as key", "l_orderkey * 16 + l_linenumber as point_id")
+    got = queries.queries()["thresholded_forest"](spark, d).select("key", "point_id")
+    assert got.exceptAll(own).count() == 0 and got.count() == own.count()
