@@ -461,3 +461,21 @@ def test_profiles_of_short_keys(spark):
     one = {r.k: r for r in grouped.discords(grouped.matrix_profile(df, ["k"], ["i"], "v", 8), ["k"], 1, 2).collect()}
     many = {r.k: r for r in grouped.discords(grouped.matrix_profile(df, ["k"], ["i"], "v", 8), ["k"], 2, 2).where("rank = 0").collect()}
     assert one == many and 6 not in one
+
+
+def test_pairs_of_tenants_are_not_shuffled(spark):
+    """A cartesian product of shuffled parts, each read again for every other and kept on disk meanwhile."""
+    from tarnwatch.operators import tenants
+
+    states = spark.range(60).select("id", F.lit(40).alias("n"), (F.col("id") % 7 / 10).alias("mean"), (F.col("id") % 5 / 10).alias("variance"))
+    got = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1000, 10):
+            out = tenants.similarity(states, "id", max_broadcast=most)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("CartesianProduct" in plan) == (most == 10) and ("BroadcastNestedLoopJoin" in plan) == (most == 1000)
+            got[most] = {(r.tenant_a, r.tenant_b): r.similarity for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[1000] == got[10] and len(got[10]) == 60 * 59 // 2
